@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, suffix_dedup, superkmer_dedup
+from tessera.llm import decontaminate, jaccard_join, suffix_dedup, superkmer_dedup
 
-MODULES = [decontaminate, suffix_dedup, superkmer_dedup]
+MODULES = [decontaminate, jaccard_join, suffix_dedup, superkmer_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
