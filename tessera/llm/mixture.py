@@ -94,9 +94,9 @@ def weights(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
     return sources.select("source_key", "tokens", w.alias("weight"), F.floor(w * budget).alias("allowance"))
 
 
-def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, text_col: str = "text") -> DataFrame:
-    """A row for each reading of a document: its columns but the text, and mix_n_tokens, mix_epoch, mix_block, mix_slot, mix_rank."""
-    columns = [c for c in docs.columns if c != text_col]
+def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, text_col: str = "text", carry_text: bool = False) -> DataFrame:
+    """A row for each reading of a document: its columns (the text with ``carry_text``) and mix_n_tokens, mix_epoch, mix_block, mix_slot, mix_rank."""
+    columns = [c for c in docs.columns if carry_text or c != text_col]
     rows = counted(docs.select("*", F.col(text_col).alias("_text")), "_text")
     rows = written(rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "source_key", "n_tokens"))
     plan = weights(rows, entropy, repeats, budget)

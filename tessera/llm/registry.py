@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, jaccard_join, language_id, mixture, suffix_dedup, superkmer_dedup, syncmers, warc
+from tessera.llm import chat, decontaminate, jaccard_join, language_id, mixture, pii, suffix_dedup, superkmer_dedup, syncmers, warc
 
-MODULES = [decontaminate, suffix_dedup, syncmers, language_id, superkmer_dedup, warc, chat, jaccard_join, mixture]
+MODULES = [decontaminate, pii, suffix_dedup, syncmers, language_id, superkmer_dedup, warc, chat, jaccard_join, mixture]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
