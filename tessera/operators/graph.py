@@ -50,3 +50,79 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
         before = now
     found = star.select(*keys, F.col("u").alias("node"), F.col("v").alias("rep"))
     return nodes.join(found, [*keys, "node"], "left").select(*keys, "node", F.coalesce("rep", "node").alias("rep"))
+
+
+def rep_from_groups(groups: DataFrame, members: str = "members", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, item, rep): every member of a list with the list's first member; empty lists give nothing."""
+    first = F.element_at(members, 1)
+    return groups.where(F.size(members) > 0).select(*keys, F.explode(members).alias("item"), first.alias("rep"))
+
+
+def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): roots and everything they lead to. Each round joins the last round's finds only."""
+    visited = cut(roots.select("node").distinct())
+    front = visited
+    while front.head(1):
+        found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        front = cut(found.join(visited, "node", "left_anti"))
+        visited = cut(visited.unionByName(front))
+    return visited
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose ends can lie on a cycle: repeatedly without those from sources and into sinks."""
+    n = edges.count()
+    while n:
+        heads, tails = edges.select(F.col("dst").alias("v")).distinct(), edges.select(F.col("src").alias("v")).distinct()
+        edges = cut(edges.join(heads, edges["src"] == heads["v"], "left_semi").join(tails, edges["dst"] == tails["v"], "left_semi"))
+        now = edges.count()
+        if now == n:
+            break
+        n = now
+    return edges
+
+
+def _forward_min(edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node from which each node is reached, itself included."""
+    colour = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node"))
+    colour = cut(colour)
+    while True:
+        come = edges.join(colour, edges["src"] == colour["node"]).groupBy("dst").agg(F.min("colour").alias("c"))
+        step = colour.join(come, colour["node"] == come["dst"], "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("now"), "colour")
+        step = cut(step)
+        changed = step.where("now != colour").head(1)
+        colour = step.select("node", F.col("now").alias("colour"))
+        if not changed:
+            return colour
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, rep): least node of each node's strongly connected component; vertices without edges are not known here.
+
+    Trims what lies on no cycle, gives every vertex the least vertex that reaches it, walks back from each colour's own
+    vertex inside the colour: what it finds is one component each. Edges between colours go, the rest is done again.
+    """
+    left = cut(edges.select("src", "dst").distinct())
+    nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+    found = None
+    left = _trimmed(left.where("src != dst"))
+    while left.head(1):
+        colour = _forward_min(left)
+        a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2"))
+        inside = cut(left.join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst"))
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = reachable(colour.where("node = colour").select("node"), back)
+        part = cut(colour.join(reached, "node", "left_semi").select("node", F.col("colour").alias("rep")))
+        found = part if found is None else cut(found.unionByName(part))
+        done = part.select(F.col("node").alias("v"))
+        left = inside.join(done, inside["src"] == done["v"], "left_anti").join(done, inside["dst"] == done["v"], "left_anti")
+        left = _trimmed(cut(left))
+    if found is None:
+        return nodes.select("node", F.col("node").alias("rep"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))
+
+
+def component_edges(edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct edges between different representatives."""
+    a, b = reps.select(F.col("node").alias("src"), F.col("rep").alias("a")), reps.select(F.col("node").alias("dst"), F.col("rep").alias("b"))
+    return edges.join(a, "src").join(b, "dst").where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
