@@ -41,18 +41,19 @@ LABELERS = ("regex", "gazetteer", "context", "edges")
 #: start only where a run starts (or where the last match ended), since within a run only the end decides.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
+    "ip": r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: A text is only searched when it holds one of these; 0 stands for any digit.
+NEEDS = {"email": ("@",), "ip": ("0",), "card": ("0",), "phone": ("+",)}
 #: Wider candidates, by kind.
 MORE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"[0-9(](?<![0-9+].)(?:(?<=\()[0-9]{3}|[0-9]{2})\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+(?![A-Za-z0-9_-])",
 }
-MORE_NEEDS = {"email": "at", "phone": "", "secret": ""}
+MORE_NEEDS = {"email": ("(at)", "[at]"), "phone": ("0",), "secret": ("0",)}
 
 #: Gazetteers.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at"
@@ -62,11 +63,12 @@ FOR = {"email": "mail|contact|write", "ip": "host|server|ip|address|client", "ca
 AGAINST = {"email": "example of|regex", "ip": "version|release|section|chapter", "card": "isbn|order|serial|tracking|sku", "phone": "isbn|order|serial|version|rfc", "secret": "sha256|checksum|commit|md5|digest"}
 
 
-def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the pattern's leftmost matches; the pieces between give the places."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+EMPTY = "array<struct<start:int,end:int,value:string>>"
+
+
+def placed(values: Column, gaps: Column) -> Column:
+    """array<struct<start, end, value>> of a pattern's matches, from them and the pieces between."""
+    empty = F.array().cast(EMPTY)
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -77,6 +79,28 @@ def found(text: Column, pattern: str) -> Column:
     return F.when(F.size(values) == 0, empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
 
 
+def _matched(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with _text and a column of places for every pattern.
+
+    A pattern only reads texts that hold the sign it needs, and texts are only split where it matches; the steps are
+    projections of their own, so that no pattern is evaluated twice.
+    """
+    patterns = {f"_{k}": (PATTERNS[k], NEEDS[k]) for k in BASE} | {f"_more_{k}": (MORE[k], MORE_NEEDS[k]) for k in MORE}
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*keep, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    rows = rows.select(*keep, "_text", F.col("_text").rlike("[0-9]").alias("_numbers"))
+    none = F.array().cast("array<string>")
+    values = []
+    for name, (pattern, needs) in patterns.items():
+        need = F.lit(False)
+        for sign in needs:
+            need = need | (F.col("_numbers") if sign == "0" else F.contains("_text", F.lit(sign)))
+        values.append(F.when(need, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{name}_v"))
+    rows = rows.select(*keep, "_text", *values)
+    rows = rows.select("*", *[F.when(F.size(f"{name}_v") > 0, F.split("_text", pattern, -1)).otherwise(none).alias(f"{name}_g") for name, (pattern, _) in patterns.items()])
+    return rows.select(*keep, "_text", *[placed(F.col(f"{name}_v"), F.col(f"{name}_g")).alias(name) for name in patterns])
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -103,11 +127,6 @@ def _test(kind: str) -> Callable[[Column], Column]:
     return lambda s: _holds(kind, s["value"])
 
 
-def _matches(text: Column, kind: str, pattern: str, need: str) -> Column:
-    got = found(text, pattern)
-    return F.when(F.contains(text, F.lit(need)), got).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")) if need else got
-
-
 def _all_of(words: str, text: Column) -> Column:
     return F.lower(text).rlike(f"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)")
 
@@ -168,9 +187,9 @@ def _sign(c: Column) -> Column:
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` (array<kind, start, end>) and ``extra`` described candidates that overlap no base span, and ``seen`` (described base spans)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    raw = docs.select("*", *[_matches(text, k, PATTERNS[k], NEEDS[k]).alias(f"_{k}") for k in BASE], *[_matches(text, k, MORE[k], MORE_NEEDS[k]).alias(f"_more_{k}") for k in MORE])
-    held = raw.select(*docs.columns, *[F.filter(f"_{k}", _test(k)).alias(f"_{k}") for k in BASE], *[f"_more_{k}" for k in MORE])
+    text = F.col("_text")
+    raw = _matched(docs, text_col)
+    held = raw.select(*[F.col(f"`{c}`") for c in docs.columns], "_text", *[F.filter(f"_{k}", _test(k)).alias(f"_{k}") for k in BASE], *[f"_more_{k}" for k in MORE])
     base = F.concat(*[_described(text, k, F.col(f"_{k}"), True) for k in BASE])
     plain = F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in BASE])
     free = lambda spans: F.filter(spans, lambda s: ~F.exists(plain, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
