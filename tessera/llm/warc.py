@@ -20,11 +20,12 @@ from tessera.runtime import table
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: Patterns in the part of the syntax that Java and RE2 share.
-DROPPED = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+DROPPED = r"(?is)<(?:!--.*?--|script\b[^>]*>.*?</script\s*|style\b[^>]*>.*?</style\s*)>"
 BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|html)\b[^>]*>"
 TAGS = r"<[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-BLANKS, LINES, EDGES = "[ \\t\\r\\f]+", " ?\\n[ \\n]*", "^[ \\n]+|[ \\n]+$"
+#: Runs of blanks but single spaces, which stay; line ends with the blanks around them.
+BLANKS, LINES, EDGES = " [ \\t\\r\\f]+|[\\t\\r\\f][ \\t\\r\\f]*", " ?\\n[ \\n]*", " \n"
 TITLE, LANG, LINKS = r"(?is)<title[^>]*>(.*?)</title", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", r"(?i)<a\s[^>]*?href=[\"']([^\"']*)[\"']"
 
 
@@ -37,7 +38,7 @@ def plain_text(html: Column) -> Column:
         out = F.replace(out, F.lit(name), F.lit(sign))
     out = F.regexp_replace(out, BLANKS, " ")
     out = F.regexp_replace(out, LINES, "\n")
-    return F.regexp_replace(out, EDGES, "")
+    return F.btrim(out, F.lit(EDGES))
 
 
 def urn(*parts: Column) -> Column:
@@ -110,8 +111,9 @@ def _sql() -> str:
     text = f"regexp_replace({text}, {q(TAGS)}, '', 'g')"
     for name, sign in ENTITIES:
         text = f"replace({text}, {q(name)}, {q(sign)})"
-    for pattern, by in ((BLANKS, "' '"), (LINES, e("\n")), (EDGES, "''")):
+    for pattern, by in ((BLANKS, "' '"), (LINES, e("\n"))):
         text = f"regexp_replace({text}, {q(pattern)}, {by}, 'g')"
+    text = f"trim({text}, {e(EDGES)})"
     urn_sql = lambda kind: f"'urn:uuid:' || regexp_replace(md5(concat_ws('|', '{kind}', page, target_uri)), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
     one = lambda s: f"regexp_replace({s}, '[\\r\\n]+', ' ', 'g')"
     links = f"regexp_extract_all(html, {q(LINKS)}, 1)"
