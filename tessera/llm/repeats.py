@@ -203,8 +203,10 @@ def _emit(docs, row, start, count, stay, h, gone, buckets) -> Iterator[pa.Record
 
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each key with the places that hold it, in order."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
-    edges = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1)) if len(keys) else np.zeros(0, int)
+    edges = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1))
     for a, b in zip(edges, np.append(edges[1:], len(keys)), strict=True):
         yield int(keys[order[a]]), order[a:b]
 
