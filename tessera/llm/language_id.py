@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
-from tessera.runtime import table
+from tessera.runtime import cut, table
 
 SIZE, FIT_DOCS, MOST_LABELS = 300, 4000, 20_000
 CHUNK = 1 << 20
@@ -101,12 +101,18 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Profiles:
     """Profiles from (doc_id, text, lang) rows: at most ``fit_docs`` documents a language."""
     spark = labelled.sparkSession
     named = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = named.select("lang", "doc_id").withColumn("_order", order).where(F.col("_order") <= fit_docs).select("doc_id", "lang").distinct()
-    labels = chosen.select("lang").distinct().limit(MOST_LABELS + 1).count()
-    if labels > MOST_LABELS:
+    sizes = [r for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()]
+    if len(sizes) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
-    sample = named.join(chosen, ["doc_id", "lang"], "left_semi")
+    if not sizes:
+        return Profiles([])
+    # about twice the wanted number by hash first, so that no task puts a whole language in order
+    share = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * fit_docs / r["n"])) for r in sizes], "lang string, share double")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    some = named.join(F.broadcast(share), "lang").where(hashed <= F.col("share"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    chosen = cut(some.select("lang", "doc_id").withColumn("_order", order).where(F.col("_order") <= fit_docs).select("doc_id", "lang").distinct())
+    sample = some.join(F.broadcast(chosen) if len(sizes) * fit_docs <= 400_000 else chosen, ["doc_id", "lang"], "left_semi")
     counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     return Profiles(counts.withColumn("_rank", first).where(F.col("_rank") <= SIZE).drop("_rank").collect())  # SIZE rows a label
