@@ -17,7 +17,7 @@ of n + 1 at rate t.
 
 Defined results: null, empty and wordless texts have no links and are classes of their own; a text of fewer than five
 words is one shingle; rows of equal id and text are copies; different texts under one id stay apart; null ids count as
-the smallest; other columns are not read. ``n_links`` counts the other documents, copies included.
+the smallest; rows are told apart by id and a hash of the text; other columns are not read. ``n_links`` counts the other documents, copies included.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textarrays as ta
@@ -40,7 +40,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS_A_BAND, SLICE = 32, 5, 32
 BLOCK, BIN = 2048, 4000
 NULL_ID = -(1 << 63)
-SETS = "doc_id long, key long, h1 long, h2 long, n_shingles int, bands array<long>"
+SETS = "doc_id long, key long, tag long, h1 long, h2 long, n_shingles int, bands array<long>"
 LINKS = "kind int, a long, b long"
 
 
@@ -102,7 +102,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = _bands(signatures(sets, first))
             at = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(h1), pa.array(h2), pa.array(size.astype(np.int32)), lists], ["doc_id", "key", "h1", "h2", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("tag"), pa.array(h1), pa.array(h2), pa.array(size.astype(np.int32)), lists], ["doc_id", "key", "tag", "h1", "h2", "n_shingles", "bands"])
 
 
 @cache
@@ -226,41 +226,55 @@ def _compare(threshold: float, tolerance: float):
     return run
 
 
+def _key() -> list[Column]:
+    """What tells rows apart: the id (null as the least) and a hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(F.col("text").cast("string")).alias("tag")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(), F.col("text").cast("string").alias("text"))
 
 
 def _representatives(sets: DataFrame) -> DataFrame:
-    """One row for each distinct set: node (an id of its own), the key of its text, copies, bands."""
-    reps = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "key").alias("bands"), F.min("n_shingles").alias("n_shingles"))
+    """One row for each distinct set: node (an id of its own), key and tag of its text, copies, bands."""
+    first = F.min(F.struct("key", "tag")).alias("first")
+    reps = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("copies"), F.min_by("bands", "key").alias("bands"), F.min("n_shingles").alias("n_shingles"))
+    reps = reps.select("h1", "h2", "first.*", "copies", "bands", "n_shingles")
     again = F.row_number().over(Window.partitionBy("key").orderBy("h1", "h2"))
     other = F.shiftrightunsigned(F.xxhash64("key", "h1", "h2"), 2).bitwiseOR(F.lit(1 << 62))
     return reps.withColumn("node", F.when(again == 1, F.col("key")).otherwise(other))
 
 
 def _blocks(comps: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, key, h1, copies, comp, task, side): small components share a task, large ones are dealt by pairs of blocks."""
+    """(node, key, tag, h1, copies, comp, task, side): small components share a task, large ones are dealt by pairs of blocks."""
     sizes = comps.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     bins = max(1, -(-total // BIN))
-    rows = comps.join(sizes, "rep").join(reps.select("node", "key", "h1", "copies"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    rows = comps.join(sizes, "rep").join(reps.select("node", "key", "tag", "h1", "copies"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.concat_ws(":", F.col("rep").cast("string"), F.least(o, own).cast("string"), F.greatest(o, own).cast("string")).alias("task"), (own > o).cast("int").alias("side")))
     small = F.array(F.struct(F.concat(F.lit("b"), F.pmod(F.xxhash64("rep"), F.lit(bins)).cast("string")).alias("task"), F.lit(0).alias("side")))
     dealt = F.inline(F.when(F.col("blocks") == 1, small).otherwise(each))
-    return rows.select("node", "key", "h1", "copies", F.col("rep").alias("comp"), dealt)
+    return rows.select("node", "key", "tag", "h1", "copies", F.col("rep").alias("comp"), dealt)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, class_id (the least id of its group), n_links, n_shingles."""
+    return _classes(docs, threshold, tolerance).drop("key", "tag")
+
+
+def _classes(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     rows = _keyed(docs)
     sets = written(rows.mapInArrow(_sets, SETS))
+    texts = rows.select("key", "tag", "text")
+    if sets.groupBy("key", "tag").count().where("count > 1").head():  # a text is compared once, however often its row stands there
+        texts = texts.dropDuplicates(["key", "tag"])
     reps = written(_representatives(sets))
     banded = reps.select("node", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ties = banded.join(centres, "band").where("node != centre").select(F.col("node").alias("src"), F.col("centre").alias("dst"))
     comps = connected_components(ties)
-    dealt = _blocks(comps, reps).join(rows.select("key", "text"), "key")
+    dealt = _blocks(comps, reps).join(texts, ["key", "tag"])
     found = written(dealt.select("node", "h1", "copies", "comp", "side", "text", "task").groupBy("task").applyInArrow(_compare(threshold, tolerance), LINKS))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     groups = connected_components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -270,6 +284,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     alone = F.col("n_shingles") == 0
     return joined.select(
         "doc_id",
+        "key",
+        "tag",
         F.when(alone, F.col("key")).otherwise(F.col("group")).alias("class_id"),
         F.when(alone, F.lit(0).cast("long")).otherwise(F.col("links")).alias("n_links"),
         F.col("n_shingles").cast("long").alias("n_shingles"),
@@ -280,15 +296,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those of a group (links taken transitively) but its least id; repeated rows stay once."""
-    classes = jaccard_join(docs.select("doc_id", "text"), **options)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kept = classes.where(key == F.col("class_id")).select("doc_id", "n_shingles").distinct()
-    if kept.groupBy("doc_id").count().where("count > 1").head():
-        raise ValueError("different texts under one doc_id: give each text an id of its own first")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One document of each group (links taken transitively): that with the least id, then the least hash of its text.
+
+    Texts without words are groups of their own, equal ones under one id together. Of several rows of one id and text
+    the least by the JSON of its other columns stays.
+    """
+    classes = _classes(docs.select("doc_id", "text"), threshold, tolerance)
+    apart = F.when(F.col("n_shingles") == 0, F.col("tag"))
+    kept = classes.groupBy("class_id", apart.alias("apart")).agg(F.min(F.struct("key", "tag")).alias("first")).select("first.*")
+    kept = written(kept.join(classes.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("n")), ["key", "tag"]))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    met = docs.select(*_key(), row.alias("row")).join(kept, ["key", "tag"])
+    if not kept.where("n > 1").head():
+        return met.select("row.*")
+    other = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]))
+    once = met.where("n > 1").groupBy("key", "tag").agg(F.min_by("row", other).alias("row"))
+    return met.where("n = 1").select("row.*").unionByName(once.select("row.*"))
 
 
 def reference(docs: list[tuple], threshold: float = THRESHOLD) -> list[tuple]:
