@@ -15,7 +15,8 @@ documents themselves are only ordered inside one block. Sources are bisected on
 
 Defined results: a null source is a source of its own; null or empty texts have no tokens (tokens are runs of anything
 but white space) and come with the whole epochs of their source; a source without tokens gets no weight and is left
-out; repeated rows are documents of their own; an empty table gives an empty mix; other columns pass untouched.
+out; repeated rows are documents of their own; an empty table gives an empty mix; other columns pass untouched, but
+for those with the names of the columns added here, which take their place.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from tessera.runtime import cut, table, written
 
 ENTROPY, REPEATS, BLOCK_TOKENS, BLOCKS, SEED = 0.97, 4.0, 20_000, 4096, 42
 LOCAL_SOURCES, STEPS = 50_000, 50
+ADDED = ("mix_n_tokens", "mix_epoch", "mix_block", "mix_slot", "mix_rank")
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -96,9 +98,10 @@ def weights(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
 
 def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, text_col: str = "text", carry_text: bool = False) -> DataFrame:
     """A row for each reading of a document: its columns (the text with ``carry_text``) and mix_n_tokens, mix_epoch, mix_block, mix_slot, mix_rank."""
-    columns = [c for c in docs.columns if carry_text or c != text_col]
-    rows = counted(docs.select("*", F.col(text_col).alias("_text")), "_text")
-    rows = written(rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "source_key", "n_tokens"))
+    columns = [c for c in docs.columns if (carry_text or c != text_col) and c not in ADDED]
+    row = F.struct(*[docs[f"`{c}`"] for c in columns])
+    rows = counted(docs.select(row.alias("row"), "doc_id", "source", docs[f"`{text_col}`"].alias("text")))
+    rows = written(rows.select("row", "doc_id", "source_key", "n_tokens"))
     plan = weights(rows, entropy, repeats, budget)
     few = plan.select("source_key", F.floor(F.col("allowance") / F.col("tokens")).alias("epochs"), (F.col("allowance") % F.col("tokens")).alias("rest"), F.least(F.lit(BLOCKS), F.ceil(F.col("tokens") / block_tokens)).alias("blocks"))
     rows = rows.join(_small(few), "source_key").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
