@@ -17,7 +17,7 @@ there is column expressions.
 
 Defined results: a null text is empty; no candidates at all means no added spans; repeated rows are judged alike; very
 long texts are scanned whole, with patterns that neither recurse nor backtrack over long runs; other columns pass
-untouched. Spans are [start, end) in code points.
+untouched, but for those called pii_base or pii_spans, which ``spans`` replaces. Spans are [start, end) in code points.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from tessera.runtime import table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 ACCEPT, ROUNDS = 0.9, 50
+ADDED = ("pii_base", "pii_spans")
 LABELERS = ("regex", "gazetteer", "context", "edges")
 
 #: The contract's patterns, made safe for a backtracking engine: possessive where nothing can be given back, and a
@@ -230,7 +231,7 @@ def expectation_maximisation(patterns: list[tuple], rounds: int = ROUNDS) -> tup
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """The model from all texts of ``docs``: one pass, then two small aggregates of it."""
-    spans = candidates(docs.select(text_col), text_col).select(F.explode(F.concat("_base", "_extra")).alias("s"))
+    spans = candidates(docs.select(docs[f"`{text_col}`"].alias("c0")), "c0").select(F.explode(F.concat("_base", "_extra")).alias("s"))
     counts = spans.groupBy("s.kind", "s.votes", "s.features").agg(F.count(F.lit(1)).alias("n"))
     features = counts.select("kind", "votes", "n", F.explode("features").alias("feature")).groupBy("kind", "votes", "feature").agg(F.sum("n").alias("n"))
     rows = features.collect()  # kinds x 3**4 patterns x at most 60 features
@@ -266,19 +267,27 @@ def score(span: Column, model: Model) -> Column:
     return F.aggregate(span["features"], F.coalesce(prior[span["kind"]], F.lit(-99.0)), lambda a, f: a + F.coalesce(table_[F.concat_ws(" ", span["kind"], f)], F.lit(0.0)))
 
 
+def _numbered(docs: DataFrame) -> tuple[dict[str, str], DataFrame]:
+    """The names c0, c1, ... by the old ones, and ``docs`` with them, so that no name clashes with one used here."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return names, docs.toDF(*names.values())
+
+
 def spans(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans``: arrays of (kind, start, end), by kind and start."""
-    got = candidates(docs, text_col)
+    names, plain = _numbered(docs)
+    got = candidates(plain, names[text_col])
     place = lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     out = lambda a: F.transform(F.array_sort(F.transform(a, place)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     kept = F.filter("_extra", lambda s: score(s, model) >= log(accept / (1 - accept)))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns], out(F.col("_base")).alias("pii_base"), out(F.concat(F.col("_base"), kept)).alias("pii_spans"))
+    return got.select(*[F.col(n).alias(c) for c, n in names.items() if c not in ADDED], out(F.col("_base")).alias("pii_base"), out(F.concat(F.col("_base"), kept)).alias("pii_spans"))
 
 
 def redacted(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """The documents with each span (of overlapping ones their union) replaced by the first one's kind in angle brackets."""
-    got = spans(docs, model, text_col, accept)
-    text = F.col(f"`{text_col}`")
+    names, plain = _numbered(docs)
+    got = spans(plain, model, names[text_col], accept)
+    text = F.col(names[text_col])
     order = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -288,7 +297,7 @@ def redacted(docs: DataFrame, model: Model, text_col: str = "text", accept: floa
 
     end = F.aggregate(order, state, step, lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))))
     new = F.when(F.size("pii_spans") == 0, text).otherwise(F.array_join(end, ""))
-    return got.select(*[(new if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return got.select(*[(new if c == text_col else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def _listed(a: Column) -> Column:
