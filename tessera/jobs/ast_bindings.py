@@ -38,27 +38,46 @@ CALL = (
     (21, 10, "arg", 0, "Name", None, "user"),
 )
 
+#: ``k: {k: break k; continue k; function() {break k;}}``: the last one means no label.
+LABELS = (
+    (0, None, "statement", 0, "LabeledStatement", None, None),
+    (1, 0, "label", 0, "Label", None, "key"),
+    (2, 0, "statement", 0, "Block", None, None),
+    (3, 2, "statement", 0, "LabeledStatement", None, None),
+    (4, 3, "label", 0, "Label", None, "key"),
+    (5, 3, "statement", 0, "BreakStatement", None, None),
+    (6, 5, "value", 0, "Name", None, "key"),
+    (7, 2, "statement", 1, "ContinueStatement", None, None),
+    (8, 7, "value", 0, "Name", None, "key"),
+    (9, 2, "statement", 2, "FunctionNode", None, ""),
+    (10, 9, "body", 0, "BreakStatement", None, None),
+    (11, 10, "value", 0, "Name", None, "key"),
+)
+
 
-def _above(at: int) -> list[tuple]:
+def _above(at: int, shape: tuple) -> list[tuple]:
     """The statement's nodes above a place, from the top."""
-    by, out = {x[0]: x for x in (*STATEMENT, *CALL)}, []
+    by, out = {x[0]: x for x in shape}, []
     while by[at][1] is not None:
         at = by[at][1]
         out.insert(0, by[at])
     return out
 
 
-def ast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees with depth and ancestors, as a parser's dump would bring them."""
+def ast(spark: SparkSession, sf_dir: str, every: tuple = STATEMENT, tenth: tuple = CALL) -> DataFrame:
+    """Trees with depth and ancestors, as a parser's dump would bring them: of ``every`` event, and more of each ``tenth``."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source_id"), F.col("event_type").alias("app"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("k"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))).alias("key"), F.floor("value").cast("string").alias("value"))
     base = F.col("event_id") * STEP
 
     def node(at, up, role, order, kind, op, name):
+        above = _above(at, (*every, *tenth))
         text = F.col(name) if name in ("user", "key", "value") else F.lit(name).cast("string")
-        return F.struct((base + at).alias("node_id"), (base + up if up is not None else F.lit(None)).cast("long").alias("parent_id"), F.lit(role).alias("role"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), F.lit(op).cast("string").alias("op"), text.alias("name"), (base + at).cast("long").alias("pos"), F.lit(1).alias("len"), F.col("event_id").cast("int").alias("line"), F.lit(len(_above(at))).alias("depth"), F.array(*[F.struct((base + a).cast("long").alias("id"), F.lit(k).alias("kind"), F.lit(r).alias("role"), F.lit(o).cast("string").alias("op")) for a, _, r, _, k, o, _ in _above(at)]).cast(N.ANCESTORS).alias("ancestors"))
+        return F.struct((base + at).alias("node_id"), (base + up if up is not None else F.lit(None)).cast("long").alias("parent_id"), F.lit(role).alias("role"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), F.lit(op).cast("string").alias("op"), text.alias("name"), (base + at).cast("long").alias("pos"), F.lit(1).alias("len"), F.col("event_id").cast("int").alias("line"), F.lit(len(above)).alias("depth"), F.array(*[F.struct((base + a).cast("long").alias("id"), F.lit(k).alias("kind"), F.lit(r).alias("role"), F.lit(o).cast("string").alias("op")) for a, _, r, _, k, o, _ in above]).cast(N.ANCESTORS).alias("ancestors"))
 
-    plain, call = F.array(*[node(*x) for x in STATEMENT]), F.array(*[node(*x) for x in CALL])
-    return e.select("app", "source_id", F.inline(F.when(F.col("event_id") % 10 == 0, F.concat(plain, call)).otherwise(plain)))
+    plain = F.array(*[node(*x) for x in every])
+    if not tenth:
+        return e.select("app", "source_id", F.inline(plain))
+    return e.select("app", "source_id", F.inline(F.when(F.col("event_id") % 10 == 0, F.concat(plain, F.array(*[node(*x) for x in tenth]))).otherwise(plain)))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

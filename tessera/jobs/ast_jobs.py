@@ -201,6 +201,18 @@ def e4(spark, d):
     return found.select("app", "name", "question", F.size("tokens").cast("long").alias("n"), F.array_min(F.transform("tokens", lambda t: t["pos"])).alias("first"))
 
 
+_LABELLED = "SELECT app, user_id AS source_id, base + {0} AS statement, k AS name, (base + {1}) || ',' || (base + {2}) AS tokens FROM ev"
+
+
+@query("e5_label_questions", f"WITH {A.SQL_EVENTS} {_LABELLED.format(0, 1, 8)} UNION ALL {_LABELLED.format(3, 4, 6)} WHERE event_id % 2 = 1")
+def e5(spark, d):
+    """Asked: every outer use, and the inner ones of odd events; uses inside the function mean no label."""
+    rows = A.ast(spark, d, A.LABELS, ())
+    place = F.col("pos") % A.STEP
+    asked = rows.where((place == 8) | (place == 11) | ((place == 6) & (F.col("line") % 2 == 1)))
+    return E.label_questions(rows, asked).select("app", "source_id", "statement", "name", F.array_join("tokens", ",").alias("tokens"))
+
+
 @query("e13_random_kill_set")
 def e13(spark, d):
     """Random by hash; every killed node is a function (tests check the walk)."""
