@@ -257,6 +257,7 @@ def _filter(rows: pa.Table) -> pa.Table:
 
 
 def _doc_rows(docs: pa.Table) -> dict[tuple[int, int], int]:
+    """One row of each id and text, the last of equal ones."""
     a = _doc_arrays(docs)
     return {k: i for i, k in enumerate(zip(a["key"].tolist(), a["tag"].tolist(), strict=True))}
 
@@ -356,8 +357,9 @@ def _decide(spec: Spec, order_windows: Callable) -> Callable:
     return run
 
 
-def covered(rows: pa.Table, where: dict, first: np.ndarray, n: int) -> np.ndarray:
-    """Flags of the symbols that a decided window covers."""
+def covered(rows: pa.Table, docs: pa.Table, first: np.ndarray, n: int) -> np.ndarray:
+    """Flags of the symbols that a decided window covers; rows of equal id and text have the same flags."""
+    where = _doc_rows(docs)
     step = np.zeros(int(first[-1]) + 1, np.int32)
     x = _join(_kinds(rows).get(GONE, []))
     if x is not None:
@@ -365,7 +367,13 @@ def covered(rows: pa.Table, where: dict, first: np.ndarray, n: int) -> np.ndarra
         begin = first[at] + x["s"]
         np.add.at(step, begin, 1)
         np.add.at(step, begin + x["w"] + (n - 1), -1)
-    return np.cumsum(step[:-1]) > 0
+    flags = np.cumsum(step[:-1]) > 0
+    if len(where) < docs.num_rows:
+        a = _doc_arrays(docs)
+        for i, k in enumerate(zip(a["key"].tolist(), a["tag"].tolist(), strict=True)):
+            if (j := where[k]) != i:
+                flags[first[i] : first[i + 1]] = flags[first[j] : first[j + 1]]
+    return flags
 
 
 def repeats(docs: DataFrame, spec: Spec, order_windows: Callable, apply: Callable, schema: str) -> DataFrame:

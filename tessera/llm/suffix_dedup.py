@@ -63,7 +63,7 @@ def _apply(n: int, keep: bool):
         if not docs.num_rows:
             return ARROW.empty_table()
         data, first = ta.utf8(docs.column("text"))
-        gone = rp.covered(rows, rp._doc_rows(docs), first, n)
+        gone = rp.covered(rows, docs, first, n)
         out = []
         for i, doc in enumerate(docs.column("doc_id").to_pylist()):
             a, b = int(first[i]), int(first[i + 1])

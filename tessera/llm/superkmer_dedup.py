@@ -52,7 +52,7 @@ def _apply(n: int, keep: bool):
         if not docs.num_rows:
             return ARROW.empty_table()
         s = rp.symbols(docs.column("text"), True)
-        gone = rp.covered(rows, rp._doc_rows(docs), s.first, n)
+        gone = rp.covered(rows, docs, s.first, n)
         out = []
         for i, doc in enumerate(docs.column("doc_id").to_pylist()):
             a, b = int(s.first[i]), int(s.first[i + 1])

@@ -83,6 +83,29 @@ def test_superkmer_dedup(spark, docs, empty):
     assert removed == {(None, 0), (3, 120), (3, 0), (4, 120)}
 
 
+REPEATED = [(None, BASE[0]), (None, BASE[0]), (1, BASE[0]), (1, BASE[0]), (1, BASE[0]), (2, BASE[1]), (3, BASE[1]), (3, BASE[1]), (3, BASE[2]), (4, BASE[3] + " " + BASE[1]), (4, BASE[3] + " " + BASE[1]), (5, None), (5, None), (5, "")]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_suffix_dedup_of_repeated_rows(spark, parts):
+    """Every equal row loses what the one place of its id and text loses; ids hold one text or texts that share nothing."""
+    frame = spark.createDataFrame(REPEATED, "doc_id long, text string").repartition(parts)
+    places = list(dict.fromkeys(REPEATED))  # in order of id
+    once = dict(zip(places, suffix_dedup.reference([(i, t) for i, (_, t) in enumerate(places)]), strict=True))
+    want = [(d, *once[d, t][1:]) for d, t in REPEATED]
+    got = [tuple(r) for r in suffix_dedup.suffix_dedup(frame, keep=False).drop("kept").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_superkmer_dedup_of_repeated_rows(spark, parts):
+    """Every equal row loses the words that an earlier document has."""
+    frame = spark.createDataFrame(REPEATED, "doc_id long, text string").repartition(parts)
+    want = sorted(superkmer_dedup.reference([(-1 if d is None else d, t) for d, t in REPEATED]))
+    got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in superkmer_dedup.superkmer_dedup(frame, keep=False).drop("kept").collect())
+    assert got == want
+
+
 def test_jaccard_join(spark, docs, empty):
     assert rows(jaccard_join.jaccard_join(docs)) == sorted(jaccard_join.reference(DOCS))
     assert jaccard_join.least_equal(32, 0.8, 1e-7) < 20
