@@ -1,64 +1,122 @@
-"""Document fingerprints from closed syncmers.
-
-A text is read as tokens: runs of letters and digits of alphabetic scripts, and every other letter (ideographs) alone.
-A k-mer is K consecutive tokens; it is a closed syncmer when the least hash among its inner s-mers stands first or
-last. Whether it is chosen depends on the k-mer alone, so the same passage gives the same anchors wherever it stands.
-The fingerprint lists the anchors in order, 32 bits of each k-mer's hash; likeness is the share of distinct anchors
-that two fingerprints have in common. Only column expressions are used; every text is read whole.
-
-Defined results: a null text is empty; an empty text has an empty fingerprint; a text of fewer than K tokens has one
-anchor, the hash of its tokens, or of the text where it has none; two empty fingerprints are alike (1), an empty and a
-non-empty one are not (0). A null doc_id counts as the smallest; the document after several rows of one id is that of
-the next smaller id, and of several texts under that id the least prefix is taken; a lone id follows itself; other
-columns are not read.
+"""Document fingerprints from closed syncmers over code points.
+
+A text is read as its code points, with K - 1 marks before and after it. A k-mer is K consecutive ones, so it holds one
+code point of the text at least; it is a closed syncmer when the least hash among its inner s-mers stands first or last.
+Whether it is chosen depends on the k-mer alone, so the same passage gives the same anchors wherever it stands, but for
+those that reach over an end of the text. One of any K - S + 1 consecutive k-mers is chosen: every text that is not
+empty has an anchor, by one rule for all lengths and scripts. The fingerprint lists the anchors in order, 32 bits of
+each k-mer's hash; likeness is the share of distinct anchors that two fingerprints have in common. Every text is read
+whole. Joins and edits are column expressions; anchors are found in Arrow batches, 2 MB of texts (or one text) at once.
+
+Defined results: a null text is empty; an empty text has an empty fingerprint; two empty fingerprints are alike (1), an
+empty and a non-empty one are not (0). A null doc_id counts as the smallest; the document after several rows of one id
+is that of the next smaller id, and of several texts under that id the least prefix is taken; a lone id follows itself;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import textarrays as ta
 from tessera.runtime import partitions, table
 
-K, S = 8, 2
-TOKEN = "[0-9A-Za-z\\u00C0-\\u1FFF]+|[\\u2C00-\\uFFFD\\x{10000}-\\x{10FFFF}]"
+K, S = 16, 4
 NULL_ID = -(1 << 63)
 RANGES = 256
-
-
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array<long> of the anchors in order; ``text`` is not null."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    start = F.struct(F.transform(tokens, lambda w: F.xxhash64(w)).alias("h"))
-    return F.transform(F.array(start), lambda x: _chosen(text, x["h"], k, s))[0]
-
-
-def _chosen(text: Column, h: Column, k: int, s: int) -> Column:
-    short = lambda x: F.shiftrightunsigned(x, 32)
-    inner = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
-    last = k - s
-
-    def edge(m: Column) -> Column:
-        """Places whose k-mer is a closed syncmer, from the s-mer hashes."""
-
-        def closed(i: Column) -> Column:
-            least = F.least(*[F.get(m, i + j) for j in range(1, last)])
-            return (F.get(m, i) <= least) & (F.get(m, i) <= F.get(m, i + last)) | (F.get(m, i + last) <= least) & (F.get(m, i + last) <= F.get(m, i))
-
-        return F.filter(F.sequence(F.lit(0), F.size(h) - k), closed)
-
-    picked = F.transform(F.array(F.struct(inner.alias("m"))), lambda x: F.transform(edge(x["m"]), lambda i: short(F.xxhash64(*[F.get(h, i + j) for j in range(k)]))))[0]
-    few = F.when(F.size(h) > 0, F.array(short(F.xxhash64(h)))).when(F.length(text) > 0, F.array(short(F.xxhash64(text)))).otherwise(F.array().cast("array<bigint>"))
-    return F.when((F.size(h) < k) | (F.size(picked) == 0), few).otherwise(picked)
-
-
-def spelled(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), " ")
-
-
-def likeness(a: Column, b: Column) -> Column:
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+GIVEN = "asker long, head string, next binary"
+GIVEN_ARROW = pa.schema([("asker", pa.int64()), ("head", pa.string()), ("next", pa.binary())])
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_HEX = np.frombuffer(b"".join(b"%02x" % i for i in range(256)), np.uint8).reshape(256, 2)
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values, have = np.minimum(values[:-step], values[step:]), have + step
+    return values
+
+
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A value of each code point (its bytes as a number), and the n + 1 offsets of the rows."""
+    data, offsets = ta.utf8(column)
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint32), offsets
+    begins = (data & 0xC0) != 0x80
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    lengths = np.diff(starts, append=len(data))
+    values = data[starts].astype(np.uint32)
+    for i in range(1, 4):
+        more = np.flatnonzero(lengths > i)
+        values[more] = (values[more] << np.uint32(8)) | data[starts[more] + i]
+    return values, np.searchsorted(starts, offsets)
+
+
+def anchors(column: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of all rows in order, and the n + 1 offsets of the rows."""
+    values, first = code_points(column)
+    lens = np.diff(first)
+    places = np.cumsum(np.concatenate([[0], lens + k - 1]))  # of the marks before each row; a row's k-mers begin there
+    marked = np.zeros(int(places[-1]) + k - 1, np.uint64)
+    marked[np.arange(len(values)) + np.repeat(places[:-1] + k - 1 - first[:-1], lens)] = values + ta.U64(1)
+    inner = ta.rolling(marked, s)
+    least, last = _least(inner, k - s + 1), k - s
+    n = int(places[-1])
+    closed = (inner[:n] == least[:n]) | (inner[last : last + n] == least[:n])
+    closed &= np.repeat(lens > 0, lens + k - 1)
+    picked = np.flatnonzero(closed)
+    return (ta.rolling(marked, k)[picked] >> ta.U64(32)).astype(np.uint32), np.searchsorted(picked, places)
+
+
+def spelled(found: np.ndarray, first: np.ndarray) -> list[str]:
+    """Anchors of each row as eight hexadecimal digits, with a space between."""
+    out = np.full((len(found), 9), 0x20, np.uint8)
+    out[:, :8] = _HEX[found.astype(">u4").view(np.uint8).reshape(-1, 4)].reshape(-1, 8)
+    raw = out.tobytes().decode("ascii")
+    return [raw[9 * a : max(9 * a, 9 * b - 1)] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _sets(found: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(found[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            for a, b in ta.chunks(ta.utf8(batch.column("text"))[1]):
+                yield batch.slice(a, b - a)
+
+
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in _pieces(batches):
+        sets = [v.tobytes() for v in _sets(*anchors(x.column("text")))]
+        yield pa.RecordBatch.from_arrays([x.column("asker"), x.column("head").cast(pa.string()), pa.array(sets, pa.binary())], schema=GIVEN_ARROW)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in _pieces(batches):
+        own, changed = anchors(x.column("text")), anchors(x.column("edited"))
+        sets, after = _sets(*own), [np.frombuffer(v, np.uint32) for v in x.column("next").to_pylist()]
+        near = [likeness(a, b) for a, b in zip(sets, _sets(*changed), strict=True)]
+        near_next = [likeness(a, b) for a, b in zip(sets, after, strict=True)]
+        made = [pa.array(spelled(*own), pa.string()), pa.array(spelled(*changed), pa.string()), pa.array(near, pa.float64()), pa.array(near_next, pa.float64())]
+        yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("n_chars"), x.column("edited_sha256").cast(pa.string()), *made], schema=ARROW)
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -90,22 +148,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = lambda c: F.floor(F.length(c) / 2).cast("int")
     asked = rows.groupBy("key").agg(F.max(half(F.col("text"))).alias("half")).join(following(rows.select("key")), "key")
     asked = asked.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "half")
-    given = rows.join(asked, "key").select("asker", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), anchors(F.col("text")).alias("next"))
-    given = given.groupBy("asker").agg(F.min(F.struct("head", "next")).alias("given"))
+    given = rows.join(asked, "key").select("asker", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), "text")
+    given = given.mapInArrow(_given, GIVEN).groupBy("asker").agg(F.min(F.struct("head", "next")).alias("given"))
     met = rows.join(given, rows["key"] == given["asker"])
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half(F.col("text"))), F.substring(F.col("given.head"), F.lit(1), half(F.col("text"))))
     met = met.select("key", "text", edited.alias("edited"), F.col("given.next").alias("next"))
-    met = met.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("changed"), "next")
-    return met.select(
-        F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"),
-        "n_chars",
-        "edited_sha256",
-        spelled(F.col("own")).alias("fingerprint"),
-        spelled(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
-    )
+    doc_id = F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id")
+    return met.select(doc_id, n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next").mapInArrow(_compared, SCHEMA)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

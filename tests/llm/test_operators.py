@@ -151,6 +151,41 @@ def test_syncmers(docs, empty):
     assert rows(syncmers.fingerprints(empty)) == []
 
 
+def plain_anchors(text, k=syncmers.K, s=syncmers.S):
+    """Anchors by the rule, one k-mer after another."""
+    low, inverse = (1 << 64) - 1, lambda h: ((h ^ h >> 31) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
+    last = lambda h: ((h ^ h >> 27) * 0x94D049BB133111EB) & low
+    spread = lambda h: (lambda x: x ^ x >> 31)(last(inverse(h)))
+    hashed = lambda v: spread(sum(x * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, x in enumerate(v)) & low)
+    marked = [0] * (k - 1) + [int.from_bytes(c.encode()) + 1 for c in text] + [0] * (k - 1)
+    out = []
+    for i in range(len(text) + k - 1 if text else 0):
+        inner = [hashed(marked[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append("%08x" % (hashed(marked[i : i + k]) >> 32))
+    return out
+
+
+SHORT = ["the quick brown fox jumps over", "one lazy dog", "日本語のテキストを読む人", "ab", "é", "", None, "ok 😀 ก้าวไปข้างหน้า"]
+UNSPACED = ["ประเทศไทยมีประชากรและวัฒนธรรมที่หลากหลาย" * 10, "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(8)), "xK9" + "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300))]
+
+
+def test_syncmers_of_short_and_unspaced_texts(spark):
+    """Anchors are local: a text with a changed half, or one changed letter, keeps some of them, however short or unspaced."""
+    docs = [*enumerate(SHORT + UNSPACED), *((100 + i, t[:150] + "q" + t[151:]) for i, t in enumerate(UNSPACED))]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    for d, t in docs:
+        assert got[d]["fingerprint"].split() == plain_anchors(t or "")
+    for d in range(len(SHORT)):
+        assert got[d]["fingerprint"] or not SHORT[d]
+    for d in (0, 1, 2, 7, 8, 9, 10):
+        assert 0.1 < got[d]["near_edited"] < 1
+    for i in range(len(UNSPACED)):
+        a, b = (set(got[d]["fingerprint"].split()) for d in (len(SHORT) + i, 100 + i))
+        assert len(a & b) > 0.7 * len(a | b)
+        assert got[len(SHORT) + i]["n_chars"] == len(UNSPACED[i])
+
+
 def test_language_id(spark, docs, empty):
     sample = [(i, prose(i, 60), "x") for i in range(12)] + [(100 + i, " ".join(random.Random(i).choice(["the", "and", "of", "thing"]) for _ in range(60)), "y") for i in range(12)] + [(300, None, "x"), (301, "12 34", None)]
     train = spark.createDataFrame(sample, "doc_id long, text string, lang string")
