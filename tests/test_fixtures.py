@@ -105,3 +105,27 @@ def test_corpus_files(spark, tmp_path):
     marks = spark.createDataFrame([("a", "jq", "/r/a/lib/j.js", "/r/a"), ("a", "out", "/other", "/r/a")], "app string, key string, full string, root string")
     S.mark_library(marks, str(tmp_path / "marks"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "marks")).collect()] == ["jq, lib/j.js"]
+
+
+def test_mismatch_metrics_of_whole_texts(spark, tmp_path):
+    """Prefix, suffix and distance go past the first 40 characters."""
+    from tessera.jobs import html_jobs
+
+    body = "".join(random.Random(3).choices("abcö😀 ", k=300))
+    texts = [body, body[:150] + "X" + body[150:], body[:99] + body[101:], "", "X", body + body, body + "X" + body]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def distance(s, t):
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(s, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(t, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    def common(s, t):
+        return next((i for i, (c, e) in enumerate(zip(s, t)) if c != e), min(len(s), len(t)))
+
+    got = {tuple(r) for r in html_jobs.QUERIES["h13_whole_text_metrics"](spark, str(tmp_path)).collect()}
+    assert got == {(i, common(s, t), common(s[::-1], t[::-1]), distance(s, t)) for i, (s, t) in enumerate(zip(texts, texts[1:]))}
+    assert (0, 150, 150, 1) in got
