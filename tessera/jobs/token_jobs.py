@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.jobs import bindings as B
@@ -54,6 +54,17 @@ def a3(spark, d):
     return found.select("app", "name", "rep", text.alias("tokens"), F.col("size").cast("long").alias("size"))
 
 
+def _spelled(tokens: str, between: str) -> Column:
+    return F.array_join(F.transform(tokens, lambda t: F.concat_ws(":", t["source_id"].cast("string"), t["pos"].cast("string"))), between)
+
+
+@query("a3_all_property_questions", f"{B.T3} SELECT app, name, rep, string_agg(source_id || ':' || pos, ',' ORDER BY source_id, pos) AS tokens, count(*) AS size FROM tok WHERE source_id % 5 != 0 GROUP BY app, name, rep")
+def a3_all(spark, d):
+    """All names; only tokens outside the library count."""
+    found = O.property_questions(B.tokens(spark, d), F.col("source_id") % 5 != 0)
+    return found.select("app", "name", "rep", _spelled("tokens", ",").alias("tokens"), F.col("size").cast("long").alias("size"))
+
+
 @query("a4_name_stats", f"{B.T3} SELECT * FROM ns")
 def a4(spark, d):
     return _stats(spark, d)
@@ -193,6 +204,17 @@ def e6(spark, d):
     return O.order_questions(groups, F.lit(100)).select("app", "name", "rep", "question", text.alias("tokens"))
 
 
+@query(
+    "e6_order_all_questions",
+    f"{B.T3}, g AS (SELECT app, name, rep, min((CASE WHEN source_id = 100 THEN 0 ELSE 1 END, source_id, pos)) AS f, string_agg(source_id || ':' || pos, ' ' ORDER BY CASE WHEN source_id = 100 THEN 0 ELSE 1 END, source_id, pos) AS tokens FROM tok GROUP BY app, name, rep)"
+    " SELECT app, name, rep, CAST(row_number() OVER (PARTITION BY app, name ORDER BY f) AS INTEGER) AS question, tokens FROM g",
+)
+def e6_all(spark, d):
+    """All names."""
+    groups = O.property_questions(B.tokens(spark, d))
+    return O.order_questions(groups, F.lit(100)).select("app", "name", "rep", "question", _spelled("tokens", " ").alias("tokens"))
+
+
 @query(
     "e7_select_tokens",
     f"{B.T3}, t AS (SELECT app, name, min((source_id, pos)) AS t FROM tok WHERE name LIKE '%7' GROUP BY app, name), hit AS (SELECT DISTINCT k.app, k.name, k.rep FROM tok k JOIN t ON k.app = t.app AND k.name = t.name AND (k.source_id, k.pos) = t.t UNION SELECT DISTINCT app, name, rep FROM tok WHERE name LIKE '%7' AND rep = 2)"

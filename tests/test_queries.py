@@ -36,3 +36,13 @@ def test_query(name, spark, sf, duck):
 def test_every_query_is_registered_with_its_sql():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"e13_random_kill_set"}
+
+
+def test_questions_of_all_names(spark, sf):
+    """Every name of the tokens is asked for, and every token stands in one question."""
+    from tessera.jobs import bindings
+
+    tokens = bindings.tokens(spark, sf).select("app", "name", "source_id")
+    for name, asked in (("a3_all_property_questions", tokens.where("source_id % 5 != 0")), ("e6_order_all_questions", tokens)):
+        found = registry.QUERIES[name](spark, sf).selectExpr("app", "name", "size(split(tokens, '[, ]')) AS n").groupBy("app", "name").sum("n")
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in asked.groupBy("app", "name").count().collect()}
