@@ -91,6 +91,37 @@ def a14(spark, d):
     return C.token_coverage(B.tokens(spark, d), _dynamic(spark, d), ["app", "name", "source_id", "pos"])
 
 
+#: Run time saw all sources but every tenth; a token has the objects of all tokens of its source.
+_CHAINED = (
+    B.T3.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", dt AS (SELECT DISTINCT t.app, t.name, o.obj, (t.source_id, t.pos) AS item FROM tok t JOIN (SELECT DISTINCT source_id, obj FROM tok) o ON o.source_id = t.source_id WHERE t.source_id % 10 != 0),"
+    " st AS (SELECT app, name, item AS dst, min(item) OVER (PARTITION BY app, name, obj) AS src FROM dt), ed AS (SELECT app, name, src, dst FROM st UNION SELECT app, name, dst, src FROM st),"
+    " rc AS (SELECT app, name, dst AS item, dst AS root FROM ed UNION SELECT rc.app, rc.name, ed.dst, rc.root FROM rc JOIN ed ON ed.app = rc.app AND ed.name = rc.name AND ed.src = rc.item),"
+    " la AS (SELECT app, name, item, min(root) AS rep FROM rc GROUP BY app, name, item)"
+)
+
+
+def _chained(spark: SparkSession, d: str) -> DataFrame:
+    tok = B.tokens(spark, d)
+    return tok.drop("obj").where("source_id % 10 != 0").join(tok.select("source_id", "obj").distinct(), "source_id").distinct()
+
+
+@query("a18_chained_components", f"{_CHAINED} SELECT {_TEXT} FROM la")
+def a18_chained(spark, d):
+    """Tokens have several objects, so components chain."""
+    return _pairs(C.dynamic_components(_chained(spark, d)))
+
+
+@query("j10_chained_pairs", f"{_CHAINED}, {_heads_sql('sm', 'tok')}, {_NOT_IN}, lv AS (SELECT DISTINCT app, name, item FROM dt) SELECT {_TEXT}, x.dead FROM (SELECT np.*, (app, name, rep) NOT IN (SELECT (app, name, item) FROM lv) OR (app, name, item) NOT IN (SELECT (app, name, item) FROM lv) AS dead FROM np WHERE (app, name) IN (SELECT (app, name) FROM lv)) x")
+def j10_chained(spark, d):
+    return _pairs(C.suspicious_static_pairs(heads(spark, d, 16), C.dynamic_components(_chained(spark, d)), show_dead=True))
+
+
+@query("a14_chained_coverage", f"{_CHAINED} SELECT app, 100.0 * count(*) FILTER ((app, name, (source_id, pos)) IN (SELECT (app, name, item) FROM dt)) / count(*) AS coverage FROM tok GROUP BY app")
+def a14_chained(spark, d):
+    return C.token_coverage(B.tokens(spark, d), _chained(spark, d), ["app", "name", "source_id", "pos"])
+
+
 _ALIAS = f"{B.T3}, al AS (SELECT DISTINCT app, source_id || '@' || (pos % 7) AS expr_id, obj FROM tok)"
 
 

@@ -46,3 +46,16 @@ def test_questions_of_all_names(spark, sf):
     for name, asked in (("a3_all_property_questions", tokens.where("source_id % 5 != 0")), ("e6_order_all_questions", tokens)):
         found = registry.QUERIES[name](spark, sf).selectExpr("app", "name", "size(split(tokens, '[, ]')) AS n").groupBy("app", "name").sum("n")
         assert {tuple(r) for r in found.collect()} == {tuple(r) for r in asked.groupBy("app", "name").count().collect()}
+
+
+def test_chained_components(spark, sf):
+    """The objects are those of all line items but a share, and some components are more than the tokens of one object."""
+    from pyspark.sql import functions as F
+
+    from tessera.jobs import bindings, compare_jobs
+
+    tokens, found = bindings.tokens(spark, sf), compare_jobs._chained(spark, sf)
+    assert found.select("app", "name", "source_id", "pos").distinct().count() == tokens.where("source_id % 10 != 0").count()
+    most = found.groupBy("app", "name", "obj").agg(F.count_distinct("source_id", "pos").alias("n")).groupBy("app", "name").agg(F.max("n").alias("most"))
+    sizes = registry.QUERIES["a18_chained_components"](spark, sf).groupBy("app", "name", "rep").count()
+    assert sizes.join(most, ["app", "name"]).where("count > most").count() > 0
