@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session without one gets a temporary one."""
     sc = spark.sparkContext
     set_to = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_to = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(set_to)
@@ -37,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet into the shared folder and read them back (smaller than a checkpoint for wide rows)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """Broadcast when counted to be small, else left to the planner."""
+    return F.broadcast(df) if df.count() <= most else df
