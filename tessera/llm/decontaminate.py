@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
@@ -28,19 +29,15 @@ N = 10
 BLOCK_BYTES = 64 << 20
 
 WINDOWS = T.StructType([T.StructField("hash", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("item", T.StringType())])
-FOUND = T.StructType([
-    T.StructField("n_words", T.LongType()),
-    T.StructField("hits", T.ArrayType(T.IntegerType())),
-    T.StructField("items", T.ArrayType(T.StringType())),
-    T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
-])
+FOUND = "struct<n_words:bigint,hits:array<int>,items:array<string>,spans:array<array<int>>>"
+FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int32())))])
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = ta.utf8(column)
     data = ta.lower_ascii(data)
     starts, ends, first = ta.word_spans(data, offsets, ta.ALNUM)
-    hashes = ta.span_hash(ta.prefix(data.astype(ta.U64) + ta.U64(1)), starts, ends)
+    hashes = ta.word_hash(data, starts, ends)
     return data, offsets, starts, ends, first, hashes
 
 
@@ -89,26 +86,18 @@ class _Block:
         return out
 
 
-def _scan(block_var, earlier: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(block_var):
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         block: _Block = block_var.value
         flags = {size: block.flags(size) for size in block.hashes}
-        for batch in batches:
-            column = batch.column("text")
+        for column, earlier in columns:
             _, offsets = ta.utf8(column)
-            for a, b in ta.chunks(offsets):
-                part = batch.slice(a, b - a)
-                found = part.column("found").to_pylist() if earlier else [None] * (b - a)
-                rows = _scan_chunk(block, flags, part.column("text"), found)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(rows, _found_type())], ["row", "text", "found"])
+            rows = [x for a, b in ta.chunks(offsets) for x in _scan_chunk(block, flags, column.slice(a, b - a), earlier.slice(a, b - a).to_pylist())]
+            yield pa.array(rows, FOUND_ARROW)
 
     return run
 
 
-def _found_type() -> pa.DataType:
-    return pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int32())))])
-
-
 def _scan_chunk(block: _Block, flags: dict, column: pa.Array, found: list) -> list[dict]:
     data, offsets, starts, ends, first, hashes = _words(column)
     hits: dict[int, set[int]] = {}
@@ -155,24 +144,21 @@ def _runs(data: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarray, hi
 
 def _blocks(rows: DataFrame, bound: int) -> Iterator[list]:
     size = rows.agg(F.sum(F.length("words") + F.length("item") + 64)).first()[0] or 0
-    n = -(-size // bound)
+    n = max(1, -(-size // bound))
     for b in range(n):
         kept = rows if n == 1 else rows.where(F.pmod(F.xxhash64("words", "item"), F.lit(n)) == b)
         yield kept.collect()  # at most about ``bound`` bytes, by the sum above
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", bound: int = BLOCK_BYTES) -> DataFrame:
-    """``row`` (the document's own columns) and ``found``: n_words, hit word indexes, items, spans of hit runs in code points."""
-    spark = docs.sparkSession
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("text"))
-    out = None
+    """``row`` (the document's own columns) and ``found``: n_words, hit word indexes, items, spans of hit runs in code points.
+
+    Only texts go to Python; with several blocks each text meets one after the other there.
+    """
+    text, found = docs[f"`{text_col}`"], F.lit(None).cast(FOUND)
     for block in _blocks(windows(benchmark, n), bound):
-        step = T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("found", FOUND)])
-        out = (rows if out is None else out).mapInArrow(_scan(spark.sparkContext.broadcast(_Block(block)), out is not None), step)
-    if out is None:
-        step = T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("found", FOUND)])
-        out = rows.mapInArrow(_scan(spark.sparkContext.broadcast(_Block([])), False), step)
-    return out.drop("text")
+        found = F.arrow_udf(_scan(docs.sparkSession.sparkContext.broadcast(_Block(block))), FOUND, ArrowUDFType.SCALAR_ITER)(text, found)
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), found.alias("found"))
 
 
 def clean(scanned: DataFrame, columns: list[str], mode: str = "document", text_col: str = "text") -> DataFrame:

@@ -2,13 +2,14 @@
 
 A language's profile is its ``SIZE`` most frequent letter n-grams (1 to 3 letters, word edges count as a sign) in
 order; a text's distance to it is the sum, over the text's own most frequent n-grams, of how far each is out of place
-(``SIZE`` when the profile lacks it). Profiles are fitted on at most ``fit_docs`` labelled documents a language, taken
-in order of a hash of doc_id; every text is read whole when it is judged. Profiles are broadcast after their number is
-checked against ``MOST_LABELS``.
+(``SIZE`` when the profile lacks it). Profiles are fitted on at most ``fit_docs`` distinct labelled documents a
+language, taken in order of a hash of id and text; every text is read whole when it is judged. Profiles are broadcast in
+blocks of ``labels`` languages (``SIZE`` entries each, about 70 MB a full block); a text is judged against every block.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing is
 labelled; ties go to the first label in order; rows with a null label are not learned from; a null doc_id is never
-held out; other columns pass untouched. The score is 1 - distance / largest possible distance.
+held out and is learned from like others; repeated rows are learned from once and judged alike; very long texts are
+held whole, one at a time; other columns pass untouched. The score is 1 - distance / largest possible distance.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
 from tessera.llm import textarrays as ta
-from tessera.runtime import cut, table
+from tessera.runtime import small, table, written
 
-SIZE, FIT_DOCS, MOST_LABELS = 300, 4000, 20_000
-CHUNK = 1 << 20
-GUESS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+SIZE, FIT_DOCS, LABELS = 300, 4000, 20_000
+CHUNK = 1 << 18
+GUESS = "struct<lang:string,score:double>"
+GUESS_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
 @cache
@@ -71,70 +74,73 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Profiles:
-    """Labels and, for every n-gram of any profile, its rank in each."""
+    """Labels and, for every n-gram of any profile, the labels that have it with its rank in each."""
 
     def __init__(self, rows: list) -> None:
         by: dict[str, list[tuple]] = {}
         for r in rows:
             by.setdefault(r["lang"], []).append((-r["n"], r["code"] & ((1 << 64) - 1)))
         self.labels = sorted(by)
-        self.codes = np.array(sorted({c for x in by.values() for _, c in x}), np.uint64)
-        self.ranks = np.full((len(self.labels), len(self.codes) + 1), -1, np.int32)
-        for k, lang in enumerate(self.labels):
-            for rank, (_, code) in enumerate(sorted(by[lang])):
-                self.ranks[k, np.searchsorted(self.codes, np.uint64(code))] = rank
+        entries = sorted((code, k, rank) for k, lang in enumerate(self.labels) for rank, (_, code) in enumerate(sorted(by[lang])))
+        codes = np.array([e[0] for e in entries], np.uint64)
+        self.codes, begin = np.unique(codes, return_index=True)
+        self.first = np.append(begin, len(codes))
+        self.label, self.rank = (np.array([e[i] for e in entries], np.int32) for i in (1, 2))
 
     def guess(self, codes: np.ndarray) -> tuple[str, float]:
         top = ranked(codes)
         if not len(top) or not self.labels:
             return "und", 0.0
         at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
-        at = np.where(self.codes[at] == top, at, len(self.codes))
-        ranks = self.ranks[:, at]
-        away = np.where(ranks < 0, SIZE, np.abs(ranks - np.arange(len(top))))
-        total = away.sum(axis=1)
+        known = np.flatnonzero(self.codes[at] == top)
+        first, count = self.first[at[known]], self.first[at[known] + 1] - self.first[at[known]]
+        entry = np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
+        near = SIZE - np.abs(self.rank[entry] - np.repeat(known, count))  # what each n-gram in the profile spares
+        total = SIZE * len(top) - np.bincount(self.label[entry], near, len(self.labels))
         best = int(total.argmin())
         return self.labels[best], 1.0 - float(total[best]) / (SIZE * len(top))
 
 
-def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Profiles:
-    """Profiles from (doc_id, text, lang) rows: at most ``fit_docs`` documents a language."""
-    spark = labelled.sparkSession
-    named = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = [r for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()]
-    if len(sizes) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    if not sizes:
-        return Profiles([])
+def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, labels: int = LABELS) -> list[Profiles]:
+    """Profiles from (doc_id, text, lang) rows, in blocks of ``labels``: at most ``fit_docs`` documents a language."""
+    named = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # about twice the wanted number by hash first, so that no task puts a whole language in order
-    share = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * fit_docs / r["n"])) for r in sizes], "lang string, share double")
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    some = named.join(F.broadcast(share), "lang").where(hashed <= F.col("share"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
-    chosen = cut(some.select("lang", "doc_id").withColumn("_order", order).where(F.col("_order") <= fit_docs).select("doc_id", "lang").distinct())
-    sample = some.join(F.broadcast(chosen) if len(sizes) * fit_docs <= 400_000 else chosen, ["doc_id", "lang"], "left_semi")
+    share = small(written(sizes.select("lang", F.least(F.lit(1.0), F.lit(2.0 * fit_docs) / F.col("n")).alias("share"))))
+    some = named.join(share, "lang").where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) <= F.col("share")).select("lang", "text", F.pmod("hash", F.lit(1 << 30)).alias("part"), "hash")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("part", "hash"))
+    last = some.select("lang", "part", "hash").distinct().withColumn("place", order).where(F.col("place") <= fit_docs).groupBy("lang").agg(F.max(F.struct("part", "hash")).alias("last"))
+    sample = some.join(small(written(last)), "lang").where(F.struct("part", "hash") <= F.col("last")).groupBy("lang", "hash").agg(F.first("text").alias("text"))
     counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    return Profiles(counts.withColumn("_rank", first).where(F.col("_rank") <= SIZE).drop("_rank").collect())  # SIZE rows a label
-
-
-def _guess(profiles):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = ta.utf8(batch.column("text"))
+    rows = counts.withColumn("_rank", first).where(F.col("_rank") <= SIZE).drop("_rank")
+    n = last.count()
+    if n <= labels:
+        return [Profiles(rows.collect())]  # SIZE rows a label
+    blocks, rows = -(-n // labels), written(rows)
+    return [Profiles(rows.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).collect()) for b in range(blocks)]
+
+
+def _guess(profiles: Broadcast):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out: list[tuple] = []
+            _, offsets = ta.utf8(column)
             for a, b in ta.chunks(offsets, CHUNK):
-                part = batch.slice(a, b - a)
-                found = [profiles.value.guess(c) for c in ngrams(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])], ["row", "guess"])
+                out += [profiles.value.guess(c) for c in ngrams(column.slice(a, b - a).to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], fields=list(GUESS_ARROW))
 
     return run
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``row`` (the document's columns, or those of ``carry``) and ``guess`` (lang, score)."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry or docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    return rows.mapInArrow(_guess(shared), T.StructType([rows.schema["row"], T.StructField("guess", GUESS)]))
+def identify(docs: DataFrame, profiles: list[Profiles], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the document's columns, or those of ``carry``) and ``guess`` (lang, score). Only texts go to Python."""
+    share = docs.sparkSession.sparkContext.broadcast
+    text = docs[f"`{text_col}`"]
+    guesses = [F.arrow_udf(_guess(share(p)), GUESS, ArrowUDFType.SCALAR_ITER)(text) for p in profiles]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry or docs.columns]).alias("row"), F.array(*guesses).alias("guesses"))
+    best = F.element_at(F.array_sort("guesses", lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["lang"] < b["lang"], -1).when(a["lang"] > b["lang"], 1).otherwise(0)), 1)
+    return rows.select("row", (F.element_at("guesses", 1) if len(guesses) == 1 else best).alias("guess"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -14,7 +14,7 @@ U64 = np.uint64
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept between calls up to 4 million."""
+    """BASE**i and BASE**-i modulo 2**64 for i < n, kept between calls up to a million."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, 1 << 16)
         for name, base in (("up", BASE), ("down", INVERSE)):
@@ -22,7 +22,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             _POWERS[name] = np.multiply.accumulate(p)
     up, down = _POWERS["up"], _POWERS["down"]
-    if len(up) > 1 << 22:
+    if len(up) > 1 << 20:
         _POWERS.clear()
     return up[:n], down[:n]
 
@@ -51,6 +51,23 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((s[end] - s[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] of all pieces, eight bytes a step, each step through the mixer: no polynomial, so that
+    pieces that a polynomial in powers of an odd number can't tell apart (Thue-Morse words) are told apart."""
+    lengths = ends - starts
+    h = mix(lengths.astype(U64) * U64(INVERSE))
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
+    left, done = np.arange(len(starts)), 0
+    while len(left):
+        rest = np.minimum(lengths[left] - done, 8)
+        block = eight[starts[left] + done]
+        block &= np.where(rest < 8, (U64(1) << (U64(8) * np.maximum(rest, 0).astype(U64) % U64(64))) - U64(1), ~U64(0))
+        h[left] = mix((h[left] ^ block) * U64(BASE) + U64(done))
+        done += 8
+        left = left[lengths[left] > done]
+    return h
+
+
 def rolling(values: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive values."""
     s = prefix(values)
@@ -86,7 +103,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (a longer row stands alone)."""
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -113,6 +130,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+def same_pieces(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+length] equals data[b:b+length], for each of the pieces."""
+    equal = np.ones(len(lengths), bool)
+    total = np.cumsum(lengths)
+    at = 0
+    while at < len(lengths):  # two megabytes at a time
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21), "right")))
+        size = lengths[at:end]
+        some = np.flatnonzero(size > 0)
+        if len(some):
+            differ = gather(data, a[at:end], size) != gather(data, b[at:end], size)
+            begin = (np.cumsum(size) - size)[some]
+            equal[at + some] = np.add.reduceat(differ, begin, dtype=np.int64) == 0
+        at = end
+    return equal
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """data[start:start+length] of all pieces, one after another."""
     total = int(lengths.sum())
@@ -124,6 +158,17 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[index]
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces with a space after each, and where each begins: equal sequences of pieces are equal bytes."""
+    lengths = ends - starts
+    at = np.cumsum(lengths + 1) - lengths - 1
+    out = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[at + lengths] = False
+    out[keep] = gather(data, starts, lengths)
+    return out, at
+
+
 def table_of(include) -> np.ndarray:
     """A table of 256 flags from a rule on the byte."""
     return np.array([bool(include(b)) for b in range(256)])
