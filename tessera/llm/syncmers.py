@@ -1,161 +1,150 @@
-"""Document fingerprints from closed syncmers over code points.
+"""Document fingerprints from closed syncmers over the bytes of UTF-8 texts, as column expressions.
 
-A text is read as its code points, with K - 1 marks before and after it. A k-mer is K consecutive ones, so it holds one
-code point of the text at least; it is a closed syncmer when the least hash among its inner s-mers stands first or last.
-Whether it is chosen depends on the k-mer alone, so the same passage gives the same anchors wherever it stands, but for
-those that reach over an end of the text. One of any K - S + 1 consecutive k-mers is chosen: every text that is not
-empty has an anchor, by one rule for all lengths and scripts. The fingerprint lists the anchors in order, 32 bits of
-each k-mer's hash; likeness is the share of distinct anchors that two fingerprints have in common. Every text is read
-whole. Joins and edits are column expressions; anchors are found in Arrow batches, 2 MB of texts (or one text) at once.
+Every byte has a rank (``RANKS``, rare ones low; bytes of other scripts by a rule). A k-mer, K consecutive bytes, is a
+closed syncmer when the least rank among its bytes, its inner substrings of length one, stands first or last. Whether
+it is chosen depends on the k-mer alone, so a passage gives the same anchors wherever it stands: anchors are free of
+context and can be matched by place. K - 1 marks (a byte that UTF-8 never has, of the highest rank) stand before and
+after a text, so every text that is not empty has an anchor (at its first byte of least rank), by one rule for all
+lengths and scripts. One regular expression with look-arounds of fixed width finds them inside the JVM: per place a few
+table lookups, no recursion, linear in the text.
+
+The fingerprint lists the anchors in order of place, 32 bits of each k-mer's hash; likeness is the share of distinct
+anchors that two fingerprints have in common. ``places`` tells where anchors stand and ``matches`` joins two tables on
+them by document pair and offset.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint; two empty fingerprints are alike (1), an
 empty and a non-empty one are not (0). A null doc_id counts as the smallest; the document after several rows of one id
 is that of the next smaller id, and of several texts under that id the least prefix is taken; a lone id follows itself;
-other columns are not read.
+repeated rows get equal results; a very long text is held whole by one task; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import textarrays as ta
-from tessera.runtime import partitions, table
+from tessera.runtime import partitions, small, table, written
 
-K, S = 16, 4
+K = 24
+#: ASCII by rank, lowest first; what is not listed (controls, signs) has the lowest. Blank, vowels and frequent
+#: consonants come last.
+RANKS = ("", "qxj", "zkQXJZKVWY", "vwyABCDEFGHIJKLMNOPRSTU", "0123456789bpf", "gm,.cu\n", "hldo", "rnsitea ")
+MARK = 0xFF
 NULL_ID = -(1 << 63)
-RANGES = 256
-GIVEN = "asker long, head string, next binary"
-GIVEN_ARROW = pa.schema([("asker", pa.int64()), ("head", pa.string()), ("next", pa.binary())])
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_HEX = np.frombuffer(b"".join(b"%02x" % i for i in range(256)), np.uint8).reshape(256, 2)
-
-
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` consecutive values."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        values, have = np.minimum(values[:-step], values[step:]), have + step
-    return values
-
-
-def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A value of each code point (its bytes as a number), and the n + 1 offsets of the rows."""
-    data, offsets = ta.utf8(column)
-    if not len(data) or data.max() < 0x80:
-        return data.astype(np.uint32), offsets
-    begins = (data & 0xC0) != 0x80
-    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-    starts = np.flatnonzero(begins)
-    lengths = np.diff(starts, append=len(data))
-    values = data[starts].astype(np.uint32)
-    for i in range(1, 4):
-        more = np.flatnonzero(lengths > i)
-        values[more] = (values[more] << np.uint32(8)) | data[starts[more] + i]
-    return values, np.searchsorted(starts, offsets)
-
-
-def anchors(column: pa.Array, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of all rows in order, and the n + 1 offsets of the rows."""
-    values, first = code_points(column)
-    lens = np.diff(first)
-    places = np.cumsum(np.concatenate([[0], lens + k - 1]))  # of the marks before each row; a row's k-mers begin there
-    marked = np.zeros(int(places[-1]) + k - 1, np.uint64)
-    marked[np.arange(len(values)) + np.repeat(places[:-1] + k - 1 - first[:-1], lens)] = values + ta.U64(1)
-    inner = ta.rolling(marked, s)
-    least, last = _least(inner, k - s + 1), k - s
-    n = int(places[-1])
-    closed = (inner[:n] == least[:n]) | (inner[last : last + n] == least[:n])
-    closed &= np.repeat(lens > 0, lens + k - 1)
-    picked = np.flatnonzero(closed)
-    return (ta.rolling(marked, k)[picked] >> ta.U64(32)).astype(np.uint32), np.searchsorted(picked, places)
-
-
-def spelled(found: np.ndarray, first: np.ndarray) -> list[str]:
-    """Anchors of each row as eight hexadecimal digits, with a space between."""
-    out = np.full((len(found), 9), 0x20, np.uint8)
-    out[:, :8] = _HEX[found.astype(">u4").view(np.uint8).reshape(-1, 4)].reshape(-1, 8)
-    raw = out.tobytes().decode("ascii")
-    return [raw[9 * a : max(9 * a, 9 * b - 1)] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-
-
-def _sets(found: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(found[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sets without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    either = len(a) + len(b) - both
-    return both / either if either else 1.0
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            for a, b in ta.chunks(ta.utf8(batch.column("text"))[1]):
-                yield batch.slice(a, b - a)
-
-
-def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in _pieces(batches):
-        sets = [v.tobytes() for v in _sets(*anchors(x.column("text")))]
-        yield pa.RecordBatch.from_arrays([x.column("asker"), x.column("head").cast(pa.string()), pa.array(sets, pa.binary())], schema=GIVEN_ARROW)
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in _pieces(batches):
-        own, changed = anchors(x.column("text")), anchors(x.column("edited"))
-        sets, after = _sets(*own), [np.frombuffer(v, np.uint32) for v in x.column("next").to_pylist()]
-        near = [likeness(a, b) for a, b in zip(sets, _sets(*changed), strict=True)]
-        near_next = [likeness(a, b) for a, b in zip(sets, after, strict=True)]
-        made = [pa.array(spelled(*own), pa.string()), pa.array(spelled(*changed), pa.string()), pa.array(near, pa.float64()), pa.array(near_next, pa.float64())]
-        yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("n_chars"), x.column("edited_sha256").cast(pa.string()), *made], schema=ARROW)
-
-
-def following(ids: DataFrame) -> DataFrame:
+KEYS_A_RANGE = 1_000_000
+
+
+def rank(byte: int) -> int:
+    """Bytes that begin a code point of other scripts have the highest rank, those that follow are spread over all but the lowest."""
+    if byte >= 0xC0:
+        return len(RANKS) - 1
+    if byte >= 0x80:
+        return 1 + (byte * 37 >> 2) % (len(RANKS) - 1)
+    return next((r for r, signs in enumerate(RANKS) if chr(byte) in signs), 0)
+
+
+def pattern(k: int = K) -> str:
+    """Matches, without taking it, the start of every anchor; its only group is the k-mer."""
+    of = lambda test: "[" + "".join(f"\\x{b:02x}" for b in range(256) if test(rank(b))) + "]"
+    first, last = [], []
+    for r in range(len(RANKS)):
+        one, not_less = of(lambda x, r=r: x == r), of(lambda x, r=r: x >= r)
+        first.append(one if r == 0 else f"{one}(?={not_less}{{{k - 1}}})")
+        last.append(one if r == 0 else f"{one}(?<={not_less}{{{k}}})")
+    return f"(?s)(?=((?:{'|'.join(first)}).{{{k - 1}}}|.{{{k - 1}}}(?:{'|'.join(last)})))"
+
+
+def marked(text: Column, k: int = K) -> Column:
+    """The UTF-8 bytes, one sign each, between marks."""
+    marks = F.lit(chr(MARK) * (k - 1))
+    return F.when(text == "", "").otherwise(F.concat(marks, F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), marks))
+
+
+def anchors(text: Column, k: int = K) -> Column:
+    """array<int>: the anchors in order of place."""
+    return _hashed(marked(text, k), k)
+
+
+def _hashed(text: Column | str, k: int) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern(k)), F.lit(1)), lambda x: F.hash(x))
+
+
+def spelled(found: Column) -> Column:
+    """Anchors as eight hexadecimal digits, with a space between."""
+    return F.array_join(F.transform(found, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), " ")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Of two arrays without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
+    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+
+
+def places(docs: DataFrame, k: int = K) -> DataFrame:
+    """(doc_id, place, anchor): where each anchor begins, in bytes of the text (marks before it are negative places)."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), marked(F.coalesce(F.col("text").cast("string"), F.lit("")), k).alias("text")).where("text != ''")
+    cut = rows.select("doc_id", "row", _hashed("text", k).alias("anchors"), F.split("text", pattern(k), -1).alias("pieces"))
+    # no empty piece stands before an anchor at the very start
+    before = F.when(F.size("pieces") > F.size("anchors"), F.col("pieces")).otherwise(F.concat(F.array(F.lit("")), F.col("pieces")))
+    each = F.zip_with("anchors", F.slice(before, 1, F.size("anchors")), lambda x, piece: F.struct(x.alias("anchor"), F.length(piece).alias("step")))
+    steps = cut.select("doc_id", "row", F.posexplode(each).alias("at", "each"))
+    upto = Window.partitionBy("row").orderBy("at")
+    return steps.select("doc_id", (F.sum("each.step").over(upto) - (k - 1)).alias("place"), F.col("each.anchor").alias("anchor"))
+
+
+def matches(left: DataFrame, right: DataFrame, k: int = K) -> DataFrame:
+    """(left_id, right_id, offset, n): anchors that two documents share at one offset, most telling where n is large."""
+    a = places(left, k).select(F.col("doc_id").alias("left_id"), "anchor", F.col("place").alias("left_place"))
+    b = places(right, k).select(F.col("doc_id").alias("right_id"), "anchor", F.col("place").alias("right_place"))
+    return a.join(b, "anchor").groupBy("left_id", "right_id", (F.col("right_place") - F.col("left_place")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def following(ids: DataFrame, keys_a_range: int = KEYS_A_RANGE) -> DataFrame:
     """(key, next_key): for every distinct key the next smaller one, for the smallest the largest.
 
-    Keys are dealt into ranges of about equal size (quantiles, at most ``RANGES``); the order is made inside each range,
-    and only the largest key of each range goes through the driver.
+    Keys are dealt into ranges, more of them as keys grow in number; the order is made inside each range, and only one
+    row of each range meets in one task.
     """
-    spark = ids.sparkSession
-    keys = ids.distinct()
-    n = min(RANGES, max(2, partitions(spark)))
-    found = ids.agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), 1000)).first()[0] or []
-    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(found))]) if found else F.array().cast("array<bigint>")
-    rows = keys.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col("key"))))
-    most = sorted((r["range"], r["most"]) for r in rows.groupBy("range").agg(F.max("key").alias("most")).collect())
-    if not most:
-        return keys.select("key", F.col("key").alias("next_key"))
-    before = [x for at, x in enumerate([most[-1], *most[:-1]]) for x in (F.lit(most[at][0]), F.lit(x[1]).cast("long"))]
+    keys = written(ids.distinct())
+    n = max(partitions(ids.sparkSession), keys.count() // keys_a_range + 1)
+    ranged = written(keys.repartitionByRange(n, "key").select("key", F.spark_partition_id().alias("range")))
+    ends = ranged.groupBy("range").agg(F.max("key").alias("most"))
+    order = Window.orderBy("range")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("range", F.coalesce(F.lag("most").over(order), F.last("most").over(whole)).alias("before"))
     lower = F.lag("key").over(Window.partitionBy("range").orderBy("key"))
-    return rows.select("key", F.coalesce(lower, F.create_map(*before)[F.col("range")]).alias("next_key"))
+    return ranged.join(small(ends), "range").select("key", F.coalesce(lower, "before").alias("next_key"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the contract's columns.
 
-    Both joins read one exchange of (key, text); only the asked-for half of a following text travels on.
+    Both joins read one exchange of (key, text, anchors); of a following document only the asked-for half of its text
+    and its distinct anchors travel on.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.select("key", "text", anchors(F.col("text")).alias("anchors")).repartition(partitions(docs.sparkSession), "key")
     half = lambda c: F.floor(F.length(c) / 2).cast("int")
     asked = rows.groupBy("key").agg(F.max(half(F.col("text"))).alias("half")).join(following(rows.select("key")), "key")
     asked = asked.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "half")
-    given = rows.join(asked, "key").select("asker", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), "text")
-    given = given.mapInArrow(_given, GIVEN).groupBy("asker").agg(F.min(F.struct("head", "next")).alias("given"))
-    met = rows.join(given, rows["key"] == given["asker"])
+    given = found.join(asked, "key").select("asker", F.struct(F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.array_distinct("anchors").alias("next")).alias("given"))
+    given = given.groupBy("asker").agg(F.min("given").alias("given"))
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half(F.col("text"))), F.substring(F.col("given.head"), F.lit(1), half(F.col("text"))))
-    met = met.select("key", "text", edited.alias("edited"), F.col("given.next").alias("next"))
-    doc_id = F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id")
-    return met.select(doc_id, n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next").mapInArrow(_compared, SCHEMA)
+    met = found.join(given, found["key"] == given["asker"]).select("key", "text", "anchors", F.col("given.next").alias("next"), edited.alias("edited"))
+    met = met.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next", anchors(F.col("edited")).alias("changed"))
+    met = met.select("*", F.array_distinct("anchors").alias("set"), F.array_distinct("changed").alias("changed_set"))
+    return met.select(
+        F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        spelled(F.col("anchors")).alias("fingerprint"),
+        spelled(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("set"), F.col("changed_set")).alias("near_edited"),
+        likeness(F.col("set"), F.col("next")).alias("near_next"),
+    )
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
