@@ -5,11 +5,12 @@ closed syncmer when the least rank among its bytes, its inner substrings of leng
 it is chosen depends on the k-mer alone, so a passage gives the same anchors wherever it stands: anchors are free of
 context and can be matched by place. K - 1 marks (a byte that UTF-8 never has, of the highest rank) stand before and
 after a text, so every text that is not empty has an anchor (at its first byte of least rank), by one rule for all
-lengths and scripts. One regular expression with look-arounds of fixed width finds them inside the JVM: per place a few
-table lookups, no recursion, linear in the text.
+lengths and scripts. Regular expressions with look-arounds of fixed width find them inside the JVM, without recursion
+and linear in the text: those led or closed by one of the ``LOW`` lowest ranks start at such a byte only, so most bytes
+cost one table lookup; k-mers without such a byte lie in runs of higher ranks, which are cut out and searched alone.
 
-The fingerprint lists the anchors in order of place, 32 bits of each k-mer's hash; likeness is the share of distinct
-anchors that two fingerprints have in common. ``places`` tells where anchors stand and ``matches`` joins two tables on
+The fingerprint lists the distinct anchors, 32 bits of each k-mer's hash: those with a low first byte, those with a low
+last byte, the others, each in order of place. Likeness is the share of anchors that two fingerprints have in common. ``places`` tells where anchors stand and ``matches`` joins two tables on
 them by document pair and offset.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint; two empty fingerprints are alike (1), an
@@ -21,6 +22,8 @@ are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +32,8 @@ from tessera.runtime import partitions, small, table, written
 K = 24
 #: ASCII by rank, lowest first; what is not listed (controls, signs) has the lowest. Blank, vowels and frequent
 #: consonants come last.
-RANKS = ("", "qxj", "zkQXJZKVWY", "vwyABCDEFGHIJKLMNOPRSTU", "0123456789bpf", "gm,.cu\n", "hldo", "rnsitea ")
+RANKS = ("qxjzkQXJZK0123456789", "vwyVWYABCDEFGHILMNOPRSTU,.\n", "bpf", "gmcu", "hldo", "rnsitea ")
+LOW = 3
 MARK = 0xFF
 NULL_ID = -(1 << 63)
 KEYS_A_RANGE = 1_000_000
@@ -44,15 +48,30 @@ def rank(byte: int) -> int:
     return next((r for r, signs in enumerate(RANKS) if chr(byte) in signs), 0)
 
 
-def pattern(k: int = K) -> str:
+def _bytes(test: Callable[[int], bool]) -> str:
+    return "[" + "".join(f"\\x{b:02x}" for b in range(256) if test(rank(b))) + "]"
+
+
+def _edges(ranks: range, k: int) -> tuple[str, str]:
+    """A byte whose k-mer to the right, or to the left, has none of a lower rank (of ``ranks``, whose first is the least there is)."""
+    one, rest = lambda r: _bytes(lambda x: x == r), lambda r: _bytes(lambda x: x >= r)
+    first = "|".join(one(r) + (f"(?={rest(r)}{{{k - 1}}})" if r > ranks[0] else "") for r in ranks)
+    last = "|".join(one(r) + (f"(?<={rest(r)}{{{k}}})" if r > ranks[0] else "") for r in ranks)
+    return first, last
+
+
+def pattern(k: int = K, ranks: range = range(len(RANKS))) -> str:
     """Matches, without taking it, the start of every anchor; its only group is the k-mer."""
-    of = lambda test: "[" + "".join(f"\\x{b:02x}" for b in range(256) if test(rank(b))) + "]"
-    first, last = [], []
-    for r in range(len(RANKS)):
-        one, not_less = of(lambda x, r=r: x == r), of(lambda x, r=r: x >= r)
-        first.append(one if r == 0 else f"{one}(?={not_less}{{{k - 1}}})")
-        last.append(one if r == 0 else f"{one}(?<={not_less}{{{k}}})")
-    return f"(?s)(?=((?:{'|'.join(first)}).{{{k - 1}}}|.{{{k - 1}}}(?:{'|'.join(last)})))"
+    first, last = _edges(ranks, k)
+    return f"(?s)(?=((?:{first}).{{{k - 1}}}|.{{{k - 1}}}(?:{last})))"
+
+
+def patterns(k: int = K) -> tuple[str, str, str]:
+    """Anchors with a low first byte, those with a low last byte (group 1 is the k-mer), and runs that hold all others."""
+    first, _ = _edges(range(LOW), k)
+    low, high = _bytes(lambda x: x < LOW), _bytes(lambda x: x >= LOW)
+    last = "|".join(f"(?<={_bytes(lambda x, r=r: x == r)})" + (f"(?<={_bytes(lambda x, r=r: x >= r)}{{{k}}})" if r else "") for r in range(LOW))
+    return f"(?s){low}(?<=(?=((?:{first}).{{{k - 1}}})).)", f"(?s){low}(?:{last})(?<=(.{{{k}}}))", f"(?<!{high}){high}{{{k},}}+"
 
 
 def marked(text: Column, k: int = K) -> Column:
@@ -62,12 +81,14 @@ def marked(text: Column, k: int = K) -> Column:
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """array<int>: the anchors in order of place."""
-    return _hashed(marked(text, k), k)
+    """array<int>: the distinct anchors."""
+    signs, (first, last, runs) = marked(text, k), patterns(k)
+    others = F.flatten(F.transform(F.regexp_extract_all(signs, F.lit(runs), F.lit(0)), lambda run: F.regexp_extract_all(run, F.lit(pattern(k, range(LOW, len(RANKS)))), F.lit(1))))
+    return F.array_union(F.array_union(_hashed(signs, first), _hashed(signs, last)), F.transform(others, lambda x: F.hash(x)))
 
 
-def _hashed(text: Column | str, k: int) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern(k)), F.lit(1)), lambda x: F.hash(x))
+def _hashed(text: Column | str, found: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(found), F.lit(1)), lambda x: F.hash(x))
 
 
 def spelled(found: Column) -> Column:
@@ -85,7 +106,7 @@ def likeness(a: Column, b: Column) -> Column:
 def places(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, place, anchor): where each anchor begins, in bytes of the text (marks before it are negative places)."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), marked(F.coalesce(F.col("text").cast("string"), F.lit("")), k).alias("text")).where("text != ''")
-    cut = rows.select("doc_id", "row", _hashed("text", k).alias("anchors"), F.split("text", pattern(k), -1).alias("pieces"))
+    cut = rows.select("doc_id", "row", _hashed("text", pattern(k)).alias("anchors"), F.split("text", pattern(k), -1).alias("pieces"))
     # no empty piece stands before an anchor at the very start
     before = F.when(F.size("pieces") > F.size("anchors"), F.col("pieces")).otherwise(F.concat(F.array(F.lit("")), F.col("pieces")))
     each = F.zip_with("anchors", F.slice(before, 1, F.size("anchors")), lambda x, piece: F.struct(x.alias("anchor"), F.length(piece).alias("step")))
@@ -122,28 +143,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the contract's columns.
 
     Both joins read one exchange of (key, text, anchors); of a following document only the asked-for half of its text
-    and its distinct anchors travel on.
+    and its anchors travel on.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.select("key", "text", anchors(F.col("text")).alias("anchors")).repartition(partitions(docs.sparkSession), "key")
     half = lambda c: F.floor(F.length(c) / 2).cast("int")
     asked = rows.groupBy("key").agg(F.max(half(F.col("text"))).alias("half")).join(following(rows.select("key")), "key")
     asked = asked.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "half")
-    given = found.join(asked, "key").select("asker", F.struct(F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.array_distinct("anchors").alias("next")).alias("given"))
+    given = found.join(asked, "key").select("asker", F.struct(F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("anchors").alias("next")).alias("given"))
     given = given.groupBy("asker").agg(F.min("given").alias("given"))
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half(F.col("text"))), F.substring(F.col("given.head"), F.lit(1), half(F.col("text"))))
     met = found.join(given, found["key"] == given["asker"]).select("key", "text", "anchors", F.col("given.next").alias("next"), edited.alias("edited"))
     met = met.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next", anchors(F.col("edited")).alias("changed"))
-    met = met.select("*", F.array_distinct("anchors").alias("set"), F.array_distinct("changed").alias("changed_set"))
     return met.select(
         F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         spelled(F.col("anchors")).alias("fingerprint"),
         spelled(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("set"), F.col("changed_set")).alias("near_edited"),
-        likeness(F.col("set"), F.col("next")).alias("near_next"),
+        likeness(F.col("anchors"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next")).alias("near_next"),
     )
 
 
