@@ -1,29 +1,36 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
-Base spans (email, ip, card, phone) follow fixed patterns and always stay. More candidates come from wider patterns:
-addresses with spelled-out signs, national phone numbers, long secrets. Four labelers vote yes, no or nothing on every
-candidate and base span of all texts:
+Base spans (email, ip, card, phone) follow fixed patterns and always stay. More candidates come from wider patterns,
+most of which are nothing personal: addresses with spelled-out signs, national phone numbers, long tokens of letters and
+digits (secrets, but also long words, digests, names of files), long numbers (accounts, cards with a wrong digit,
+national ids and IBANs, but also dates, book numbers, time stamps, quantities). Four labelers vote yes, no or nothing
+on every candidate and base span of all texts:
 
 * regex      is the value well formed for its kind
-* gazetteer  is a part of it listed (top-level domains, issuer digits, calling codes, names of secrets nearby)
+* gazetteer  is a part of it listed (``Lists``: top-level domains, calling codes, countries of IBANs, issuer digits,
+             names of secrets nearby; book, date and time stamp prefixes against it)
 * context    do the words around speak for or against it
 * edges      does it stand alone, or inside a longer token
 
 Equal vote patterns are counted (at most kinds x 3**4 rows, so they can be collected), expectation-maximisation over
-them estimates each labeler's reliability by kind, and a naive Bayes classifier over discrete span features is
-trained on the soft labels, from counts by feature (again a bounded table). A candidate becomes a span when the
-classifier gives it ``accept`` or more and it does not overlap a base span. Texts stay on the executors; everything
-there is column expressions.
+them estimates each labeler's reliability by kind, and a naive Bayes classifier is trained on the soft labels, from
+counts by feature (again a bounded table). Its features are none that a labeler votes on: length, number of digits and
+of distinct digits, grouping, letter case, the signs at both sides, digits and the word before. A candidate becomes a
+span when the classifier gives it ``accept`` or more and it does not overlap a base span. Texts stay on the executors;
+everything there is column expressions. Places come from the pieces between matches by running sums in blocks of the
+square root of their number, so a text with very many matches costs little more than its length.
 
 Defined results: a null text is empty; no candidates at all means no added spans; repeated rows are judged alike; very
-long texts are scanned whole, with patterns that neither recurse nor backtrack over long runs; other columns pass
-untouched, but for those called pii_base or pii_spans, which ``spans`` replaces. Spans are [start, end) in code points.
+long texts are scanned whole, with patterns that neither recurse nor backtrack over long runs; an empty table gives an
+empty model and no rows; other columns pass untouched, but for those called pii_base or pii_spans, which ``spans``
+replaces. Spans are [start, end) in code points.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from math import log
 from typing import NamedTuple
 
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.runtime import table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret")
+KINDS = (*BASE, "secret", "account")
 ACCEPT, ROUNDS = 0.9, 50
 ADDED = ("pii_base", "pii_spans")
 LABELERS = ("regex", "gazetteer", "context", "edges")
@@ -52,32 +59,82 @@ NEEDS = {"email": ("@",), "ip": ("0",), "card": ("0",), "phone": ("+",)}
 MORE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++",
     "phone": r"[0-9(](?<![0-9+].)(?:(?<=\()[0-9]{3}|[0-9]{2})\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
+    "account": r"(?<![A-Za-z0-9+._@-])(?<![0-9] )(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3}(?![A-Za-z0-9]))?+|[0-9](?:[ -]?[0-9]){5,}+)(?![A-Za-z0-9])",
 }
-MORE_NEEDS = {"email": ("(at)", "[at]"), "phone": ("0",), "secret": ("0",)}
+MORE_NEEDS = {"email": ("(at)", "[at]"), "phone": ("0",), "secret": ("0",), "account": ("0",)}
 
-#: Gazetteers.
-DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|ch|at"
-CODES = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|61|62|63|64|65|66|81|82|84|86|90|91"
-SECRET_NAMES = "token|secret|password|passwd|apikey|api_key|api-key|access_key|private_key|auth|bearer"
-FOR = {"email": "mail|contact|write", "ip": "host|server|ip|address|client", "card": "card|visa|credit|debit|iban", "phone": "phone|tel|call|fax|mobile|whatsapp", "secret": SECRET_NAMES}
-AGAINST = {"email": "example of|regex", "ip": "version|release|section|chapter", "card": "isbn|order|serial|tracking|sku", "phone": "isbn|order|serial|version|rfc", "secret": "sha256|checksum|commit|md5|digest"}
 
+@dataclass(frozen=True)
+class Lists:
+    """Gazetteers, as alternatives of a pattern; pass longer ones where they are at hand.
 
-EMPTY = "array<struct<start:int,end:int,value:string>>"
+    Domains of two letters (countries) are taken as listed by rule.
+    """
+
+    domains: str = "com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|mobi|jobs|travel|tel|cat|asia|xyz|online|site|shop|store|app|dev|cloud|tech|blog|news|email|live|world|group|company|digital|agency|academy|school|university|bank|law|legal|health|care|clinic|art|music|film|games|city|berlin|london|paris|tokyo|wien|hamburg|koeln|nyc|africa"
+    codes: str = "1|7|2[07]|21[1-368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|29[0-9]|3[0-469]|35[0-9]|37[0-9]|38[0-9]|4[013-9]|42[0-3]|5[1-8]|50[0-9]|59[0-9]|6[0-6]|67[0-9]|68[0-9]|69[0-2]|8[1246]|85[0-6]|88[0-8]|9[0-58]|96[0-8]|97[0-9]|99[2-8]"
+    countries: str = "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|BY|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|JO|KW|KZ|LB|LC|LI|LT|LU|LV|LY|MC|MD|ME|MK|MR|MT|MU|NL|NO|PK|PL|PS|PT|QA|RO|RS|SA|SC|SE|SI|SK|SM|ST|SV|TL|TN|TR|UA|VA|VG|XK"
+    secret_names: str = "token|secret|password|passwd|pwd|pass|apikey|api_key|api-key|access_key|accesskey|private_key|client_secret|credential|credentials|auth|authorization|bearer|session|cookie|key"
+
+
+FOR = {
+    "email": "mail|email|e-mail|contact|contacto|kontakt|write|reach", "ip": "host|server|ip|address|client|peer|login", "card": "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta", "phone": "phone|tel|call|fax|mobile|whatsapp|telefon|handy|mobil|telefono",
+    "secret": "login|env|export|config|credential|credentials|header|authorization", "account": "account|iban|konto|compte|cuenta|card|customer|member|passport|ssn|id|insurance|license|policy",
+}
+AGAINST = {
+    "email": "example of|regex", "ip": "version|release|section|chapter|build", "card": "isbn|order|serial|tracking|sku|ean|part", "phone": "isbn|order|serial|version|rfc|total|sum|pages",
+    "secret": "sha1|sha256|checksum|commit|md5|digest|hash|revision|file|path|branch|id", "account": "isbn|order|serial|tracking|sku|ean|invoice|part|total|sum|version|population|pages|timestamp|date|bytes|rows",
+}
+
+SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+BEFORE, AFTER = 24, 12
+#: Classifier features: name and number of buckets.
+FEATURES = {"length": 8, "digits": 21, "distinct": 11, "group": 4, "case": 4, "before": 6, "after": 6, "line": 2, "numbers": 2, "word": 64}
+WIDTH = sum(FEATURES.values())
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, where it would be computed anew at each step of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running sum (or another ``op``) of an array, itself included: in blocks of the square root of its size, as an
+    accumulated list is copied at every step."""
+
+    def scan(a: Column) -> Column:
+        step = lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))
+        return bound(a, lambda v: F.aggregate(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, 1), step))
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        return bound(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda j: scan(F.slice(v, j * w + 1, w))))
+
+    def joined(blocks: Column) -> Column:
+        totals = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        raised = lambda t, b, j: F.when(j == 0, b).otherwise(bound(F.get(t, j - 1), lambda base: F.transform(b, lambda x: op(base, x))))
+        return bound(totals, lambda t: F.flatten(F.transform(blocks, lambda b, j: raised(t, b, j))))
+
+    return bound(values, lambda v: F.when(F.size(v) == 0, v).otherwise(bound(whole(v), joined)))
 
 
-def placed(values: Column, gaps: Column) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches, from them and the pieces between."""
-    empty = F.array().cast(EMPTY)
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(values), F.lit(1))), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(values) == 0, empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
+def placed(matched: Column) -> Column:
+    """Places and surroundings of a pattern's matches, from struct(values, pieces between, running ends of both)."""
+    values, gaps, ends = matched["values"], matched["gaps"], matched["ends"]
+    near = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+
+    def one(value: Column, i: Column) -> Column:
+        end = F.get(ends, i)
+        before = F.right(F.concat(near(values, i - 1), near(gaps, i)), F.lit(BEFORE))
+        after = F.left(F.concat(near(gaps, i + 1), near(values, i + 1)), F.lit(AFTER))
+        return F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), before.alias("before"), after.alias("after"))
+
+    return F.when(F.size(values) == 0, F.array().cast(SPANS)).otherwise(F.transform(values, one))
 
 
 def _matched(docs: DataFrame, text_col: str) -> DataFrame:
@@ -99,7 +156,11 @@ def _matched(docs: DataFrame, text_col: str) -> DataFrame:
         values.append(F.when(need, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{name}_v"))
     rows = rows.select(*keep, "_text", *values)
     rows = rows.select("*", *[F.when(F.size(f"{name}_v") > 0, F.split("_text", pattern, -1)).otherwise(none).alias(f"{name}_g") for name, (pattern, _) in patterns.items()])
-    return rows.select(*keep, "_text", *[placed(F.col(f"{name}_v"), F.col(f"{name}_g")).alias(name) for name in patterns])
+    steps = lambda name: F.zip_with(f"{name}_v", F.slice(f"{name}_g", 1, F.size(f"{name}_v")), lambda v, g: F.length(v) + F.length(g))
+    rows = rows.select("*", *[F.when(F.size(f"{name}_v") > 0, steps(name)).otherwise(F.array().cast("array<int>")).alias(f"{name}_s") for name in patterns])
+    rows = rows.select("*", *[running(F.col(f"{name}_s"), _add).alias(f"{name}_e") for name in patterns])
+    rows = rows.select(*keep, "_text", *[F.struct(F.col(f"{name}_v").alias("values"), F.col(f"{name}_g").alias("gaps"), F.col(f"{name}_e").alias("ends")).alias(name) for name in patterns])
+    return rows.select(*keep, "_text", *[placed(F.col(name)).alias(name) for name in patterns])
 
 
 def _digits(value: Column) -> Column:
@@ -136,66 +197,91 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
-def _described(text: Column, kind: str, spans: Column, base: bool) -> Column:
+def _listed_vote(kind: str, v: Column, before: Column, lists: Lists) -> Column:
+    digits = _digits(v)
+    if kind == "email":
+        ends = F.lower(v).rlike(rf"(?:\.|dot[\])] ?)(?:{lists.domains}|[a-z]{{2}})$")
+        return _vote(ends, ~ends)
+    if kind == "ip":
+        unused = v.rlike(r"^0+\.") | v.rlike(r"^(?:22[4-9]|2[3-9][0-9])\.")
+        return _vote(~unused, unused)
+    if kind == "card":
+        return _vote(v.rlike("^[2-6]"), v.rlike("^[0789]"))
+    if kind == "phone":
+        known = ~v.startswith("+") | v.rlike(rf"^\+(?:{lists.codes})")
+        return _vote(known, ~known)
+    if kind == "secret":
+        named = _all_of(lists.secret_names, before)
+        return _vote(named, ~named)
+    no = digits.rlike("^(?:97[89][0-9]{10}|1[0-9]{9}|1[0-9]{12}|(?:19|20)[0-9]{6})$|0{5}$")
+    return _vote(v.rlike(rf"^(?:{lists.countries})[0-9]") | (F.length(digits).between(13, 19) & digits.rlike("^[3-6]") & ~no), no)
+
+
+def _described(kind: str, spans: Column, base: bool, lists: Lists) -> Column:
     """Spans with what the labelers and the classifier look at."""
 
     def one(s: Column) -> Column:
-        v, digits = s["value"], F.length(_digits(s["value"]))
-        before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-        after = F.substring(text, s["end"] + 1, F.lit(12))
-        last, next_ = F.substring(before, -1, 1), F.substring(after, 1, 1)
+        v, before, after = s["value"], s["before"], s["after"]
+        digits = F.length(_digits(v))
+        last, next_ = F.right(before, F.lit(1)), F.left(after, F.lit(1))
         letters = F.length(F.regexp_replace(v, "[^A-Za-z]", ""))
         shape = {
             "email": F.lower(v).rlike(r"\.[a-z]{2,}$|dot[\])] ?[a-z]{2,}$"),
-            "ip": _holds("ip", v) & ~v.rlike(r"(?:^|\.)0[0-9]"),
-            "card": luhn(v),
+            "ip": ~v.rlike(r"(?:^|\.)0[0-9]"),
+            "card": digits.isin(13, 14, 15, 16, 19),
             "phone": digits.between(10, 15),
-            "secret": (digits >= 6) & (letters >= 4) & ~v.rlike("[-_]{2}"),
-        }[kind]
-        listed = {
-            "email": F.lower(v).rlike(rf"(?:\.|dot[\])] ?)(?:{DOMAINS})$"),
-            "ip": ~v.rlike(r"^0+\.") & ~v.rlike(r"^(?:22[4-9]|2[3-9][0-9])\."),
-            "card": v.rlike("^[3-6]"),
-            "phone": v.rlike(rf"^\+(?:{CODES})(?![0-9]{{15}})") | ~v.startswith("+"),
-            "secret": _all_of(SECRET_NAMES, before),
+            "secret": (digits >= 4) & (letters >= 4) & ~v.rlike("[-_]{2}|^[A-Za-z]+[-_]?[0-9]*$|^[0-9-]*$"),
+            "account": digits.between(12, 19) | v.rlike("^[A-Z]|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         }[kind]
         around = F.concat(before, F.lit(" "), after)
         glued = last.rlike("[A-Za-z0-9]") | next_.rlike("[A-Za-z0-9]")
         alone = (last == "") | last.rlike("[\\s\"'(:=<\\[]")
+        word = F.lower(F.regexp_extract(before, "([A-Za-z]+)[^A-Za-z]*$", 1))
+        cased = F.when(letters == 0, 0).when(v == F.lower(v), 1).when(v == F.upper(v), 2).otherwise(3)
+        buckets = {
+            "length": F.least(F.floor(F.log2(F.length(v).cast("double"))).cast("int"), F.lit(7)),
+            "digits": F.least(digits, F.lit(20)),
+            "distinct": F.least(F.size(F.array_distinct(F.split(_digits(v), ""))), F.lit(10)),
+            "group": F.when(v.rlike(" "), 1).when(v.rlike("-"), 2).when(v.rlike("[.]"), 3).otherwise(0),
+            "case": cased,
+            "before": _sign(last),
+            "after": _sign(next_),
+            "line": before.rlike("(?:^|\\n)$").cast("int"),
+            "numbers": before.rlike("[0-9]").cast("int"),
+            "word": F.pmod(F.hash(word), F.lit(FEATURES["word"])),
+        }
+        offsets = {f: sum(list(FEATURES.values())[:k]) for k, f in enumerate(FEATURES)}
         return F.struct(
             F.lit(kind).alias("kind"),
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.lit(base).alias("base"),
-            F.array(_vote(shape, ~shape), _vote(listed, ~listed), _vote(_all_of(FOR[kind], around), _all_of(AGAINST[kind], around)), _vote(alone & ~glued, glued)).alias("votes"),
-            F.array(
-                F.concat(F.lit("length:"), F.least(F.floor(F.log2(F.length(v).cast("double"))), F.lit(7)).cast("string")),
-                F.concat(F.lit("digits:"), F.least(digits, F.lit(20)).cast("string")),
-                F.concat(F.lit("before:"), _sign(last)),
-                F.concat(F.lit("after:"), _sign(next_)),
-                F.concat(F.lit("shape:"), shape.cast("string")),
-                F.concat(F.lit("listed:"), listed.cast("string")),
-                F.concat(F.lit("near:"), _all_of(FOR[kind], around).cast("string")),
-            ).alias("features"),
+            F.array(_vote(shape, ~shape), _listed_vote(kind, v, before, lists), _vote(_all_of(FOR[kind], around), _all_of(AGAINST[kind], around)), _vote(alone & ~glued, glued)).alias("votes"),
+            F.array(*[(buckets[f] + offsets[f]).cast("int") for f in FEATURES]).alias("features"),
         )
 
     return F.transform(spans, one)
 
 
 def _sign(c: Column) -> Column:
-    return F.when(c == "", "none").when(c.rlike("[A-Za-z]"), "letter").when(c.rlike("[0-9]"), "digit").when(c.rlike("\\s"), "space").when(c.rlike("[\"'=:(<\\[]"), "open").otherwise("other")
+    return F.when(c == "", 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike("\\s"), 3).when(c.rlike("[\"'=:(<\\[]"), 4).otherwise(5)
 
 
-def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``base`` (array<kind, start, end>) and ``extra`` described candidates that overlap no base span, and ``seen`` (described base spans)."""
-    text = F.col("_text")
+def candidates(docs: DataFrame, text_col: str = "text", lists: Lists = Lists()) -> DataFrame:  # noqa: B008
+    """``docs`` with ``_base`` and ``_extra``: described base spans, and candidates that overlap none of them."""
     raw = _matched(docs, text_col)
-    held = raw.select(*[F.col(f"`{c}`") for c in docs.columns], "_text", *[F.filter(f"_{k}", _test(k)).alias(f"_{k}") for k in BASE], *[f"_more_{k}" for k in MORE])
-    base = F.concat(*[_described(text, k, F.col(f"_{k}"), True) for k in BASE])
-    plain = F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in BASE])
-    free = lambda spans: F.filter(spans, lambda s: ~F.exists(plain, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    extra = F.concat(*[_described(text, k, free(F.col(f"_more_{k}")), False) for k in MORE])
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns], base.alias("_base"), extra.alias("_extra"))
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    base = F.concat(*[_described(k, F.filter(f"_{k}", _test(k)), True, lists) for k in BASE])
+    extra = F.concat(*[_described(k, F.col(f"_more_{k}"), False, lists) for k in MORE])
+    both = raw.select(*keep, base.alias("_base"), extra.alias("_wide"))
+    order = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s.alias("span")))
+    some = (F.size("_base") > 0) & (F.size("_wide") > 0)
+    sorted_ = both.select("*", F.when(some, F.array_sort(F.concat(order(F.col("_base")), order(F.col("_wide"))))).alias("_all"))
+    ends = running(F.transform("_all", lambda s: F.when(s["base"], s["end"]).otherwise(-1)), F.greatest)
+    starts = F.reverse(running(F.reverse(F.transform("_all", lambda s: F.when(s["base"], s["start"]).otherwise((1 << 31) - 1))), F.least))
+    apart = sorted_.select("*", ends.alias("_ends"), starts.alias("_starts"))
+    free = F.filter("_all", lambda s, i: ~s["base"] & (F.get(F.col("_ends"), i) <= s["start"]) & (F.get(F.col("_starts"), i) >= s["end"]))
+    return apart.select(*keep, "_base", F.when(some, F.transform(free, lambda s: s["span"])).otherwise(F.col("_wide")).alias("_extra"))
 
 
 class Model(NamedTuple):
@@ -229,30 +315,27 @@ def expectation_maximisation(patterns: list[tuple], rounds: int = ROUNDS) -> tup
     return prior, table_, post
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lists: Lists = Lists()) -> Model:  # noqa: B008
     """The model from all texts of ``docs``: one pass, then two small aggregates of it."""
-    spans = candidates(docs.select(docs[f"`{text_col}`"].alias("c0")), "c0").select(F.explode(F.concat("_base", "_extra")).alias("s"))
-    counts = spans.groupBy("s.kind", "s.votes", "s.features").agg(F.count(F.lit(1)).alias("n"))
-    features = counts.select("kind", "votes", "n", F.explode("features").alias("feature")).groupBy("kind", "votes", "feature").agg(F.sum("n").alias("n"))
-    rows = features.collect()  # kinds x 3**4 patterns x at most 60 features
+    spans = candidates(docs.select(docs[f"`{text_col}`"].alias("c0")), "c0", lists).select(F.explode(F.concat("_base", "_extra")).alias("s"))
+    counts = spans.select("s.kind", "s.votes", F.explode(F.concat(F.array(F.lit(-1)), "s.features")).alias("feature")).groupBy("kind", "votes", "feature").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.collect()  # at most kinds x 3**4 patterns x (WIDTH + 1); feature -1 counts the spans
     reliability, prior, weight = {}, {}, {}
     for kind in KINDS:
         here = [(tuple(r["votes"]), r["feature"], r["n"]) for r in rows if r["kind"] == kind]
-        patterns: dict[tuple, int] = {}
-        for v, f, n in here:
-            if f.startswith("shape:"):  # every span has one such feature
-                patterns[v] = patterns.get(v, 0) + n
+        patterns = {v: n for v, f, n in here if f < 0}
         if not patterns:
             continue
         p, rates, post = expectation_maximisation(sorted(patterns.items()))
         total, yes = sum(patterns.values()), sum(post[v] * n for v, n in patterns.items())
         reliability |= {(kind, name): (rates[j][1][1], rates[j][0][0]) for j, name in enumerate(LABELERS)}
         prior[kind] = log((yes + 1) / (total - yes + 1))
-        sums: dict[str, list[float]] = {}
+        sums: dict[int, list[float]] = {}
         for v, f, n in here:
-            got = sums.setdefault(f, [0.0, 0.0])
-            got[0] += n * (1 - post[v])
-            got[1] += n * post[v]
+            if f >= 0:
+                got = sums.setdefault(f, [0.0, 0.0])
+                got[0] += n * (1 - post[v])
+                got[1] += n * post[v]
         for f, (no, on) in sums.items():
             weight[kind, f] = log((on + 0.5) / (yes + 1)) - log((no + 0.5) / (total - yes + 1))
     return Model(reliability, prior, weight)
@@ -262,9 +345,10 @@ def score(span: Column, model: Model) -> Column:
     """Log odds of a described span."""
     if not model.prior:
         return F.lit(-99.0)
-    table_ = F.create_map(*[F.lit(x) for (k, f), w in sorted(model.weight.items()) for x in (f"{k} {f}", w)])
-    prior = F.create_map(*[F.lit(x) for k, w in sorted(model.prior.items()) for x in (k, w)])
-    return F.aggregate(span["features"], F.coalesce(prior[span["kind"]], F.lit(-99.0)), lambda a, f: a + F.coalesce(table_[F.concat_ws(" ", span["kind"], f)], F.lit(0.0)))
+    flat = F.array(*[F.lit(float(model.weight.get((k, f), 0.0))) for k in KINDS for f in range(WIDTH)])
+    prior = F.array(*[F.lit(float(model.prior.get(k, -99.0))) for k in KINDS])
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), span["kind"]).cast("int") - 1
+    return F.aggregate(span["features"], F.get(prior, kind), lambda a, f: a + F.get(flat, kind * WIDTH + f))
 
 
 def _numbered(docs: DataFrame) -> tuple[dict[str, str], DataFrame]:
@@ -273,31 +357,42 @@ def _numbered(docs: DataFrame) -> tuple[dict[str, str], DataFrame]:
     return names, docs.toDF(*names.values())
 
 
-def spans(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+def spans(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT, lists: Lists = Lists()) -> DataFrame:  # noqa: B008
     """``docs`` with ``pii_base`` and ``pii_spans``: arrays of (kind, start, end), by kind and start."""
     names, plain = _numbered(docs)
-    got = candidates(plain, names[text_col])
+    got = candidates(plain, names[text_col], lists)
     place = lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     out = lambda a: F.transform(F.array_sort(F.transform(a, place)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     kept = F.filter("_extra", lambda s: score(s, model) >= log(accept / (1 - accept)))
     return got.select(*[F.col(n).alias(c) for c, n in names.items() if c not in ADDED], out(F.col("_base")).alias("pii_base"), out(F.concat(F.col("_base"), kept)).alias("pii_spans"))
 
 
-def redacted(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """The documents with each span (of overlapping ones their union) replaced by the first one's kind in angle brackets."""
+def redacted(docs: DataFrame, model: Model, text_col: str = "text", accept: float = ACCEPT, lists: Lists = Lists()) -> DataFrame:  # noqa: B008
+    """The documents with each span (of overlapping ones their union) replaced by the first one's kind in angle brackets.
+
+    Spans are cut out in blocks of the square root of their number: a block's stretch of the text once, its pieces from
+    that, as cutting a piece costs its distance from the start.
+    """
     names, plain = _numbered(docs)
-    got = spans(plain, model, names[text_col], accept)
-    text = F.col(names[text_col])
-    order = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
-
-    end = F.aggregate(order, state, step, lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))))
-    new = F.when(F.size("pii_spans") == 0, text).otherwise(F.array_join(end, ""))
-    return got.select(*[(new if c == text_col else F.col(n)).alias(c) for c, n in names.items()])
+    got = spans(plain, model, names[text_col], accept, lists)
+    keep = list(names.values())
+    sorted_ = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = got.select(*keep, sorted_.alias("_spans"))
+    rows = rows.select(*keep, "_spans", running(F.col("_spans.end"), F.greatest).alias("_reach"))
+    # a span starts a union when no earlier one reaches over its start; the union ends where the next one starts from
+    heads = F.filter(F.transform("_spans", lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.coalesce(F.get("_reach", i - 1), F.lit(0)).alias("from"))), lambda s: s["start"] >= s["from"])
+    rows = rows.select(*keep, heads.alias("_heads"), F.coalesce(F.element_at(F.when(F.size("_reach") > 0, F.col("_reach")), -1), F.lit(0)).alias("_end"))
+    text, n = F.col(names[text_col]), F.size("_heads")
+    width = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda j: F.slice("_heads", j * width + 1, width))
+
+    def spelled(block: Column) -> Column:
+        begin, end = F.element_at(block, 1)["from"], F.element_at(block, -1)["start"]
+        pieces = lambda stretch: F.transform(block, lambda s: F.concat(F.substring(stretch, s["from"] - begin + 1, s["start"] - s["from"]), F.lit("<"), s["kind"], F.lit(">")))
+        return F.element_at(F.transform(F.array(F.substring(text, begin + 1, end - begin)), lambda stretch: F.array_join(pieces(stretch), "")), 1)
+
+    new = F.when(n == 0, text).otherwise(F.concat(F.array_join(F.transform(blocks, spelled), ""), F.substring(text, F.col("_end") + 1, F.length(text))))
+    return rows.select(*[(new if c == text_col else F.col(n_)).alias(c) for c, n_ in names.items()])
 
 
 def _listed(a: Column) -> Column:
