@@ -10,12 +10,15 @@ hash. The last epoch takes whole blocks in that order while they fit, then docum
 Sorted by (slot, block, rank) the rows are the mixed order: blocks of all sources and epochs, permuted together.
 
 A source has at most ``BLOCKS`` blocks, so what is summed in order is that many rows a source, however large it is;
-documents themselves are only ordered inside one block. Sources are bisected on the driver while there are at most
+documents themselves are only ordered inside the one block that is cut, by their numbers and token counts: texts and
+other columns take no part in any order, they are joined to the numbers chosen. A document's block and rank come from
+its id and a hash of its text, so documents without an id, or under one id, are dealt over all blocks. Sources are bisected on the driver while there are at most
 ``LOCAL_SOURCES``; beyond, every step of the same bisection is one aggregate.
 
 Defined results: a null source is a source of its own; null or empty texts have no tokens (tokens are runs of anything
 but white space) and come with the whole epochs of their source; a source without tokens gets no weight and is left
-out; repeated rows are documents of their own; an empty table gives an empty mix; other columns pass untouched, but
+out; repeated rows are documents of their own (in one block, in any order); a very long text is one document of many tokens
+(the cut block takes it only if it fits whole); an empty table gives an empty mix; other columns pass untouched, but
 for those with the names of the columns added here, which take their place.
 """
 
@@ -27,9 +30,9 @@ from math import exp, floor, log
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut, table, written
+from tessera.runtime import cut, small, table, written
 
-ENTROPY, REPEATS, BLOCK_TOKENS, BLOCKS, SEED = 0.97, 4.0, 20_000, 4096, 42
+ENTROPY, REPEATS, BLOCK_TOKENS, BLOCKS, SEED = 0.97, 4.0, 20_000, 1 << 16, 42
 LOCAL_SOURCES, STEPS = 50_000, 50
 ADDED = ("mix_n_tokens", "mix_epoch", "mix_block", "mix_slot", "mix_rank")
 
@@ -100,13 +103,14 @@ def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, b
     """A row for each reading of a document: its columns (the text with ``carry_text``) and mix_n_tokens, mix_epoch, mix_block, mix_slot, mix_rank."""
     columns = [c for c in docs.columns if (carry_text or c != text_col) and c not in ADDED]
     row = F.struct(*[docs[f"`{c}`"] for c in columns])
-    rows = counted(docs.select(row.alias("row"), "doc_id", "source", docs[f"`{text_col}`"].alias("text")))
-    rows = written(rows.select("row", "doc_id", "source_key", "n_tokens"))
+    text = docs[f"`{text_col}`"].cast("string")
+    rows = counted(docs.select(row.alias("row"), "source", text.alias("text"), F.xxhash64(F.lit(seed), "doc_id", text).alias("hash")))
+    rows = written(rows.select("row", "source_key", "n_tokens", "hash", F.monotonically_increasing_id().alias("number")))
     plan = weights(rows, entropy, repeats, budget)
     few = plan.select("source_key", F.floor(F.col("allowance") / F.col("tokens")).alias("epochs"), (F.col("allowance") % F.col("tokens")).alias("rest"), F.least(F.lit(BLOCKS), F.ceil(F.col("tokens") / block_tokens)).alias("blocks"))
-    rows = rows.join(_small(few), "source_key").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
+    rows = rows.join(small(few), "source_key").withColumn("block", F.pmod("hash", F.col("blocks")))
     order = lambda epoch: F.xxhash64(F.lit(seed), "source_key", epoch, "block")
-    rank = lambda epoch: F.xxhash64(F.lit(seed), epoch, "doc_id", "n_tokens")
+    rank = lambda epoch: F.xxhash64(F.lit(seed), epoch, "hash")
     # blocks of the last, partial epoch: whole ones, and the one that is cut
     sums = rows.groupBy("source_key", "block").agg(F.sum("n_tokens").alias("tokens"), F.max("epochs").alias("epochs"), F.max("rest").alias("rest"))
     run = Window.partitionBy("source_key").orderBy(order(F.col("epochs")), "block")
@@ -114,25 +118,24 @@ def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, b
     sums = sums.withColumn("place", F.when(F.col("until") <= F.col("rest"), "whole").when(F.col("until") - F.col("tokens") < F.col("rest"), "part"))
     last = cut(sums.where("place IS NOT NULL").select("source_key", "block", "place", (F.col("rest") - F.col("until") + F.col("tokens")).alias("left")))
     ends = F.col("epochs") - F.when(F.col("place") == "whole", 0).otherwise(1)
-    every = rows.join(_small(last.where("place = 'whole'").drop("left")), ["source_key", "block"], "left").where(ends >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), ends.cast("long"))))
-    inside = Window.partitionBy("source_key", "block").orderBy(rank(F.col("epochs")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = rows.join(_small(last.where("place = 'part'").drop("place")), ["source_key", "block"]).withColumn("spent", F.sum("n_tokens").over(inside)).where("spent <= left").withColumn("epoch", F.col("epochs"))
-    out = every.select("row", "n_tokens", "epoch", "block", "source_key").unionByName(part.select("row", "n_tokens", "epoch", "block", "source_key"))
+    every = rows.join(small(last.where("place = 'whole'").drop("left")), ["source_key", "block"], "left").where(ends >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), ends.cast("long"))))
+    inside = Window.partitionBy("source_key", "block").orderBy(rank(F.col("epochs")), "number").rowsBetween(Window.unboundedPreceding, 0)
+    some = rows.join(small(last.where("place = 'part'").drop("place")), ["source_key", "block"])
+    taken = some.select("source_key", "block", "number", "n_tokens", "epochs", "hash", "left").withColumn("spent", F.sum("n_tokens").over(inside)).where("spent <= left").select("number")
+    part = some.join(taken, "number").withColumn("epoch", F.col("epochs"))
+    kept = ["row", "n_tokens", "epoch", "block", "source_key", "hash"]
+    out = every.select(*kept).unionByName(part.select(*kept))
+    epoch = F.col("epoch").cast("long")
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in columns],
         F.col("n_tokens").alias("mix_n_tokens"),
-        F.col("epoch").cast("long").alias("mix_epoch"),
+        epoch.alias("mix_epoch"),
         F.col("block").alias("mix_block"),
-        order(F.col("epoch").cast("long")).alias("mix_slot"),
-        F.xxhash64(F.lit(seed), F.col("epoch").cast("long"), F.col("row.doc_id"), "n_tokens").alias("mix_rank"),
+        order(epoch).alias("mix_slot"),
+        rank(epoch).alias("mix_rank"),
     )
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """Broadcast when counted to be small, else left to the planner."""
-    return F.broadcast(rows) if rows.count() <= LOCAL_SOURCES else rows
-
-
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
