@@ -45,8 +45,8 @@ from tessera.runtime import table, written
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS_A_BAND, SLICE = 32, 5, 32
-#: Most representatives and most shingles of a block; shingles of components that share a task; pairs compared at once.
-BLOCK, BLOCK_SHINGLES, BIN_SHINGLES, PAIRS = 2048, 1 << 20, 1 << 20, 1 << 16
+#: Most representatives and most shingles of a block; about those of components that share a task; pairs compared at once.
+BLOCK, BLOCK_SHINGLES, BIN, BIN_SHINGLES, PAIRS = 2048, 1 << 20, 512, 1 << 18, 1 << 16
 NULL_ID = -(1 << 63)
 SETS = "doc_id long, key long, tag long, h1 long, h2 long, n_shingles int, bands array<long>"
 LINKS = "kind int, a long, b long"
@@ -314,7 +314,8 @@ def _blocks(comps: DataFrame, reps: DataFrame, block: int) -> DataFrame:
     of = lambda n, shingles_: F.ceil(F.greatest(F.col(n) / block, F.col(shingles_) / BLOCK_SHINGLES))
     sums = lambda rows, *by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("sum")).select(*by, "n", "sum", of("n", "sum").alias("blocks"))
     sizes = sums(met, "rep")
-    bins = max(1, -(-(sizes.agg(F.sum("sum")).first()[0] or 0) // BIN_SHINGLES))
+    most = sizes.agg(F.greatest(F.sum("sum") / BIN_SHINGLES, F.sum("n") / BIN)).first()[0]
+    bins = int(most or 0) + 1
     met = met.join(sizes.select("rep", "blocks"), "rep")
     plain = ["node", "key", "tag", "copies", F.col("rep").alias("comp")]
     small = met.where("blocks = 1").select(*plain, F.concat(F.lit("b"), F.pmod(F.xxhash64("rep"), F.lit(bins)).cast("string")).alias("task"), F.lit(0).alias("side"), F.lit(-1).alias("band"), F.array().cast("array<bigint>").alias("bands"))

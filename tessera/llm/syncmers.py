@@ -15,7 +15,7 @@ them by document pair and offset.
 
 Defined results: a null text is empty; an empty text has an empty fingerprint; two empty fingerprints are alike (1), an
 empty and a non-empty one are not (0). A null doc_id counts as the smallest; the document after several rows of one id
-is that of the next smaller id, and of several texts under that id the least prefix is taken; a lone id follows itself;
+is that of the next smaller id, and of several texts under that id the least is taken; a lone id follows itself;
 repeated rows get equal results; a very long text is held whole by one task; an empty table gives no rows; other columns
 are not read.
 """
@@ -142,20 +142,16 @@ def following(ids: DataFrame, keys_a_range: int = KEYS_A_RANGE) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the contract's columns.
 
-    Both joins read one exchange of (key, text, anchors); of a following document only the asked-for half of its text
-    and its anchors travel on.
+    Both joins read one exchange of (key, text); the following text travels once more, which is less than its half and
+    its anchors would be.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.select("key", "text", anchors(F.col("text")).alias("anchors")).repartition(partitions(docs.sparkSession), "key")
-    half = lambda c: F.floor(F.length(c) / 2).cast("int")
-    asked = rows.groupBy("key").agg(F.max(half(F.col("text"))).alias("half")).join(following(rows.select("key")), "key")
-    asked = asked.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "half")
-    given = found.join(asked, "key").select("asker", F.struct(F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("anchors").alias("next")).alias("given"))
-    given = given.groupBy("asker").agg(F.min("given").alias("given"))
-    n = F.length("text")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half(F.col("text"))), F.substring(F.col("given.head"), F.lit(1), half(F.col("text"))))
-    met = found.join(given, found["key"] == given["asker"]).select("key", "text", "anchors", F.col("given.next").alias("next"), edited.alias("edited"))
-    met = met.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next", anchors(F.col("edited")).alias("changed"))
+    asked = following(rows.select("key")).select(F.col("next_key").alias("key"), F.col("key").alias("asker"))
+    given = rows.join(asked, "key").groupBy("asker").agg(F.min("text").alias("after"))
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("after"), F.lit(1), half))
+    met = rows.join(given, rows["key"] == given["asker"]).select("key", "text", "after", edited.alias("edited"))
+    met = met.select("key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[anchors(F.col(c)).alias(a) for c, a in (("text", "anchors"), ("after", "next"), ("edited", "changed"))])
     return met.select(
         F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"),
         "n_chars",
