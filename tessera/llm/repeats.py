@@ -3,15 +3,18 @@
 Every window of ``n`` symbols chooses the least hash of its inner k-mers, the leftmost on ties; consecutive windows
 with the same choice form a run (a super-k-mer). Equal windows choose equal k-mers, so they meet in one bucket.
 
-1. anchors   per Arrow batch, runs are cut; equal runs of a batch are combined (hot passages shrink to one run a
-             batch before the shuffle) and only (48 hash bits, place) travels, packed, to the bucket
+1. anchors   per Arrow batch, runs are cut; equal runs of a batch, found by hash and compared byte for byte, are
+             combined (hot passages shrink to one run a batch before the shuffle) and only (48 hash bits, place)
+             travels, packed, to the bucket
 2. filter    a bucket keeps the runs whose k-mer occurs twice or more: a superset of all repeats
 3. strings   documents meet their kept runs; each run travels to its bucket as one packed string
 4. decide    the bucket puts the windows of a k-mer in order and finds those with an earlier equal window
 5. apply     documents meet their decided windows
 
-Documents are shuffled once: steps 3 and 5 read the same exchange. Groups of documents and buckets grow in number, not
-in size. A k-mer with more than ``HOT`` kept runs is dealt anew by the hash of each single window.
+Documents are shuffled once: steps 3 and 5 read the same exchange. Groups of documents and buckets are dealt by bytes:
+they grow in number, not in size. A k-mer with more than ``HOT`` kept runs is dealt anew by the hash of each single
+window. Hashes only bring runs together: what goes is decided on strings. Rows of equal id and text are one document,
+read once and given back as often as they stand there.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from tessera.llm import textarrays as ta
 from tessera.runtime import partitions
 
 HOT = 20_000
-DOCS_A_GROUP = 1500
+GROUP_BYTES, BUCKET_BYTES = 3 << 20, 32 << 20
 NULL_ID = -(1 << 63)
 ANCHOR, GONE, STRING = 0, 1, 2
 ROWS = "place long, kind int, data binary"
@@ -63,15 +66,8 @@ def symbols(column: pa.Array, words: bool) -> Symbols:
     if not words:
         return Symbols(data.astype(ta.U64) + ta.U64(1), offsets, data, None, None)
     starts, ends, first = ta.word_spans(data, offsets, ta.NOT_SPACE)
-    values = ta.span_hash(ta.prefix(data.astype(ta.U64) + ta.U64(1)), starts, ends)
-    lengths = ends - starts
-    packed = ta.gather(data, starts, lengths)  # words joined by one space: equal sequences are equal bytes
-    at = np.cumsum(lengths + 1) - lengths - 1
-    joined = np.full(int(lengths.sum()) + len(lengths), 0x20, np.uint8)
-    keep = np.ones(len(joined), bool)
-    keep[at + lengths] = False
-    joined[keep] = packed
-    return Symbols(values, first, joined, at, at + lengths)
+    joined, at = ta.joined(data, starts, ends)
+    return Symbols(ta.word_hash(data, starts, ends), first, joined, at, at + ends - starts)
 
 
 def stretch(s: Symbols, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +125,18 @@ def _join(payloads: list[bytes]) -> dict[str, np.ndarray] | None:
     return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key (a null id sorts first), tag (tells texts of one id apart), part (a group of documents)."""
-    groups = max(1, docs.count() // DOCS_A_GROUP)
+def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, key (a null id sorts first), tag (tells texts of one id apart), part (a group of documents), copies; and all bytes."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), key.alias("key"), F.xxhash64("text").alias("tag"), F.pmod(F.xxhash64(key), F.lit(groups)).alias("part"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), key.alias("key"), F.xxhash64("text").alias("tag"))
+    counts = rows.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("copies"), F.sum(F.octet_length("text")).alias("bytes"))
+    most, size = counts.agg(F.max("copies"), F.sum("bytes")).first()
+    size = size or 0
+    if (most or 0) > 1:
+        rows = rows.groupBy("key", "tag").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    return rows.select("doc_id", "text", "key", "tag", F.pmod(F.xxhash64("key", "tag"), F.lit(size // GROUP_BYTES + 1)).alias("part"), "copies"), size
 
 
 def _doc_arrays(batch: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
@@ -168,20 +171,28 @@ def _anchors(spec: Spec, buckets: int) -> Callable:
             batch = batch.take(pa.array(order))
             docs = {k: v[order] for k, v in docs.items()}
             _, offsets = ta.utf8(batch.column("text"))
-            found = []
+            found, data, base = [], [], 0
             for a, b in ta.chunks(offsets):
-                h, row, start, count, whole = cut_runs(symbols(batch.column("text").slice(a, b - a), spec.words), spec)
-                found.append((h, row + a, start, count, h ^ ta.mix(whole)))
-            h, row, start, count, same = (np.concatenate(x) for x in zip(*found, strict=True))
+                s = symbols(batch.column("text").slice(a, b - a), spec.words)
+                h, row, start, count, whole = cut_runs(s, spec)
+                begin, length = stretch(s, s.first[row] + start, count + spec.n - 1)
+                found.append((h, row + a, start, count, h ^ ta.mix(whole), begin + base, length))
+                data.append(s.data)
+                base += len(s.data)
+            h, row, start, count, same, begin, length = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(same, kind="stable")  # rows are in order of document: the first of a class is the earliest
             head = np.diff(same[order], prepend=~same[order][:1]) != 0
             first = order[head][np.cumsum(head) - 1] if len(order) else order
+            equal = head | (length[order] == length[first])
+            check = np.flatnonzero(equal & ~head)
+            equal[check] = ta.same_pieces(np.concatenate(data), begin[order[check]], begin[first[check]], length[order[check]])
             later_doc = docs["key"][row[order]] > docs["key"][row[first]]
             if spec.other_doc:
                 later, stays = later_doc, ~later_doc  # repeats inside the first document share its fate, which is open
             else:
                 later = later_doc | (docs["tag"][row[order]] != docs["tag"][row[first]]) | (start[order] > start[first])
                 stays = head
+            later, stays = later & equal, stays | ~equal  # unlike runs under one hash go on, each for itself
             yield from _emit(docs, row, start, count, np.sort(order[stays]), h, np.sort(order[later & ~head]), buckets)
 
     return run
@@ -257,7 +268,6 @@ def _filter(rows: pa.Table) -> pa.Table:
 
 
 def _doc_rows(docs: pa.Table) -> dict[tuple[int, int], int]:
-    """One row of each id and text, the last of equal ones."""
     a = _doc_arrays(docs)
     return {k: i for i, k in enumerate(zip(a["key"].tolist(), a["tag"].tolist(), strict=True))}
 
@@ -358,31 +368,27 @@ def _decide(spec: Spec, order_windows: Callable) -> Callable:
 
 
 def covered(rows: pa.Table, docs: pa.Table, first: np.ndarray, n: int) -> np.ndarray:
-    """Flags of the symbols that a decided window covers; rows of equal id and text have the same flags."""
-    where = _doc_rows(docs)
+    """Flags of the symbols that a decided window covers."""
     step = np.zeros(int(first[-1]) + 1, np.int32)
     x = _join(_kinds(rows).get(GONE, []))
     if x is not None:
+        where = _doc_rows(docs)
         at = np.array([where[k] for k in zip(x["i"].tolist(), x["t"].tolist(), strict=True)], np.int64)[x["d"]]
         begin = first[at] + x["s"]
         np.add.at(step, begin, 1)
         np.add.at(step, begin + x["w"] + (n - 1), -1)
-    flags = np.cumsum(step[:-1]) > 0
-    if len(where) < docs.num_rows:
-        a = _doc_arrays(docs)
-        for i, k in enumerate(zip(a["key"].tolist(), a["tag"].tolist(), strict=True)):
-            if (j := where[k]) != i:
-                flags[first[i] : first[i + 1]] = flags[first[j] : first[j + 1]]
-    return flags
+    return np.cumsum(step[:-1]) > 0
 
 
 def repeats(docs: DataFrame, spec: Spec, order_windows: Callable, apply: Callable, schema: str) -> DataFrame:
-    """``apply(docs of a group, its decided runs)`` over all documents."""
-    buckets = 8 * partitions(docs.sparkSession)
-    rows = keyed(docs)
+    """``apply(docs of a group, its decided runs)`` over all documents; its last column is that of their copies."""
+    rows, size = keyed(docs)
+    buckets = max(8 * partitions(docs.sparkSession), size // BUCKET_BYTES)
     anchors = rows.select("key", "tag", "part", "text").mapInArrow(_anchors(spec, buckets), ROWS)
     kept = anchors.groupBy("place").applyInArrow(_filter, ROWS)
     by_part = lambda: rows.groupBy("part")
     strings = by_part().cogroup(kept.groupBy("place")).applyInArrow(_strings(spec, buckets), ROWS)
     decided = strings.groupBy("place").applyInArrow(_decide(spec, order_windows), ROWS)
-    return by_part().cogroup(decided.groupBy("place")).applyInArrow(apply, schema)
+    applied = by_part().cogroup(decided.groupBy("place")).applyInArrow(apply, schema + ", copies long")
+    every = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return applied.withColumn("copies", every).drop("copies")

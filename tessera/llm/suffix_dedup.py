@@ -9,7 +9,7 @@ others can agree on n bytes: the suffix array is a set of small ones, spread ove
 
 Defined results: null and empty texts have no bytes; a null doc_id counts as the smallest; rows with equal id and text
 are one place and do not remove each other; texts of one id are told apart by their hash; other columns are not read.
-Working memory is a bucket of strings, or a group of about 1500 documents; a single text is held whole.
+Working memory is a bucket of strings, or a group of about 3 MB of documents; a single text is held whole.
 """
 
 from __future__ import annotations
@@ -27,27 +27,34 @@ from tessera.runtime import table
 N, K = 100, 40
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+ARROW_COPIES = ARROW.append(pa.field("copies", pa.int64()))
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings of one length have in common at their start."""
+    if a == b:
+        return len(a)
+    return len(a) - ((int.from_bytes(a) ^ int.from_bytes(b)).bit_length() + 7) // 8
+
+
+def previous_factors(suffixes: list[tuple]) -> list[int]:
+    """The longest previous factor of every suffix, in suffix order: what it has in common with the previous or the next
+    smaller place in that order, whichever is more. One pass with a stack of rising places."""
+    found, stack, n = [0] * len(suffixes), [], len(suffixes)
+    for i in range(n + 1):
+        shared = common(suffixes[i - 1][0], suffixes[i][0]) if 0 < i < n else 0
+        while stack and (i == n or suffixes[i][1] < suffixes[stack[-1][0]][1]):
+            j, before = stack.pop()
+            found[j] = max(before, shared)
+            shared = min(before, shared)
+        stack.append((i, shared))
+    return found
 
 
 def earlier_matches(suffixes: list[tuple], n: int) -> list[tuple]:
-    """(run, offset) of the suffixes whose longest previous factor reaches ``n``.
-
-    ``suffixes`` holds (bytes cut at n, place, run, offset). In suffix order the members of a stretch with common
-    prefixes of n bytes stand together; a member has a previous smaller or a next smaller place inside its stretch
-    just when its place is not the least there.
-    """
-    suffixes.sort(key=lambda x: x[0])
-    out, i = [], 0
-    while i < len(suffixes):
-        j, prefix = i + 1, suffixes[i][0]
-        least = suffixes[i][1]
-        while j < len(suffixes) and suffixes[j][0] == prefix:
-            least = min(least, suffixes[j][1])
-            j += 1
-        if j > i + 1:
-            out += [(run, off) for _, place, run, off in suffixes[i:j] if place != least]
-        i = j
-    return out
+    """(run, offset) of the suffixes whose longest previous factor reaches ``n``; each is (bytes cut at n, place, run, offset)."""
+    suffixes.sort(key=lambda x: x[:2])
+    return [s[2:] for s, reach in zip(suffixes, previous_factors(suffixes), strict=True) if reach >= n]
 
 
 def _order_windows(n: int):
@@ -61,17 +68,17 @@ def _order_windows(n: int):
 def _apply(n: int, keep: bool):
     def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return ARROW.empty_table()
+            return ARROW_COPIES.empty_table()
         data, first = ta.utf8(docs.column("text"))
         gone = rp.covered(rows, docs, first, n)
         out = []
-        for i, doc in enumerate(docs.column("doc_id").to_pylist()):
+        for i, (doc, copies) in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("copies").to_pylist(), strict=True)):
             a, b = int(first[i]), int(first[i + 1])
             flags = gone[a:b]
             left = data[a:b][~flags].tobytes()
             spans = int(flags[:1].sum()) + int(np.count_nonzero(flags[1:] & ~flags[:-1]))
-            out.append((doc, b - a, int(flags.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep else None))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            out.append((doc, b - a, int(flags.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep else None, copies))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW_COPIES.types, strict=True)], schema=ARROW_COPIES)
 
     return run
 

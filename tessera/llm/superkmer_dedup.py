@@ -23,6 +23,7 @@ from tessera.runtime import table
 N, K = 13, 5
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+ARROW_COPIES = ARROW.append(pa.field("copies", pa.int64()))
 
 
 def counted(windows: list[tuple]) -> list[tuple]:
@@ -50,11 +51,11 @@ def _order_windows(n: int):
 def _apply(n: int, keep: bool):
     def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return ARROW.empty_table()
+            return ARROW_COPIES.empty_table()
         s = rp.symbols(docs.column("text"), True)
         gone = rp.covered(rows, docs, s.first, n)
         out = []
-        for i, doc in enumerate(docs.column("doc_id").to_pylist()):
+        for i, (doc, copies) in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("copies").to_pylist(), strict=True)):
             a, b = int(s.first[i]), int(s.first[i + 1])
             flags = gone[a:b]
             if a == b:
@@ -63,8 +64,8 @@ def _apply(n: int, keep: bool):
                 left = b" ".join(s.data[s.starts[w] : s.ends[w]].tobytes() for w in (np.flatnonzero(~flags) + a).tolist())
             else:
                 left = s.data[s.starts[a] : s.ends[b - 1]].tobytes()
-            out.append((doc, b - a, int(flags.sum()), hashlib.sha256(left).hexdigest(), left.decode() if keep else None))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            out.append((doc, b - a, int(flags.sum()), hashlib.sha256(left).hexdigest(), left.decode() if keep else None, copies))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW_COPIES.types, strict=True)], schema=ARROW_COPIES)
 
     return run
 
