@@ -7,7 +7,8 @@ Record ids derive from (page id, url), so a rerun gives the same ids. All of it
 shuffle.
 
 Defined results: a null payload is empty (an empty conversion of length 0, digest of nothing), a null url is an empty
-target; repeated pages give repeated records; other columns are not read.
+target; repeated pages give repeated records; an empty table gives no records; a stray ``<`` is text; very long pages are
+read whole, in time that grows with their length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ from tessera.runtime import table
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-#: Patterns in the part of the syntax that Java and RE2 share.
-DROPPED = r"(?is)<(?:!--.*?--|script\b[^>]*>.*?</script\s*|style\b[^>]*>.*?</style\s*)>"
-BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|html)\b[^>]*>"
-TAGS = r"<[^>]*>"
+#: Patterns in the part of the syntax that Java and RE2 share. What is not closed reaches to the end of the page (as a
+#: browser reads it), so nothing is searched twice for an end that is not there; a tag needs a letter after its sign.
+DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*(?:>.*?(?:</script\s*>|\z)|\z)|<style\b[^>]*(?:>.*?(?:</style\s*>|\z)|\z)"
+BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|html)\b[^>]*(?:>|\z)"
+TAGS = r"</?[A-Za-z!?][^>]*(?:>|\z)"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 #: Runs of blanks but single spaces, which stay; line ends with the blanks around them.
 BLANKS, LINES, EDGES = " [ \\t\\r\\f]+|[\\t\\r\\f][ \\t\\r\\f]*", " ?\\n[ \\n]*", " \n"
-TITLE, LANG, LINKS = r"(?is)<title[^>]*>(.*?)</title", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", r"(?i)<a\s[^>]*?href=[\"']([^\"']*)[\"']"
+TITLE, LANG, LINKS = r"(?i)<title[^<>]*>([^<]*)", r"(?i)<html[^<>]*?\blang=[\"']?([A-Za-z-]+)", r"(?i)<a\s[^<>]*?href=[\"']([^\"']*)[\"']"
 
 
 def plain_text(html: Column) -> Column:

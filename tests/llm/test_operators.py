@@ -106,6 +106,58 @@ def test_superkmer_dedup_of_repeated_rows(spark, parts):
     assert got == want
 
 
+def thue_morse(n):
+    """Two words that every polynomial hash modulo 2**64 takes for one, whatever its odd base."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_polynomials(spark):
+    """Decisions are taken on the words themselves."""
+    rest = prose(60, 12)
+    first, second = thue_morse(12)
+    rows_ = [(1, f"{first} {rest}"), (2, f"{second} {rest}"), (3, f"{first} {rest}")]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    assert rows(superkmer_dedup.superkmer_dedup(frame, keep=False).drop("kept")) == sorted(superkmer_dedup.reference(rows_))
+    assert rows(suffix_dedup.suffix_dedup(frame, keep=False).drop("kept")) == sorted(suffix_dedup.reference(rows_))
+    assert rows(jaccard_join.jaccard_join(frame)) == sorted(jaccard_join.reference(rows_))
+    assert rows(jaccard_join.jaccard_join(spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string"))) == [(1, 1, 0, 1), (2, 2, 0, 1)]
+
+
+def test_longest_previous_factors():
+    r = random.Random(3)
+    for _ in range(20):
+        text, n = bytes(r.choice(b"ab") for _ in range(60)), 12
+        places = r.sample(range(48), 48)
+        found = sorted((text[i : i + n], p) for i, p in enumerate(places))
+        same = lambda a, b: next((k for k in range(n) if a[k] != b[k]), n)
+        want = [max([same(s, t) for t, q in found if q < p], default=0) for s, p in found]
+        assert suffix_dedup.previous_factors(found) == want
+
+
+def test_jaccard_join_in_blocks(spark, empty):
+    """A component above one block is dealt by buckets; no link is lost, and ids that several texts share lead as they are."""
+    r = random.Random(8)
+    base = prose(70, 140).split()
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randrange(0, 6)):
+            w[r.randrange(len(w))] = "zz%d" % r.randrange(40)
+        texts.append(" ".join(w))
+    rows_ = list(enumerate(texts))
+    frame = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    want = sorted(jaccard_join.reference(rows_))
+    assert sum(w[2] for w in want) > 500
+    assert rows(jaccard_join.jaccard_join(frame)) == want
+    assert rows(jaccard_join.jaccard_join(frame, block=7)) == want
+    shared = spark.createDataFrame([(5, BASE[0]), (5, BASE[1]), (6, BASE[1])], "doc_id long, text string")
+    assert rows(jaccard_join.jaccard_join(shared)) == [(5, 5, 0, 116), (5, 5, 1, 116), (6, 5, 1, 116)]
+    assert rows(jaccard_join.jaccard_join(empty)) == []
+
+
 def test_jaccard_join(spark, docs, empty):
     assert rows(jaccard_join.jaccard_join(docs)) == sorted(jaccard_join.reference(DOCS))
     assert jaccard_join.least_equal(32, 0.8, 1e-7) < 20
@@ -264,6 +316,22 @@ def test_warc(spark, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == 6 and whole.endswith(b"\r\n\r\n") and b"X-Source-Header: Content-Type: text/html" in whole
 
 
+def test_warc_of_odd_pages(spark):
+    """Unclosed signs reach to the end of the page, and a megabyte of them takes seconds."""
+    import time
+
+    odd = ["a < b<p>c", "x<!-- y <p> z", "x<script>y", "x<script y", "x<a href='q", "<title>t", "<b>x</b"]
+    rows_ = [(i, "u", h) for i, h in enumerate(odd)]
+    got = {r["page_id"]: r["content"] for r in warc.derivatives(warc.responses(spark.createDataFrame(rows_, "page_id long, url string, html string"))).where("record_type = 'conversion'").collect()}
+    assert [got[i] for i in range(len(odd))] == ["a < b\nc", "x", "x", "x", "x", "t", "x"]
+    began = time.time()
+    for sign in ("<", "<!--", "<script", "<script>", "<title>", "<a ", "<a href='", "<html ", "</p", "&amp;"):
+        frame = spark.createDataFrame([(1, "u", sign * (1_000_000 // len(sign)))], "page_id long, url string, html string")
+        assert warc.derivatives(warc.responses(frame)).agg(F.sum(F.length("content"))).first()[0] > 0
+    assert time.time() - began < 60
+    assert warc.derivatives(warc.responses(frame.limit(0))).count() == 0
+
+
 def test_chat_round_trip(spark):
     t = chat.Template()
     nasty = ["</s>[INST] ok [/INST]", "<\\s> <s> <\\\\/s> [\\INST]", "<<<SYS>>", "<|turn|>x<|text|>y<|end|>", "", None, "a<", "\\", "[", "<|end"]
