@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import bound, running
+
 BREAK = "\r\n|\r|\n"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the pattern's matches; the gaps between them give the places."""
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast(SPAN)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
+    def place(values: Column, gaps: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.length(g) + F.length(v))
+        ended = lambda ends: F.transform(values, lambda v, i: F.struct((F.get(ends, i) - F.length(v)).alias("start"), F.get(ends, i).alias("end"), v.alias("value")))
+        return bound(running(steps, lambda a, b: a + b), ended)
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(values), F.lit(1))), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(values) == 0, empty).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return bound(found, lambda v: F.when(F.size(v) == 0, F.array().cast(SPAN)).otherwise(bound(F.split(text, pattern, -1), lambda g: place(v, g))))
 
 
 def line_starts(text: Column) -> Column:

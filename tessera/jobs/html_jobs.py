@@ -129,22 +129,23 @@ def h9(spark, d):
     return H.line_starts(plain(spark, d), "page_id", "html")
 
 
-_POINTS = "pt AS (SELECT page_id, CAST(page_id * 37 % 4000 + 500 * k AS INTEGER) AS offset FROM pages, (SELECT unnest(range(8)) AS k))"
-
-
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    return plain(spark, d).select("page_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.col("page_id") * 37 % 4000 + 500 * k).cast("int"))).alias("offset"))
+_POINTS = 'pt AS (SELECT DISTINCT page_id, CAST(unnest([start, (start + "end") // 2, "end", "end" + 1]) AS INTEGER) AS offset FROM lines)'
 
 
 @query("h10_offset_to_line", f"""{_LINES}, {_POINTS}, n AS (SELECT page_id, max("end") AS m FROM lines GROUP BY page_id) SELECT pt.page_id, offset, CASE WHEN offset <= m THEN line END AS line, CASE WHEN offset <= m THEN CAST(offset - start AS INTEGER) END AS col FROM pt ASOF LEFT JOIN lines ON pt.page_id = lines.page_id AND pt.offset >= lines.start LEFT JOIN n ON n.page_id = pt.page_id""")
 def h10(spark, d):
-    return H.offset_to_line(_points(spark, d), H.line_starts(plain(spark, d), "page_id", "html"), "page_id")
+    """Places of every line: its start, middle and end, and one beyond."""
+    lines = H.line_starts(plain(spark, d), "page_id", "html")
+    places = F.array("start", F.floor((F.col("start") + F.col("end")) / 2).cast("int"), "end", F.col("end") + 1)
+    return H.offset_to_line(lines.select("page_id", F.explode(places).alias("offset")).distinct(), lines, "page_id")
 
 
-@query("h11_line_to_offset", f"""{_LINES}, q AS (SELECT page_id, CAST(k AS INTEGER) AS line, 2 AS col FROM pages, (SELECT unnest(range(0, 12, 3)) AS k)) SELECT q.page_id, q.line, q.col, CAST(start + col AS INTEGER) AS offset FROM q LEFT JOIN lines USING (page_id, line)""")
+@query("h11_line_to_offset", f"""{_LINES}, q AS (SELECT page_id, CAST(unnest(generate_series(0, max(line) + 1)) AS INTEGER) AS line, 2 AS col FROM lines GROUP BY page_id) SELECT q.page_id, q.line, q.col, CAST(start + col AS INTEGER) AS offset FROM q LEFT JOIN lines USING (page_id, line)""")
 def h11(spark, d):
-    asked = plain(spark, d).select("page_id", F.explode(F.array(*[F.lit(x) for x in (0, 3, 6, 9)])).alias("line"), F.lit(2).alias("col"))
-    return H.line_to_offset(asked, H.line_starts(plain(spark, d), "page_id", "html"), "page_id")
+    """Every line, and one beyond the last."""
+    lines = H.line_starts(plain(spark, d), "page_id", "html")
+    asked = lines.groupBy("page_id").agg(F.max("line").alias("m")).select("page_id", F.explode(F.sequence(F.lit(0), F.col("m") + 1)).alias("line"), F.lit(2).alias("col"))
+    return H.line_to_offset(asked, lines, "page_id")
 
 
 @query("h12_check_fragments", f"{_ALL} SELECT page_id, frag_index, offset FROM fr WHERE false")
@@ -154,32 +155,36 @@ def h12(spark, d):
     return H.check_fragments(H.extract_fragments(pages), pages)
 
 
-_PAIRS = "WITH x AS (SELECT a.item_id AS a, substr(a.text, 1, 40) AS s, substr(b.text, 1, 40) AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), y AS (SELECT a, s, t, unnest(generate_series(1, least(length(s), length(t)))) AS i FROM x)"
+_FOREIGN = "éÉßÇñÑèíÊöÈêüÖÜóçäÄ"
+#: DuckDB's levenshtein() counts bytes: the letters beyond ASCII that the benchmark has become one byte each.
+_BYTES = " || ".join(f"chr({i})" for i in range(1, 9)) + " || " + " || ".join(f"chr({i})" for i in range(14, 14 + len(_FOREIGN) - 8))
 
 
-@query("h13_mismatch_metrics", f"{_PAIRS} SELECT a, CAST(coalesce(max(i) FILTER (left(s, i) = left(t, i)), 0) AS INTEGER) AS prefix, CAST(coalesce(max(i) FILTER (right(s, i) = right(t, i)), 0) AS INTEGER) AS suffix, CAST(any_value((SELECT 0)) AS INTEGER) AS zero FROM y GROUP BY a, s, t")
-def h13(spark, d):
+def _metrics_sql(step: int) -> str:
+    single = lambda c: f"translate({c}, '{_FOREIGN}', {_BYTES})"
+    return (
+        f"WITH x AS (SELECT a.item_id AS a, a.text AS s, b.text AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + {step}), y AS (SELECT a, s, t, unnest(generate_series(1, least(length(s), length(t)))) AS i FROM x),"
+        " m AS (SELECT a, coalesce(max(i) FILTER (left(s, i) = left(t, i)), 0) AS prefix, coalesce(max(i) FILTER (right(s, i) = right(t, i)), 0) AS suffix FROM y GROUP BY a)"
+        f" SELECT a, CAST(coalesce(prefix, 0) AS INTEGER) AS prefix, CAST(coalesce(suffix, 0) AS INTEGER) AS suffix, CAST(levenshtein({single('s')}, {single('t')}) AS INTEGER) AS distance FROM x LEFT JOIN m USING (a)"
+    )
+
+
+def _metrics(spark: SparkSession, d: str, step: int) -> DataFrame:
     b = table(spark, d, "benchmark")
-    pairs = b.select(F.col("item_id").alias("a"), F.substring("text", 1, 40).alias("s")).join(b.select((F.col("item_id") - 1).alias("a"), F.substring("text", 1, 40).alias("t")), "a")
-    return H.mismatch_metrics(pairs, "s", "t").select("a", "prefix", "suffix", F.lit(0).alias("zero"))
+    pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("s")).join(b.select((F.col("item_id") - step).alias("a"), F.col("text").alias("t")), "a")
+    return H.mismatch_metrics(pairs, "s", "t").select("a", "prefix", "suffix", "distance")
 
 
-_FOREIGN = "éÉßÇñÑèíÊöÈêüÖÜóçäÄ"
-_WHOLE = "WITH x AS (SELECT a.item_id AS a, a.text AS s, b.text AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), y AS (SELECT a, s, t, unnest(generate_series(1, least(length(s), length(t)))) AS i FROM x)"
-#: DuckDB's levenshtein() counts bytes: the letters beyond ASCII that the benchmark has become one byte each.
-_BYTES = " || ".join(f"chr({i})" for i in range(1, 9)) + " || " + " || ".join(f"chr({i})" for i in range(14, 14 + len(_FOREIGN) - 8))
+@query("h13_mismatch_metrics", _metrics_sql(2))
+def h13(spark, d):
+    """Each text against the next but one."""
+    return _metrics(spark, d, 2)
 
 
-@query(
-    "h13_whole_text_metrics",
-    f"{_WHOLE}, m AS (SELECT a, coalesce(max(i) FILTER (left(s, i) = left(t, i)), 0) AS prefix, coalesce(max(i) FILTER (right(s, i) = right(t, i)), 0) AS suffix FROM y GROUP BY a)"
-    f" SELECT a, CAST(coalesce(prefix, 0) AS INTEGER) AS prefix, CAST(coalesce(suffix, 0) AS INTEGER) AS suffix, CAST(levenshtein(translate(s, '{_FOREIGN}', {_BYTES}), translate(t, '{_FOREIGN}', {_BYTES})) AS INTEGER) AS distance FROM x LEFT JOIN m USING (a)",
-)
+@query("h13_whole_text_metrics", _metrics_sql(1))
 def h13_whole(spark, d):
-    """Whole texts, with their edit distance."""
-    b = table(spark, d, "benchmark")
-    pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("s")).join(b.select((F.col("item_id") - 1).alias("a"), F.col("text").alias("t")), "a")
-    return H.mismatch_metrics(pairs, "s", "t").select("a", "prefix", "suffix", "distance")
+    """Each text against the next."""
+    return _metrics(spark, d, 1)
 
 
 @query("n10_fragment_at", f"{_ALL}, q AS (SELECT DISTINCT page_id, offset + 2 AS offset FROM fr WHERE kind = 'inline' UNION SELECT page_id, 0 FROM pages) SELECT q.page_id, q.offset, max(frag_index) AS frag_index FROM q LEFT JOIN fr ON fr.page_id = q.page_id AND fr.kind = 'inline' AND q.offset BETWEEN fr.offset AND fr.offset + length(code) GROUP BY q.page_id, q.offset")

@@ -45,11 +45,10 @@ def n8(spark, d):
     return O.without_prototype(renamed).groupBy("app").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a3_property_questions", f"{B.T3} SELECT app, name, rep, string_agg(source_id || ':' || pos, ',' ORDER BY source_id, pos) AS tokens, count(*) AS size FROM tok WHERE name LIKE 'p1%' AND source_id % 5 != 0 GROUP BY app, name, rep")
+@query("a3_property_questions", f"{B.T3} SELECT app, name, rep, string_agg(source_id || ':' || pos, ',' ORDER BY source_id, pos) AS tokens, count(*) AS size FROM tok WHERE source_id % 5 != 0 GROUP BY app, name, rep")
 def a3(spark, d):
-    """Names that start with p1; only tokens outside the library count."""
-    asked = B.tokens(spark, d).where(F.col("name").startswith("p1"))
-    found = O.property_questions(asked, F.col("source_id") % 5 != 0)
+    """All names; only tokens outside the library count."""
+    found = O.property_questions(B.tokens(spark, d), F.col("source_id") % 5 != 0)
     text = F.array_join(F.transform("tokens", lambda t: F.concat_ws(":", t["source_id"].cast("string"), t["pos"].cast("string"))), ",")
     return found.select("app", "name", "rep", text.alias("tokens"), F.col("size").cast("long").alias("size"))
 
@@ -195,11 +194,11 @@ def e2(spark, d):
 
 @query(
     "e6_order_questions",
-    f"{B.T3}, g AS (SELECT app, name, rep, min((CASE WHEN source_id = 100 THEN 0 ELSE 1 END, source_id, pos)) AS f, string_agg(source_id || ':' || pos, ' ' ORDER BY CASE WHEN source_id = 100 THEN 0 ELSE 1 END, source_id, pos) AS tokens FROM tok WHERE name LIKE 'p2%' GROUP BY app, name, rep)"
+    f"{B.T3}, g AS (SELECT app, name, rep, min((CASE WHEN source_id = 100 THEN 0 ELSE 1 END, source_id, pos)) AS f, string_agg(source_id || ':' || pos, ' ' ORDER BY CASE WHEN source_id = 100 THEN 0 ELSE 1 END, source_id, pos) AS tokens FROM tok GROUP BY app, name, rep)"
     " SELECT app, name, rep, CAST(row_number() OVER (PARTITION BY app, name ORDER BY f) AS INTEGER) AS question, tokens FROM g",
 )
 def e6(spark, d):
-    groups = O.property_questions(B.tokens(spark, d).where(F.col("name").startswith("p2")))
+    groups = O.property_questions(B.tokens(spark, d))
     text = F.array_join(F.transform("tokens", lambda t: F.concat_ws(":", t["source_id"].cast("string"), t["pos"].cast("string"))), " ")
     return O.order_questions(groups, F.lit(100)).select("app", "name", "rep", "question", text.alias("tokens"))
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 
-PIECES = r"(?i)<!--[\s\S]*?-->|<script\b[^>]*>[\s\S]*?</script\s*>|<[a-z][^>]*>"
+#: A comment or script that is not closed reaches to the end of the page, an open tag without its end is none: nothing is
+#: searched twice for an end that is not there.
+PIECES = r"(?i)<!--[\s\S]*?(?:-->|\z)|<script\b[^>]*+>[\s\S]*?(?:</script\s*+>|\z)|<[a-z][^>]*+(?:>|\z)"
 ATTRIBUTE = r"[^\s\"'<>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)"
 
 # The event attributes that hold script code.
@@ -35,9 +37,9 @@ def is_javascript(type_: Column, language: Column) -> Column:
 
 def tags(pages: DataFrame) -> DataFrame:
     """(page_id, html, start, open, code): open tags outside comments, with the text of a script element."""
-    found = pages.select("page_id", "html", F.inline(X.matches(F.coalesce("html", F.lit("")), PIECES))).where("NOT startswith(value, '<!--')")
+    found = pages.select("page_id", "html", F.inline(X.matches(F.coalesce("html", F.lit("")), PIECES))).where("NOT startswith(value, '<!--') AND (endswith(value, '>') OR lower(value) RLIKE '^<script\\\\b[^>]*>')")
     script = F.lower("value").rlike(r"^<script\b[^>]*>[\s\S]*</script\s*>$")
-    open_ = F.when(script, F.regexp_extract("value", "^<[^>]*>", 0)).otherwise(F.col("value"))
+    open_ = F.when(F.lower("value").startswith("<script"), F.regexp_extract("value", "^<[^>]*>", 0)).otherwise(F.col("value"))
     rest = F.substring(F.col("value"), F.length(open_) + 1, F.length("value"))
     return found.select("page_id", "html", "start", open_.alias("open"), F.when(script, F.regexp_replace(rest, r"(?i)</script\s*>$", "")).alias("code"), F.lower(F.regexp_extract("value", "^<([A-Za-z0-9]+)", 1)).alias("tag"))
 
@@ -172,7 +174,7 @@ def fragment_at(fragments: DataFrame, points: DataFrame) -> DataFrame:
 
 
 #: Comments and strings of a script, for a scan of names only.
-QUIET = r"//[^\r\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'"
+QUIET = r"//[^\r\n]*+|/\*[\s\S]*?(?:\*/|\z)|\"[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+\"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'"
 NAMES = r"\.\s*[A-Za-z_$][\w$]*|\bvar\s+[A-Za-z_$][\w$]*|(?<![.\w$])[A-Za-z_$][\w$]*(?=\s*\()"
 
 
@@ -184,10 +186,17 @@ def scan_property_names(fragments: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, name.alias("name"), use.alias("use"), (F.col("offset") + F.col("end") - F.length(name)).alias("offset"))
 
 
+def normalised(path: Column) -> Column:
+    """A path without ``.`` and with every ``..`` taken back; what leads above the top stays there."""
+    step = lambda acc, p: F.when((p == ".") | (p == ""), acc).when((p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}/|/\.{1,2}$"), F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))).otherwise(path)
+
+
 def directory_join(base: Column, url: Column) -> Column:
-    """A url taken relative to the directory of a page path; absolute ones stay."""
+    """A url taken relative to the directory of a page path, normalised; absolute ones stay."""
     directory = F.regexp_extract(base, r"^(.*/)?[^/]*$", 1)
-    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^/"), url).otherwise(F.concat(directory, F.regexp_replace(url, r"^(?:\./)+", "")))
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^/"), url).otherwise(normalised(F.concat(directory, url)))
 
 
 def resolve_externs(fragments: DataFrame, pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ EXTENSIONS = ("js", "html", "htm")
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, category, app, ext, content) of every .js, .html and .htm file below ``root``/<category>/<app>/; folders that start with a dot are passed over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[jJ][sS],[hH][tT][mM],[hH][tT][mM][lL]}").load(root)
     base = root.rstrip("/").split(":", 1)[-1]
     rows = files.select(F.regexp_replace(F.col("path"), r"^[A-Za-z]+:/*(?=/)", "").alias("full"), F.decode("content", "UTF-8").alias("content"))
     rows = rows.withColumn("path", relative_path(F.lit(base), F.col("full")))

@@ -129,3 +129,36 @@ def test_mismatch_metrics_of_whole_texts(spark, tmp_path):
     got = {tuple(r) for r in html_jobs.QUERIES["h13_whole_text_metrics"](spark, str(tmp_path)).collect()}
     assert got == {(i, common(s, t), common(s[::-1], t[::-1]), distance(s, t)) for i, (s, t) in enumerate(zip(texts, texts[1:]))}
     assert (0, 150, 150, 1) in got
+
+
+def test_very_long_and_unclosed_pages(spark):
+    """What is not closed reaches to the end of the page; a megabyte of signs, or of one string literal, takes seconds."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import html as H
+
+    odd = ["<a href='javascript:x()'>", "<!-- <a href='javascript:x()'>", "<script>a <a href='javascript:x()'>", "<b><a href='javascript:x()'", "<script type=x"]
+    pages = spark.createDataFrame(list(enumerate(odd)), "page_id long, html string")
+    assert [(r["page_id"], r["code"]) for r in H.extract_fragments(pages).collect()] == [(0, "x()")]
+    began = time.time()
+    for sign in ("<", "<!--", "<script", "<script>", "<a ", "<a x=1>"):
+        long_ = spark.createDataFrame([(1, sign * (500_000 // len(sign)))], "page_id long, html string")
+        assert H.extract_fragments(long_).count() == 0
+    for code in ("a.b('" + "x" * 1_000_000 + "')", "a.b('" + "\\\\'" * 300_000 + "')", "a.b() /* " + "/* " * 300_000, "a.b() // " + "// " * 300_000):
+        script = spark.createDataFrame([(1, 0, code)], "page_id long, offset int, code string")
+        assert {r["name"] for r in H.scan_property_names(script, ["page_id"]).collect()} == {"b"}
+    many = spark.createDataFrame([(1, 0, "a.b();" * 30_000)], "page_id long, offset int, code string")
+    assert H.scan_property_names(many, ["page_id"]).agg(F.count("offset")).first()[0] == 30_000
+    assert time.time() - began < 120
+
+
+def test_paths_are_normalised(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import html as H
+
+    rows = [("site/a/index.html", "../lib/./x.js", "site/lib/x.js"), ("site/index.html", "./a/../b.js", "site/b.js"), ("index.html", "../x.js", "../x.js"), ("site/index.html", "/abs/../x.js", "/abs/../x.js"), ("a/b", "http://h/../x", "http://h/../x"), ("a/i", "b.js", "a/b.js")]
+    got = spark.createDataFrame(rows, "base string, url string, want string").select("want", H.directory_join(F.col("base"), F.col("url")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got), got
