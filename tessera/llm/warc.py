@@ -22,7 +22,7 @@ DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: Patterns in the part of the syntax that Java and RE2 share. What is not closed reaches to the end of the page (as a
 #: browser reads it), so nothing is searched twice for an end that is not there; a tag needs a letter after its sign.
-DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*(?:>.*?(?:</script\s*>|\z)|\z)|<style\b[^>]*(?:>.*?(?:</style\s*>|\z)|\z)"
+DROPPED = r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*(?:>.*?(?:</script\s*>|\z)|\z)|style\b[^>]*(?:>.*?(?:</style\s*>|\z)|\z))"
 BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|head|body|html)\b[^>]*(?:>|\z)"
 TAGS = r"</?[A-Za-z!?][^>]*(?:>|\z)"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
