@@ -54,6 +54,87 @@ LABELS = (
     (11, 10, "value", 0, "Name", None, "key"),
 )
 
+#: ``u = k ? [u, u["k"]] : k && u || (k, <value>);``
+OPERATORS = (
+    (0, None, "statement", 0, "ExpressionStatement", None, None),
+    (1, 0, "expression", 0, "Assignment", "=", None),
+    (2, 1, "left", 0, "Name", None, "user"),
+    (3, 1, "right", 0, "ConditionalExpression", None, None),
+    (4, 3, "test", 0, "Name", None, "key"),
+    (5, 3, "then", 0, "ArrayLiteral", None, None),
+    (6, 5, "element", 0, "Name", None, "user"),
+    (7, 5, "element", 1, "ElementGet", None, None),
+    (8, 7, "target", 0, "Name", None, "user"),
+    (9, 7, "element", 0, "StringLiteral", None, "key"),
+    (10, 3, "else", 0, "InfixExpression", "||", None),
+    (11, 10, "left", 0, "InfixExpression", "&&", None),
+    (12, 11, "left", 0, "Name", None, "key"),
+    (13, 11, "right", 0, "Name", None, "user"),
+    (14, 10, "right", 0, "ParenthesizedExpression", None, None),
+    (15, 14, "expression", 0, "InfixExpression", ",", None),
+    (16, 15, "left", 0, "Name", None, "key"),
+    (17, 15, "right", 0, "NumberLiteral", None, "value"),
+)
+#: ``k ? u : u || k;``: values that nobody uses
+UNUSED = (
+    (18, None, "statement", 0, "ExpressionStatement", None, None),
+    (19, 18, "expression", 0, "ConditionalExpression", None, None),
+    (20, 19, "test", 0, "Name", None, "key"),
+    (21, 19, "then", 0, "Name", None, "user"),
+    (22, 19, "else", 0, "InfixExpression", "||", None),
+    (23, 22, "left", 0, "Name", None, "user"),
+    (24, 22, "right", 0, "Name", None, "key"),
+)
+
+#: ``u.k.prototype = new u.k(<value>);``
+CLASSES = (
+    (0, None, "statement", 0, "ExpressionStatement", None, None),
+    (1, 0, "expression", 0, "Assignment", "=", None),
+    (2, 1, "left", 0, "PropertyGet", None, None),
+    (3, 2, "left", 0, "PropertyGet", None, None),
+    (4, 3, "left", 0, "Name", None, "user"),
+    (5, 3, "right", 0, "Name", None, "key"),
+    (6, 2, "right", 0, "Name", None, "prototype"),
+    (7, 1, "right", 0, "NewExpression", None, None),
+    (8, 7, "target", 0, "PropertyGet", None, None),
+    (9, 8, "left", 0, "Name", None, "user"),
+    (10, 8, "right", 0, "Name", None, "key"),
+    (11, 7, "arg", 0, "NumberLiteral", None, "value"),
+)
+#: ``function k(p) {return {get v() {}, set v(w) {}, m: function f() {}};}``
+ACCESSORS = (
+    (12, None, "statement", 0, "FunctionNode", None, "key"),
+    (13, 12, "param", 0, "Name", None, "p"),
+    (14, 12, "body", 0, "Block", None, None),
+    (15, 14, "statement", 0, "ReturnStatement", None, None),
+    (16, 15, "value", 0, "ObjectLiteral", None, None),
+    (17, 16, "element", 0, "ObjectProperty", "get", None),
+    (18, 17, "left", 0, "Name", None, "v"),
+    (19, 17, "right", 0, "FunctionNode", None, ""),
+    (20, 19, "body", 0, "Block", None, None),
+    (21, 16, "element", 1, "ObjectProperty", "set", None),
+    (22, 21, "left", 0, "Name", None, "v"),
+    (23, 21, "right", 0, "FunctionNode", None, ""),
+    (24, 23, "param", 0, "Name", None, "w"),
+    (25, 23, "body", 0, "Block", None, None),
+    (26, 16, "element", 2, "ObjectProperty", "init", None),
+    (27, 26, "left", 0, "Name", None, "m"),
+    (28, 26, "right", 0, "FunctionNode", None, "f"),
+    (29, 28, "body", 0, "Block", None, None),
+)
+
+#: ``function f() {return function(q) {return q;};}``
+NESTED = (
+    (22, None, "statement", 0, "FunctionNode", None, "f"),
+    (23, 22, "body", 0, "Block", None, None),
+    (24, 23, "statement", 0, "ReturnStatement", None, None),
+    (25, 24, "value", 0, "FunctionNode", None, ""),
+    (26, 25, "param", 0, "Name", None, "q"),
+    (27, 25, "body", 0, "Block", None, None),
+    (28, 27, "statement", 0, "ReturnStatement", None, None),
+    (29, 28, "value", 0, "Name", None, "q"),
+)
+
 
 def _above(at: int, shape: tuple) -> list[tuple]:
     """The statement's nodes above a place, from the top."""

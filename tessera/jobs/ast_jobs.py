@@ -132,8 +132,8 @@ def _n(i: int) -> str:
     return f"'n:' || user_id || ':' || (base + {i})"
 
 
-def _s(letter: str = "s") -> str:
-    return f"'{letter}:' || user_id || ':' || (base + 12)"
+def _s(letter: str = "s", i: int = 12) -> str:
+    return f"'{letter}:' || user_id || ':' || (base + {i})"
 
 
 _RULES = [
@@ -144,18 +144,50 @@ _RULES = [
 ]
 
 
-def _rules_sql() -> str:
-    parts = [f"SELECT app, '{r}' AS rule, '{k}' AS kind, {a} AS a, {p} AS prty, {b} AS b FROM ev{' WHERE event_id % 10 = 0' if tenth else ''}" for tenth, r, k, a, p, b in _RULES]
+_OPERATOR_RULES = [
+    *[(False, "C14", "prop", "'g'", "usr", _n(i)) for i in (2, 6, 8, 13)], *[(False, "C14", "prop", "'g'", "k", _n(i)) for i in (4, 12, 16)],
+    (False, "C6", "eq", _n(1), "NULL", _n(2)), (False, "C6", "eq", _n(2), "NULL", _n(3)), (False, "C2", "eq", _n(3), "NULL", _n(5)), (False, "C2", "eq", _n(3), "NULL", _n(10)),
+    (False, "C1", "prop", _n(5), "'@array'", _n(6)), (False, "C1", "prop", _n(5), "'@array'", _n(7)), (False, "C3", "prop", _n(8), "k", _n(7)),
+    (False, "C9", "eq", _n(11), "NULL", _n(13)), (False, "C10", "eq", _n(10), "NULL", _n(11)), (False, "C10", "eq", _n(10), "NULL", _n(14)), (False, "C18", "eq", _n(14), "NULL", _n(15)), (False, "C11", "eq", _n(15), "NULL", _n(17)),
+    *[(True, "C14", "prop", "'g'", "usr", _n(i)) for i in (21, 23)], *[(True, "C14", "prop", "'g'", "k", _n(i)) for i in (20, 24)],
+]
+
+_CLASS_RULES = [
+    (False, "C14", "prop", "'g'", "usr", _n(4)), (False, "C14", "prop", "'g'", "usr", _n(9)), (False, "C6", "eq", _n(1), "NULL", _n(2)), (False, "C6", "eq", _n(2), "NULL", _n(7)),
+    (False, "C7", "prop", _n(3), "'prototype'", _n(2)), (False, "C7", "prop", _n(4), "k", _n(3)), (False, "C7", "prop", _n(9), "k", _n(8)), (False, "C5", "ns", _n(9), "NULL", "NULL"), (False, "C8", "ns", _n(4), "NULL", "NULL"),
+    (True, "C19", "prop", "'g'", "k", _n(12)), (True, "C20", "prop", _s(), "'@return'", _n(16)), (True, "C22", "prop", _s(), "'p'", _n(13)), (True, "C22", "prop", _s("s", 23), "'w'", _n(24)),
+    *[(True, "C22", "prop", _n(i), "'prototype'", _s("t", i)) for i in (12, 19, 23, 28)], *[(True, "C22", "prop", _s("s", i), "'@this'", _s("t", i)) for i in (12, 19, 23, 28)],
+    *[(True, "C16", "prop", _s("s", f), "'@this'", _n(16)) for f in (19, 23)], *[(True, "C16", "prop", _n(16), "'v'", _s("u", e)) for e in (17, 21)], (True, "C16", "prop", _s("s", 19), "'@return'", _s("u", 17)),
+    (True, "C17", "prop", _s("s", 23), "'w'", _s("u", 21)), (True, "C15", "prop", _n(16), "'m'", _n(28)), (True, "C15", "method", _n(16), "NULL", _s("t", 28)), (True, "C12", "prop", _s("s", 28), "'f'", _n(28)),
+]
+
+
+def _rules_sql(rules: list[tuple]) -> str:
+    parts = [f"SELECT app, '{r}' AS rule, '{k}' AS kind, {a} AS a, {p} AS prty, {b} AS b FROM ev{' WHERE event_id % 10 = 0' if tenth else ''}" for tenth, r, k, a, p, b in rules]
     return f"WITH {A.SQL_EVENTS} " + " UNION ALL ".join(parts) + " UNION ALL SELECT DISTINCT app, 'C25', 'prop', 'g', 'window', 'g' FROM ev"
 
 
-@query("c_constraints", _rules_sql())
+@query("c_constraints", _rules_sql(_RULES))
 def c(spark, d):
-    """All rules that these programs call for (C4, C6, C7, C13, C14, C15, C18, C20, C21, C22, C25); the others are tested on small trees."""
+    """All rules that these programs call for: C4, C6, C7, C13, C14, C15, C18, C20, C21, C22, C25."""
     ast = A.ast(spark, d)
     return C.constraints(ast, A.decls(ast))
 
 
+@query("c_operator_constraints", _rules_sql(_OPERATOR_RULES))
+def c_operators(spark, d):
+    """C1, C2, C3, C9, C10, C11, with values that nobody uses."""
+    ast = A.ast(spark, d, A.OPERATORS, A.UNUSED)
+    return C.constraints(ast, A.decls(ast))
+
+
+@query("c_class_constraints", _rules_sql(_CLASS_RULES))
+def c_classes(spark, d):
+    """C5, C8, C12, C16, C17, C19: namespaces, methods, accessors and named functions."""
+    ast = A.ast(spark, d, A.CLASSES, A.ACCESSORS)
+    return C.constraints(ast, A.decls(ast))
+
+
 @query("c23_primitive", f"{NODES} SELECT app, source_id, node_id FROM nd WHERE n = 8")
 def c23(spark, d):
     return C.primitive(A.ast(spark, d)).where("prim").select("app", "source_id", "node_id")
@@ -213,8 +245,21 @@ def e5(spark, d):
     return E.label_questions(rows, asked).select("app", "source_id", "statement", "name", F.array_join("tokens", ",").alias("tokens"))
 
 
-@query("e13_random_kill_set")
+#: The walk over the functions of a source: state is the nodes still wanted, those still ahead, and where a killed function ends.
+_KILL_SQL = f"""WITH RECURSIVE {A.SQL_EVENTS},
+f AS (SELECT app, user_id AS source_id, base + 12 AS node_id, 8 AS size, true AS called FROM ev UNION ALL SELECT app, user_id, base + 22, 7, false FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, user_id, base + 25, 4, false FROM ev WHERE event_id % 10 = 0),
+total AS (SELECT app, user_id AS source_id, sum(13 + CASE WHEN event_id % 10 = 0 THEN 8 ELSE 0 END) AS total FROM ev GROUP BY ALL),
+fn AS (SELECT f.*, total, trial, CAST(('0x' || substr(md5('0/' || f.app || '/' || f.source_id || '/' || node_id || '/' || trial), 1, 7)) AS BIGINT) / 268435456.0::DOUBLE AS chance, row_number() OVER (PARTITION BY f.app, f.source_id, trial ORDER BY node_id) AS rn
+  FROM f JOIN total t ON t.app = f.app AND t.source_id = f.source_id, (VALUES (0), (1), (2)) AS x(trial) WHERE NOT called),
+w AS (SELECT app, source_id, trial, CAST(0 AS BIGINT) AS rn, total * 0.5::DOUBLE AS need, CAST(total AS BIGINT) AS ahead, CAST(-1 AS BIGINT) AS dead, CAST(NULL AS BIGINT) AS node_id FROM fn GROUP BY app, source_id, trial, total
+  UNION ALL
+  SELECT app, source_id, trial, rn, CASE WHEN kills THEN greatest(0, need - size) ELSE need END, CASE WHEN looks THEN ahead - size ELSE ahead END, CASE WHEN kills THEN place + size ELSE dead END, CASE WHEN kills OR inside THEN place END FROM
+  (SELECT *, looks AND chance * ahead < need AS kills FROM (SELECT w.app, w.source_id, w.trial, fn.rn, need, ahead, dead, size, chance, fn.node_id AS place, fn.node_id <= dead AS inside, fn.node_id > dead AND need > 0 AND size < total / 2.0 AS looks
+    FROM w JOIN fn ON fn.app = w.app AND fn.source_id = w.source_id AND fn.trial = w.trial AND fn.rn = w.rn + 1)))
+SELECT app, CAST(trial AS INTEGER) AS trial, source_id, node_id FROM w WHERE node_id IS NOT NULL"""
+
+
+@query("e13_random_kill_set", _KILL_SQL)
 def e13(spark, d):
-    """Random by hash; every killed node is a function (tests check the walk)."""
-    ast = A.ast(spark, d).withColumn("ancestors", F.transform("ancestors", lambda a: a.withField("kind", F.when(a["kind"] == "FunctionCall", "NewExpression").otherwise(a["kind"]))))
-    return N.random_kill_set(ast, 3, 0.5)
+    """Every event calls a function at once, which stays; every tenth declares one with another inside."""
+    return N.random_kill_set(A.ast(spark, d, A.CALL, A.NESTED), 3, 0.5)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tessera.runtime import cut
 
 
-def _state(edges: DataFrame, cols: list[str]) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame, keys: list[str]) -> bool:
+    """Does every node have one edge to a lesser node that itself has none?"""
+    ends = edges.select(*keys, F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(*keys, F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return not ends.groupBy(*keys, "node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").head(1)
 
 
 def _least_neighbour(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,19 +37,15 @@ def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, rep) of every node of an edge, self-loops included; rep is the least node of its component.
 
-    Alternates large-star and small-star until the edges stay as they are. Edges with a null end are dropped.
+    Alternates large-star and small-star until only stars to a least node are left. Edges with a null end are dropped.
     """
     keys = list(keys)
     pairs = edges.select(*keys, F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
     pairs = cut(pairs)
     nodes = pairs.select(*keys, F.col("u").alias("node")).unionByName(pairs.select(*keys, F.col("v").alias("node"))).distinct()
-    star, before = pairs.where("u != v"), None
-    while True:
+    star = pairs.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+    while not _all_stars(star, keys):
         star = cut(_small_star(_large_star(star, keys), keys))
-        now = _state(star, [*keys, "u", "v"])
-        if now == before or not now[0]:
-            break
-        before = now
     found = star.select(*keys, F.col("u").alias("node"), F.col("v").alias("rep"))
     return nodes.join(found, [*keys, "node"], "left").select(*keys, "node", F.coalesce("rep", "node").alias("rep"))
 

@@ -122,16 +122,17 @@ def declared_functions_ordinals(ast: DataFrame, kill_keys: DataFrame) -> DataFra
 
     The numbering depends on what was killed before, so a source's functions are walked in order.
     """
-    functions = ast.where("kind = 'FunctionNode'").select(*NODE, F.transform("ancestors", lambda a: a["id"]).alias("above"))
+    functions = _extents(ast).select(*NODE, "last")
     keys = kill_keys.groupBy("app", "trial", "source_id").agg(F.collect_set("ordinal").alias("ordinals"))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        out, killed, n = [], set(), 2
-        for row in group.sort_values("node_id").itertuples():
-            if killed.intersection(row.above):
+        out, dead, n = [], -1, 2
+        wanted = set(group["ordinals"].iloc[0]) if len(group) else set()
+        for row in group.drop(columns="ordinals").sort_values("node_id").itertuples():
+            if row.node_id <= dead:
                 continue
-            if n in set(row.ordinals):
-                killed.add(row.node_id)
+            if n in wanted:
+                dead = row.last
                 out.append((row.app, row.trial, row.source_id, row.node_id))
             n += 1
         return pd.DataFrame(out, columns=["app", "trial", "source_id", "node_id"])
@@ -141,12 +142,18 @@ def declared_functions_ordinals(ast: DataFrame, kill_keys: DataFrame) -> DataFra
     return joined.groupBy("app", "trial", "source_id").applyInPandas(walk, schema)
 
 
-def subtree_sizes(ast: DataFrame) -> DataFrame:
-    """(app, source_id, node_id, size): descendants of every function; those in nested ones count too."""
+def _extents(ast: DataFrame) -> DataFrame:
+    """(app, source_id, node_id, size, last): descendants of every function, and the last of them in preorder (itself, if it has none)."""
     above = F.filter("ancestors", lambda a: a["kind"] == "FunctionNode")
-    counted = ast.select("app", "source_id", F.explode(F.transform(above, lambda a: a["id"])).alias("node_id")).groupBy(*NODE).agg(F.count(F.lit(1)).alias("size"))
+    inside = ast.select("app", "source_id", F.col("node_id").alias("_at"), F.explode(F.transform(above, lambda a: a["id"])).alias("node_id"))
+    counted = inside.groupBy(*NODE).agg(F.count(F.lit(1)).alias("size"), F.max("_at").alias("last"))
     functions = ast.where("kind = 'FunctionNode'").select(*NODE)
-    return functions.join(counted, NODE, "left").select(*NODE, F.coalesce("size", F.lit(0)).alias("size"))
+    return functions.join(counted, NODE, "left").select(*NODE, F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("last", "node_id").alias("last"))
+
+
+def subtree_sizes(ast: DataFrame) -> DataFrame:
+    """(app, source_id, node_id, size): descendants of every function; those in nested ones count too."""
+    return _extents(ast).drop("last")
 
 
 def survivors(tokens: DataFrame, killed: DataFrame) -> DataFrame:
@@ -161,32 +168,33 @@ def random_kill_set(ast: DataFrame, trials: int, ratio: float, seed: int = 0) ->
     """(app, trial, source_id, node_id): functions cut out at random, about 1 - ratio of a source's nodes.
 
     Functions are walked in preorder; immediately called ones and those of half the source or more are passed over;
-    one is killed with probability need / remaining, and what lies inside goes with it.
+    one is killed with probability need / remaining, and what lies inside goes with it. The chance comes from the MD5 of
+    seed, program, source, node and trial, so a run can be repeated.
     """
-    sizes = subtree_sizes(ast)
+    sizes = _extents(ast)
     totals = ast.groupBy("app", "source_id").agg(F.count(F.lit(1)).alias("total"))
     outer = F.filter(F.reverse("ancestors"), lambda a: a["kind"] != "ParenthesizedExpression")
     top = F.when(F.size(outer) > 0, outer[0])
     wraps = F.size("ancestors") - F.size(F.filter("ancestors", lambda a: a["kind"] != "ParenthesizedExpression"))
     slot = F.when(wraps == 0, F.col("role")).otherwise(F.element_at(F.filter("ancestors", lambda a: a["kind"] == "ParenthesizedExpression"), 1)["role"])
     one_shot = F.coalesce((top["kind"] == "FunctionCall") & (slot == "target"), F.lit(False))
-    rows = ast.where("kind = 'FunctionNode'").select(*NODE, one_shot.alias("one_shot"), F.transform("ancestors", lambda a: a["id"]).alias("above")).join(sizes, NODE).join(totals, ["app", "source_id"])
+    rows = ast.where("kind = 'FunctionNode'").select(*NODE, one_shot.alias("one_shot")).join(sizes, NODE).join(totals, ["app", "source_id"])
     rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    rows = rows.withColumn("chance", F.pmod(F.xxhash64(F.lit(seed), "app", "source_id", "node_id", "trial"), F.lit(1 << 30)) / float(1 << 30))
+    drawn = F.md5(F.concat_ws("/", F.lit(seed), "app", F.col("source_id").cast("string"), F.col("node_id").cast("string"), F.col("trial").cast("string")).cast("binary"))
+    rows = rows.withColumn("chance", F.conv(F.substring(drawn, 1, 7), 16, 10).cast("double") / float(1 << 28))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        out, killed = [], set()
+        out, dead = [], -1
         left = total = int(group["total"].iloc[0]) if len(group) else 0
         need = total * (1 - ratio)
         for row in group.sort_values("node_id").itertuples():
-            if killed.intersection(row.above):
+            if row.node_id <= dead:
                 out.append((row.app, row.trial, row.source_id, row.node_id))
-                killed.add(row.node_id)
             elif not row.one_shot and need > 0 and row.size < total / 2:
-                probability, left = need / left, left - row.size
-                if row.chance < probability:
+                kills, left = row.chance * left < need, left - row.size
+                if kills:
                     need = max(0, need - row.size)
-                    killed.add(row.node_id)
+                    dead = row.last
                     out.append((row.app, row.trial, row.source_id, row.node_id))
         return pd.DataFrame(out, columns=["app", "trial", "source_id", "node_id"])
 
