@@ -12,7 +12,7 @@ from tessera.operators import compare as C
 from tessera.operators import edits as E
 from tessera.operators import html as H
 from tessera.operators import tokens as K
-from tessera.runtime import table
+from tessera.runtime import folder, table
 from tessera.sources import files as S
 
 QUERIES: dict[str, Q] = {}
@@ -245,6 +245,32 @@ def e12(spark, d):
 # corpus lists: lines as they stand in files, made of the tables
 
 
+@query("s1_read_sources", "SELECT 'web' AS category, 'app=' || (page_id // 50) AS app, 'htm' AS ext, page_id, length(html) AS chars, sha256(html) AS digest FROM pages WHERE page_id % 4 > 1")
+def s1(spark, d):
+    """Pages as lines of files, one file an app; a quarter under another extension, a quarter below a folder with a dot, both passed over."""
+    root, key = folder(spark), F.col("page_id")
+    lines = table(spark, d, "pages").select("page_id", F.floor(key / 50).alias("app"), F.concat_ws(" ", key.cast("string"), F.translate(F.base64(F.col("html").cast("binary")), "\r\n", "")).alias("line"))
+    for part, place, ext in ((key % 4 > 1, "web", "htm"), (key % 4 == 1, "web/.git", "htm"), (key % 4 == 0, "web", "csv")):
+        lines.where(part).repartition("app").select("app", "line").write.mode("append").partitionBy("app").option("extension", ext).csv(f"{root}/{place}")
+    fields = F.split("line", " ")
+    found = S.read_sources(spark, root).select("category", "app", "ext", F.explode(F.split("content", "\n")).alias("line")).where("line != ''")
+    html = F.decode(F.unbase64(fields[1]), "UTF-8")
+    return found.select("category", "app", "ext", fields[0].cast("long").alias("page_id"), F.length(html).cast("long").alias("chars"), F.sha2(F.unbase64(fields[1]), 256).alias("digest"))
+
+
+@query("s11_mark_library", "SELECT 'site' || (page_id % 7) AS app, 'k' || page_id AS key, 'lib/p' || page_id || '.js' AS path_prefix FROM pages WHERE page_id % 5 != 0")
+def s11(spark, d):
+    """Marks are appended twice and read back; what lies outside the app's folder is left out."""
+    path, key = folder(spark), F.col("page_id").cast("string")
+    app = F.concat(F.lit("site"), (F.col("page_id") % 7).cast("string"))
+    root = F.concat(F.lit("/corpus/web/"), app)
+    full = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("/other/"), key)).otherwise(F.concat(root, F.lit("/lib/p"), key, F.lit(".js")))
+    marks = table(spark, d, "pages").select("page_id", app.alias("app"), F.concat(F.lit("k"), key).alias("key"), full.alias("full"), root.alias("root"))
+    for part in (F.col("page_id") % 2 == 0, F.col("page_id") % 2 == 1):
+        S.mark_library(marks.where(part), path)
+    return S.read_libs(spark.read.text(path))[0]
+
+
 @query("s2_select_apps", "WITH s AS (SELECT lang AS category, source AS app FROM documents) SELECT DISTINCT CASE category WHEN 'de' THEN '.de' ELSE category END AS category, CASE app WHEN 'src3' THEN '.src3' ELSE app END AS app FROM s WHERE category NOT IN ('de', 'fr') AND app != 'src3'")
 def s2(spark, d):
     docs = table(spark, d, "documents")

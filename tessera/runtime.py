@@ -31,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
+def folder(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder and the plan starts anew."""
     shared_dir(df.sparkSession)
@@ -40,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet into the shared folder and read them back (smaller than a checkpoint for wide rows)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("js", "html", "htm")
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)"
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(path, category, app, ext, content) of every .js, .html and .htm file below ``root``/<category>/<app>/; folders that start with a dot are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[jJ][sS],[hH][tT][mM],[hH][tT][mM][lL]}").load(root)
-    base = root.rstrip("/").split(":", 1)[-1]
-    rows = files.select(F.regexp_replace(F.col("path"), r"^[A-Za-z]+:/*(?=/)", "").alias("full"), F.decode("content", "UTF-8").alias("content"))
+    base = re.sub(SCHEME, "", root.rstrip("/"))
+    rows = files.select(F.regexp_replace(F.col("path"), SCHEME, "").alias("full"), F.decode("content", "UTF-8").alias("content"))
     rows = rows.withColumn("path", relative_path(F.lit(base), F.col("full")))
     return placed(rows).where(F.col("ext").isin(*EXTENSIONS) & ~F.concat(F.lit("/"), "path").rlike(r"/\.[^/]")).select("path", "category", "app", "ext", "content")
 
 
+def named_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, ext, content) of the named files; one with another extension is an error."""
+    other = [p for p in paths if p.rsplit("/", 1)[-1].rpartition(".")[2].lower() not in EXTENSIONS]
+    if other:
+        raise ValueError(f"no script or page: {', '.join(other)}")
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"), F.decode("content", "UTF-8").alias("content"))
+
+
 def placed(rows: DataFrame) -> DataFrame:
     """Adds category, app and ext from a path <category>/<app>/...."""
     parts = F.split("path", "/")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -94,6 +95,9 @@ def test_corpus_files(spark, tmp_path):
         p.write_text(f"// {path}")
     rows = S.read_sources(spark, str(tmp_path))
     assert {(r["path"], r["ext"]) for r in rows.collect()} == {("games/pong/index.html", "html"), ("games/pong/a.JS", "js"), ("libs/q/q.js", "js")}
+    assert [r["content"] for r in S.named_sources(spark, [str(tmp_path / "libs/q/q.js")]).collect()] == ["// libs/q/q.js"]
+    with pytest.raises(ValueError, match="readme.txt"):
+        S.named_sources(spark, [str(tmp_path / "games/pong/readme.txt")])
     assert [tuple(r) for r in S.select_apps(rows).collect()] == [("games", "pong")]
     assert [r["path"] for r in S.app_inputs(rows).collect() if r["app"] == "pong"] == ["games/pong/index.html"]
     lines = spark.createDataFrame([("a", "k, lib/x, y"), ("a", ""), ("a", "alone")], "app string, value string")
