@@ -341,7 +341,7 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float, block: int = B
     centres = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ties = banded.join(centres, "band").where("node != centre").select(F.col("node").alias("src"), F.col("centre").alias("dst"))
     dealt = written(_blocks(connected_components(ties), reps, block))
-    asked = dealt.select("key", "tag").distinct()
+    asked = dealt.select("key", "tag").distinct().hint("merge")  # one plan at every size: what is asked for grows with the rows
     texts = rows.select("key", "tag", "text").join(asked, ["key", "tag"], "left_semi").groupBy("key", "tag").agg(F.first("text").alias("text"))  # a text is compared once, however often its row stands there
     found = written(dealt.join(texts, ["key", "tag"]).groupBy("task").applyInArrow(_compare(threshold, tolerance), LINKS))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
