@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut
+from tessera.runtime import cut, partitions
 
 
 def _all_stars(edges: DataFrame, keys: list[str]) -> bool:
@@ -16,22 +16,24 @@ def _all_stars(edges: DataFrame, keys: list[str]) -> bool:
     return not ends.groupBy(*keys, "node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").head(1)
 
 
-def _least_neighbour(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, u, m): the least of u and its neighbours; a map-side combine, so a hub costs one row a task."""
-    return pairs.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+def _with_least(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair with m, the least of u and its neighbours. Pairs of a node are dealt in slices by the hash of v, and the
+    least goes back to the slices that the node has, so a hub is spread over tasks and a leaf costs no more rows than pairs."""
+    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("v"), F.lit(partitions(pairs.sparkSession))))
+    parts = sliced.groupBy(*keys, "u", "slice").agg(F.min("v").alias("m"))
+    least = parts.groupBy(*keys, "u").agg(F.min("m").alias("m"), F.collect_list("slice").alias("slices"))
+    back = least.select(*keys, "u", F.least("u", "m").alias("m"), F.explode("slices").alias("slice"))
+    return sliced.join(back, [*keys, "u", "slice"]).drop("slice")
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     both = edges.select(*keys, "u", "v").unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.where("v > u").join(_least_neighbour(both, keys), [*keys, "u"])
-    return joined.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _with_least(both, keys).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
-    down = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least_neighbour(down, keys)
-    joined = down.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.unionByName(least.select(*keys, "u", F.col("m").alias("v"))).where("u != v").distinct()
+    down = _with_least(edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), keys)
+    return down.select(*keys, F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).where("u != v").distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: Sequence[str] = ()) -> DataFrame:
