@@ -53,3 +53,11 @@ def written(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """Broadcast when counted to be small, else left to the planner."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def batches_by_bytes(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Send rows to Python in batches of about ``most`` bytes, so that a worker's memory does not follow the length of
+    texts; a session that sets its own bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(most))
