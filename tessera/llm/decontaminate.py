@@ -23,7 +23,7 @@ from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
-from tessera.runtime import table
+from tessera.runtime import batches_by_bytes, table
 
 N = 10
 BLOCK_BYTES = 64 << 20
@@ -155,6 +155,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "tex
 
     Only texts go to Python; with several blocks each text meets one after the other there.
     """
+    batches_by_bytes(docs.sparkSession)
     text, found = docs[f"`{text_col}`"], F.lit(None).cast(FOUND)
     for block in _blocks(windows(benchmark, n), bound):
         found = F.arrow_udf(_scan(docs.sparkSession.sparkContext.broadcast(_Block(block))), FOUND, ArrowUDFType.SCALAR_ITER)(text, found)

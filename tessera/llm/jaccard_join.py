@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textarrays as ta
 from tessera.operators.graph import connected_components
-from tessera.runtime import table, written
+from tessera.runtime import batches_by_bytes, table, written
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS_A_BAND, SLICE = 32, 5, 32
@@ -334,6 +334,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
 def _classes(docs: DataFrame, threshold: float, tolerance: float, block: int = BLOCK) -> DataFrame:
     """doc_id, key, tag, lead (key and tag of the least text of the group), n_links, n_shingles."""
+    batches_by_bytes(docs.sparkSession)
     rows = _keyed(docs)
     sets = written(rows.mapInArrow(_sets, SETS))
     reps = written(_representatives(sets))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
 from tessera.llm import textarrays as ta
-from tessera.runtime import small, table, written
+from tessera.runtime import batches_by_bytes, small, table, written
 
 SIZE, FIT_DOCS, LABELS = 300, 4000, 20_000
 CHUNK = 1 << 18
@@ -103,6 +103,7 @@ class Profiles:
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, labels: int = LABELS) -> list[Profiles]:
     """Profiles from (doc_id, text, lang) rows, in blocks of ``labels``: at most ``fit_docs`` documents a language."""
+    batches_by_bytes(labelled.sparkSession)
     named = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
     sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # about twice the wanted number by hash first, so that no task puts a whole language in order
@@ -135,6 +136,7 @@ def _guess(profiles: Broadcast):
 
 def identify(docs: DataFrame, profiles: list[Profiles], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (the document's columns, or those of ``carry``) and ``guess`` (lang, score). Only texts go to Python."""
+    batches_by_bytes(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
     text = docs[f"`{text_col}`"]
     guesses = [F.arrow_udf(_guess(share(p)), GUESS, ArrowUDFType.SCALAR_ITER)(text) for p in profiles]
