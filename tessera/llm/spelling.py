@@ -117,16 +117,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(vocabulary(damaged(runs(table(spark, sf_dir, "documents"), LEAST_CHARS))))
 
 
-#: CRC-32 by its table, over the bytes of UTF-8.
-_CRC = (
-    "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),"
-    " crc AS (SELECT doc_id, run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length(hex(encode(s))) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i - 1, 2) AS BIGINT))),"
-    " lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM (SELECT *, doc_id || ':' || run AS s FROM run), tab)"
-)
+#: CRC-32 by its table, over the bytes of UTF-8: a table of it for SQL, and the checksum of a string by it.
+CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+
+
+def crc_sql(s: str) -> str:
+    """Checksum of column ``s``, where ``tab`` is joined."""
+    codes = f"list_transform(range(1, CAST(length(hex(encode({s}))) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode({s})), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 SQL = f"""
 WITH RECURSIVE raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
 run AS (SELECT doc_id, translate(run, '{ascii_uppercase}', '{ascii_lowercase}') AS run, count(*) AS n FROM raw WHERE length(run) >= 6 GROUP BY ALL),
-{_CRC},
+{CRC_TABLE}, crc AS (SELECT run, n, {crc_sql('s')} AS h FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM run), tab),
 word AS (SELECT CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM crc),
 voc AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM word WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(n) >= {LEAST_N}),
 del AS (SELECT word, n, length(word) AS len, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM voc)),
