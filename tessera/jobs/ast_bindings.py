@@ -3,7 +3,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import names as N
@@ -145,20 +147,27 @@ def _above(at: int, shape: tuple) -> list[tuple]:
     return out
 
 
+SHAPE = "array<struct<at:bigint,up:bigint,role:string,ord:int,kind:string,op:string,name:string,depth:int,above:array<struct<id:bigint,kind:string,role:string,op:string>>,rare:boolean>>"
+
+
+def _shape(every: tuple, tenth: tuple) -> Column:
+    """The statements' nodes as one constant array."""
+    rows = []
+    for x in (*every, *tenth):
+        at, up, role, order, kind, op, name = x
+        above = [{"id": a, "kind": k, "role": r, "op": o} for a, _, r, _, k, o, _ in _above(at, (*every, *tenth))]
+        rows.append({"at": at, "up": up, "role": role, "ord": order, "kind": kind, "op": op, "name": name, "depth": len(above), "above": above, "rare": x in tenth})
+    return F.from_json(F.lit(json.dumps(rows)), SHAPE)
+
+
 def ast(spark: SparkSession, sf_dir: str, every: tuple = STATEMENT, tenth: tuple = CALL) -> DataFrame:
     """Trees with depth and ancestors, as a parser's dump would bring them: of ``every`` event, and more of each ``tenth``."""
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source_id"), F.col("event_type").alias("app"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("k"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))).alias("key"), F.floor("value").cast("string").alias("value"))
-    base = F.col("event_id") * STEP
-
-    def node(at, up, role, order, kind, op, name):
-        above = _above(at, (*every, *tenth))
-        text = F.col(name) if name in ("user", "key", "value") else F.lit(name).cast("string")
-        return F.struct((base + at).alias("node_id"), (base + up if up is not None else F.lit(None)).cast("long").alias("parent_id"), F.lit(role).alias("role"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), F.lit(op).cast("string").alias("op"), text.alias("name"), (base + at).cast("long").alias("pos"), F.lit(1).alias("len"), F.col("event_id").cast("int").alias("line"), F.lit(len(above)).alias("depth"), F.array(*[F.struct((base + a).cast("long").alias("id"), F.lit(k).alias("kind"), F.lit(r).alias("role"), F.lit(o).cast("string").alias("op")) for a, _, r, _, k, o, _ in above]).cast(N.ANCESTORS).alias("ancestors"))
-
-    plain = F.array(*[node(*x) for x in every])
-    if not tenth:
-        return e.select("app", "source_id", F.inline(plain))
-    return e.select("app", "source_id", F.inline(F.when(F.col("event_id") % 10 == 0, F.concat(plain, F.array(*[node(*x) for x in tenth]))).otherwise(plain)))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source_id"), F.col("event_type").alias("app"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("k"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))).alias("key"), F.floor("value").cast("string").alias("value"), F.explode(_shape(every, tenth)).alias("x"))
+    e = e.where("NOT x.rare OR event_id % 10 = 0")
+    base, x = F.col("event_id") * STEP, F.col("x")
+    text = F.when(x["name"] == "user", F.col("user")).when(x["name"] == "key", F.col("key")).when(x["name"] == "value", F.col("value")).otherwise(x["name"])
+    above = F.transform(x["above"], lambda a: F.struct((base + a["id"]).alias("id"), a["kind"].alias("kind"), a["role"].alias("role"), a["op"].alias("op")))
+    return e.select("app", "source_id", (base + x["at"]).alias("node_id"), (base + x["up"]).alias("parent_id"), "x.role", "x.ord", "x.kind", "x.op", text.alias("name"), (base + x["at"]).alias("pos"), F.lit(1).alias("len"), F.col("event_id").cast("int").alias("line"), "x.depth", above.alias("ancestors"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
