@@ -9,7 +9,7 @@ if its tuples always nest in the same gap of the same other class. Valid classes
 tokens are the slots, and text of the template itself is no content.
 
 What a slot holds follows from the elements that enclose it: menus, headers, footers, sidebars, notices, adverts, forms
-and comments are left out. Where a page has an article or main element its slots inside are the text, repeated passages
+and comments are left out (a header in the article is its own). Where a page has an article or main element its slots inside are the text, repeated passages
 too; else all other slots are, less the template's own text.
 
 Defined results: a null page is empty, and so is its text; pages without a host in their url are one site; a site of few
@@ -24,6 +24,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -44,7 +45,9 @@ RAW = frozenset("iframe noembed noframes noscript script style textarea title xm
 CHROME = frozenset("aside audio button canvas dialog footer form head iframe menu nav noembed noframes noscript object script select style svg template textarea title video".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
-CHROME_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header masthead menu menus nav navbar navigation newsletter notice notices popup promo sidebar sidebars skip sponsor sponsored subscribe toolbar widget widgets".split())
+CHROME_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr menu menus nav navbar navigation newsletter notice notices popup promo sidebar sidebars skip sponsor sponsored subscribe toolbar widget widgets".split())
+#: Headers that are part of the text inside a main element.
+HEADER_WORDS = frozenset(("header", "masthead"))
 MAIN = frozenset(("article", "main"))
 
 _TAG = re.compile(
@@ -63,6 +66,30 @@ def _token(sign: str, name: str, digest: bytes) -> str:
     return f"{sign}{name if name.isalnum() else ''} {digest.hex()}"
 
 
+@lru_cache(1 << 14)
+def _meaning(name: str, rest: str) -> tuple[str, bool, str]:
+    """Of an opening tag: its name with class names and id, whether it is a main element, and what else it tells (tag, header, word, comment)."""
+    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
+    words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    role = found.get("role", "").lower()
+    is_main, own = name in MAIN or role == "main", ""
+    if not is_main and (name in CHROME or role in CHROME_ROLES):
+        own = "tag"
+    elif name not in ("html", "body") and words & COMMENT_WORDS:
+        own = "comment"
+    elif name not in ("html", "body") and (name == "header" or not is_main and words & HEADER_WORDS):
+        own = "header"
+    elif name not in ("html", "body") and not is_main and words & CHROME_WORDS:
+        own = "word"
+    return f"{name} {' '.join(sorted(words))}", is_main, own
+
+
+@lru_cache(1 << 14)
+def _path(above: bytes, label: str) -> bytes:
+    """Digest of the elements down to one, from that of the elements above it."""
+    return blake2b(above + f"{label}\0".encode("utf-8", "replace"), digest_size=16).digest()
+
+
 class _Open:
     """The open elements: names with what they mean for the text in them, and a digest of all names down to each."""
 
@@ -73,24 +100,19 @@ class _Open:
 
     def push(self, name: str, rest: str) -> None:
         _, above, chrome, main = self.stack[-1]
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
-        words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())) if found else set()
-        own = ""
-        if name in MAIN or found.get("role", "").lower() == "main":
-            if main and words & COMMENT_WORDS:
-                own = "comment"
+        label, is_main, own = _meaning(name, rest)
+        if is_main:
+            if main and own == "comment":
+                chrome = chrome or own
             elif chrome == "word":  # what a wrapper is called does not hold for the article in it
                 chrome = ""
             main = True
-        elif name in CHROME or found.get("role", "").lower() in CHROME_ROLES or (name == "header" and not main):
-            own = "tag"
-        elif name not in ("html", "body") and words & CHROME_WORDS:
-            own = "comment" if words & COMMENT_WORDS else "word"
-        digest = blake2b(above + f"{name} {' '.join(sorted(words))}\0".encode("utf-8", "replace"), digest_size=16).digest()
+        elif own != "header" or not main:
+            chrome = chrome or own
         self.at[name].append(len(self.stack))
         if name not in INLINE:
             self.blocks.append(len(self.stack))
-        self.stack.append((name, digest, chrome or own, main))
+        self.stack.append((name, _path(above, label), chrome, main))
 
     def pop(self, down_to: int) -> Iterator[str]:
         """Close the elements from the top to this one; tokens of the blocks among them."""
@@ -109,16 +131,19 @@ class _Open:
         return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
 
 
-def scan(page: str) -> Iterator[tuple[str, str, str]]:
-    """(token, role, text) of a page in order. Tags have no role and no text; a text block's role is main, chrome or open."""
+def scan(page: str, texts: bool = True) -> Iterator[tuple[str, str, str]]:
+    """(token, role, text) of a page in order. Tags have no role and no text; a text block's role is main, chrome or open.
+    Without ``texts`` only the tokens are made."""
     opened, parts, at, n = _Open(), [], 0, len(page)
 
     def block() -> Iterator[tuple[str, str, str]]:
-        text = " ".join("".join(parts).split())
+        if not parts:
+            return
+        _, digest, chrome, main = opened.stack[opened.blocks[-1]]
+        role = "chrome" if chrome else "main" if main else "open"
+        text = " ".join("".join(map(entities.unescape, parts)).split()) if texts or role == "open" else ""
         parts.clear()
         if text:
-            _, digest, chrome, main = opened.stack[opened.blocks[-1]]
-            role = "chrome" if chrome else "main" if main else "open"
             yield "t" + blake2b(digest + text.encode("utf-8", "replace"), digest_size=16).hexdigest() if role == "open" else "", role, text
 
     def closed(down_to: int) -> Iterator[tuple[str, str, str]]:
@@ -132,7 +157,7 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
         if tag is None:
             break
         if tag.start() > at and not opened.aside():
-            parts.append(entities.unescape(page[at : tag.start()]))
+            parts.append(page[at : tag.start()])
         at = tag.end()
         name = (tag["name"] or "").lower()
         if not name:
@@ -166,7 +191,7 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
             if name not in INLINE:
                 yield _token("<", name, opened.stack[-1][1]), "", ""
     if at < n and not opened.aside():
-        parts.append(entities.unescape(page[at:]))
+        parts.append(page[at:])
     yield from closed(1)
     yield from block()
 
@@ -186,7 +211,7 @@ def vectors(pages: DataFrame) -> DataFrame:
             found: dict[tuple, list] = defaultdict(lambda: [0] * 7)
             for host, page_id, url, page in zip(*[batch.column(c).to_pylist() for c in ("_host", "page_id", "url", "html")], strict=True):
                 times, first = Counter(["page"]), {}
-                for place, (token, _, _) in enumerate(scan(page or "")):
+                for place, (token, _, _) in enumerate(scan(page or "", False)):
                     if token and token != "main":
                         times[token] += 1
                         first.setdefault(token, place)
@@ -275,7 +300,7 @@ def _fitting(pages: DataFrame, found: DataFrame) -> DataFrame:
             seen: set[tuple] = set()
             for host, template, page in zip(*[batch.column(c).to_pylist() for c in ("_host", "template", "html")], strict=True):
                 way = _Walk(template or "")
-                for token, _, _ in scan(page or ""):
+                for token, _, _ in scan(page or "", False):
                     way.token(token)
                 way.end()
                 seen.update((host, way.lines[c][0], None) for c in way.bad)
