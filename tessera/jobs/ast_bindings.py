@@ -138,6 +138,40 @@ NESTED = (
 )
 
 
+#: ``u.v;``
+USES = (
+    (0, None, "statement", 0, "ExpressionStatement", None, None),
+    (1, 0, "expression", 0, "PropertyGet", None, None),
+    (2, 1, "left", 0, "Name", None, "user"),
+    (3, 1, "right", 0, "Name", None, "v"),
+)
+#: ``u.m = function() {this.v;}; function f() {u = k; new k.c();}``: without the second, u is no namespace, and its method shares its type.
+PARTS = (
+    (4, None, "statement", 0, "ExpressionStatement", None, None),
+    (5, 4, "expression", 0, "Assignment", "=", None),
+    (6, 5, "left", 0, "PropertyGet", None, None),
+    (7, 6, "left", 0, "Name", None, "user"),
+    (8, 6, "right", 0, "Name", None, "m"),
+    (9, 5, "right", 0, "FunctionNode", None, ""),
+    (10, 9, "body", 0, "Block", None, None),
+    (11, 10, "statement", 0, "ExpressionStatement", None, None),
+    (12, 11, "expression", 0, "PropertyGet", None, None),
+    (13, 12, "left", 0, "KeywordLiteral", "this", None),
+    (14, 12, "right", 0, "Name", None, "v"),
+    (15, None, "statement", 0, "FunctionNode", None, "f"),
+    (16, 15, "body", 0, "Block", None, None),
+    (17, 16, "statement", 0, "ExpressionStatement", None, None),
+    (18, 17, "expression", 0, "Assignment", "=", None),
+    (19, 18, "left", 0, "Name", None, "user"),
+    (20, 18, "right", 0, "Name", None, "key"),
+    (21, 16, "statement", 1, "ExpressionStatement", None, None),
+    (22, 21, "expression", 0, "NewExpression", None, None),
+    (23, 22, "target", 0, "PropertyGet", None, None),
+    (24, 23, "left", 0, "Name", None, "key"),
+    (25, 23, "right", 0, "Name", None, "c"),
+)
+
+
 def _above(at: int, shape: tuple) -> list[tuple]:
     """The statement's nodes above a place, from the top."""
     by, out = {x[0]: x for x in shape}, []

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.jobs import ast_bindings as A
+from tessera.jobs import bindings as B
 from tessera.jobs.token_jobs import Q
 from tessera.operators import closure as G
 from tessera.operators import constraints as C
 from tessera.operators import edits as E
 from tessera.operators import names as N
 from tessera.operators import tokens as K
+from tessera.operators import trials as T
 
 QUERIES: dict[str, Q] = {}
 ORACLES: dict[str, str] = {}
@@ -81,9 +83,10 @@ def n5(spark, d):
     return rows.select("app", "node_id", N.start_pos().alias("start_pos"), F.concat_ws("@", N.location()["source_id"].cast("string"), N.location()["pos"].cast("string")).alias("location"))
 
 
-@query("n6_absolute_line", f"{NODES} SELECT app, node_id, CAST(event_id + CASE WHEN source_id % 2 = 0 THEN source_id * 10 ELSE 0 END AS BIGINT) AS abs_line FROM nd WHERE n = 4")
+@query("n6_absolute_line", f"{NODES} SELECT app, node_id, CAST(event_id + CASE WHEN source_id % 2 = 0 THEN source_id * 10 ELSE 0 END AS BIGINT) AS abs_line FROM nd")
 def n6(spark, d):
-    rows = A.nodes(spark, d).where("role = 'right' AND name LIKE 'k%'")
+    """All nodes; every other source is a script cut out of a page."""
+    rows = A.nodes(spark, d)
     sources = rows.select("app", "source_id", F.when(F.col("source_id") % 2 == 0, F.col("source_id") * 10).alias("lineno")).distinct()
     return N.absolute_line(rows, sources).select("app", "node_id", F.col("abs_line").cast("long").alias("abs_line"))
 
@@ -245,21 +248,82 @@ def e5(spark, d):
     return E.label_questions(rows, asked).select("app", "source_id", "statement", "name", F.array_join("tokens", ",").alias("tokens"))
 
 
-#: The walk over the functions of a source: state is the nodes still wanted, those still ahead, and where a killed function ends.
-_KILL_SQL = f"""WITH RECURSIVE {A.SQL_EVENTS},
-f AS (SELECT app, user_id AS source_id, base + 12 AS node_id, 8 AS size, true AS called FROM ev UNION ALL SELECT app, user_id, base + 22, 7, false FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, user_id, base + 25, 4, false FROM ev WHERE event_id % 10 = 0),
-total AS (SELECT app, user_id AS source_id, sum(13 + CASE WHEN event_id % 10 = 0 THEN 8 ELSE 0 END) AS total FROM ev GROUP BY ALL),
+def _kill_sql(functions: str, nodes: str) -> str:
+    """The walk over the functions of a source: state is the nodes still wanted, those still ahead, and where a killed function
+    ends. ``functions`` has (app, source_id, node_id, size, called), ``nodes`` counts those of an event."""
+    return f"""f AS ({functions}),
+total AS (SELECT app, user_id AS source_id, sum({nodes}) AS total FROM ev GROUP BY ALL),
 fn AS (SELECT f.*, total, trial, CAST(('0x' || substr(md5('0/' || f.app || '/' || f.source_id || '/' || node_id || '/' || trial), 1, 7)) AS BIGINT) / 268435456.0::DOUBLE AS chance, row_number() OVER (PARTITION BY f.app, f.source_id, trial ORDER BY node_id) AS rn
   FROM f JOIN total t ON t.app = f.app AND t.source_id = f.source_id, (VALUES (0), (1), (2)) AS x(trial) WHERE NOT called),
 w AS (SELECT app, source_id, trial, CAST(0 AS BIGINT) AS rn, total * 0.5::DOUBLE AS need, CAST(total AS BIGINT) AS ahead, CAST(-1 AS BIGINT) AS dead, CAST(NULL AS BIGINT) AS node_id FROM fn GROUP BY app, source_id, trial, total
   UNION ALL
   SELECT app, source_id, trial, rn, CASE WHEN kills THEN greatest(0, need - size) ELSE need END, CASE WHEN looks THEN ahead - size ELSE ahead END, CASE WHEN kills THEN place + size ELSE dead END, CASE WHEN kills OR inside THEN place END FROM
   (SELECT *, looks AND chance * ahead < need AS kills FROM (SELECT w.app, w.source_id, w.trial, fn.rn, need, ahead, dead, size, chance, fn.node_id AS place, fn.node_id <= dead AS inside, fn.node_id > dead AND need > 0 AND size < total / 2.0 AS looks
-    FROM w JOIN fn ON fn.app = w.app AND fn.source_id = w.source_id AND fn.trial = w.trial AND fn.rn = w.rn + 1)))
-SELECT app, CAST(trial AS INTEGER) AS trial, source_id, node_id FROM w WHERE node_id IS NOT NULL"""
+    FROM w JOIN fn ON fn.app = w.app AND fn.source_id = w.source_id AND fn.trial = w.trial AND fn.rn = w.rn + 1)))"""
 
 
-@query("e13_random_kill_set", _KILL_SQL)
+_KILLED = _kill_sql("SELECT app, user_id AS source_id, base + 12 AS node_id, 8 AS size, true AS called FROM ev UNION ALL SELECT app, user_id, base + 22, 7, false FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, user_id, base + 25, 4, false FROM ev WHERE event_id % 10 = 0", "13 + CASE WHEN event_id % 10 = 0 THEN 8 ELSE 0 END")
+
+
+@query("e13_random_kill_set", f"WITH RECURSIVE {A.SQL_EVENTS}, {_KILLED} SELECT app, CAST(trial AS INTEGER) AS trial, source_id, node_id FROM w WHERE node_id IS NOT NULL")
 def e13(spark, d):
     """Every event calls a function at once, which stays; every tenth declares one with another inside."""
     return N.random_kill_set(A.ast(spark, d, A.CALL, A.NESTED), 3, 0.5)
+
+
+def _parts_sql(links: str) -> str:
+    """Types of the programs of USES and PARTS, for variants: ``links`` has (app, variant, usr, k), a row a function that ties a
+    name to a key and makes a new object of it. Names tied together are one type, a namespace; a method of any other has its type.
+    Wanted: tk (app, variant, of, name, usr, k, this, item), tokens with the variant that types them."""
+    return f"""lk AS (SELECT DISTINCT app, variant, usr, k FROM ({links})),
+ed AS (SELECT app, variant, usr AS x, k AS y FROM lk UNION SELECT app, variant, k, usr FROM lk),
+rc AS (SELECT app, variant, x, y FROM ed UNION SELECT rc.app, rc.variant, rc.x, ed.y FROM rc JOIN ed ON ed.app = rc.app AND ed.variant = rc.variant AND ed.x = rc.y),
+cm AS (SELECT app, variant, x, min(y) AS rep FROM rc GROUP BY ALL),
+ty AS (SELECT tk.*, CASE WHEN tk.this AND cm.rep IS NOT NULL THEN 'this ' ELSE '' END || coalesce(cm.rep, tk.base) AS rep FROM tk LEFT JOIN cm ON cm.app = tk.app AND cm.variant = tk.of AND cm.x = tk.base),
+hd AS (SELECT *, min(item) OVER (PARTITION BY app, variant, of, name, rep) AS head FROM ty),
+wh AS (SELECT * FROM hd WHERE of = -1), pt AS (SELECT * FROM hd WHERE of != -1),
+np AS (SELECT p.app, p.variant, count(*) AS n FROM pt p JOIN wh a ON a.app = p.app AND a.variant = p.variant AND a.name = p.name AND a.item = p.head JOIN wh b ON b.app = p.app AND b.variant = p.variant AND b.name = p.name AND b.item = p.item WHERE a.rep != b.rep GROUP BY ALL),
+""" + ", ".join(f"{o} AS (SELECT app, variant, {B.EFFECT} AS effect FROM (SELECT app, variant, sum(size) - 1 AS search_replace, count(*) - 1 AS rename FROM (SELECT app, variant, name, rep, count(*) AS size FROM {t} GROUP BY ALL) GROUP BY app, variant, name) WHERE search_replace > 0 GROUP BY app, variant)" for o, t in (("we", "wh"), ("pe", "pt")))
+
+
+_DELTA = "we.effect, pe.effect - we.effect AS delta, coalesce(n, 0) AS suspicious FROM we JOIN pe USING (app, variant) LEFT JOIN np USING (app, variant)"
+_PART_TOKENS = "pk AS (SELECT app, user_id AS source_id, base + 3 AS item, 'v' AS name, usr AS base, false AS this, NULL AS inside FROM ev UNION ALL SELECT app, user_id, base + 8, 'm', usr, false, NULL FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, user_id, base + 14, 'v', usr, true, base + 9 FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, user_id, base + 25, 'c', k, false, base + 15 FROM ev WHERE event_id % 10 = 0)"
+_PART_KILLED = _kill_sql("SELECT app, user_id AS source_id, base + 9 AS node_id, 5 AS size, false AS called FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, user_id, base + 15, 10, false FROM ev WHERE event_id % 10 = 0", "4 + CASE WHEN event_id % 10 = 0 THEN 22 ELSE 0 END")
+
+
+@query(
+    "e14_compare_fragmented",
+    f"WITH RECURSIVE {A.SQL_EVENTS}, {_PART_KILLED}, kd AS (SELECT trial, node_id FROM w WHERE node_id IS NOT NULL), {_PART_TOKENS},"
+    " tr AS (SELECT unnest([0, 1, 2]) AS trial), lv AS (SELECT pk.*, trial AS variant FROM pk, tr WHERE NOT EXISTS (SELECT 1 FROM kd WHERE kd.trial = tr.trial AND kd.node_id = pk.inside)),"
+    f" tk AS (SELECT *, -1 AS of FROM lv UNION ALL SELECT *, variant AS of FROM lv), {_parts_sql('SELECT app, -1 AS variant, usr, k FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, trial, usr, k FROM ev, tr WHERE event_id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM kd WHERE kd.trial = tr.trial AND kd.node_id = base + 15)')}"
+    f" SELECT app, CAST(variant AS INTEGER) AS trial, {_DELTA}",
+)
+def e14(spark, d):
+    """Three trials cut functions out at random; what is left is typed anew, and compared where it survives."""
+    ast = A.ast(spark, d, A.USES, A.PARTS)
+    return T.compare_fragmented(ast, A.decls(ast), N.random_kill_set(ast, 3, 0.5), 3)
+
+
+@query(
+    "e15_compare_isolated",
+    f"WITH RECURSIVE {A.SQL_EVENTS}, {_PART_TOKENS}, lv AS (SELECT *, 0 AS variant FROM pk WHERE NOT starts_with(CAST(source_id AS VARCHAR), '1')), tk AS (SELECT *, -1 AS of FROM lv UNION ALL SELECT *, 0 AS of FROM lv),"
+    f" {_parts_sql('SELECT app, -1 AS variant, usr, k FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT app, 0, usr, k FROM ev WHERE event_id % 10 = 0 AND NOT starts_with(CAST(user_id AS VARCHAR), chr(49))')} SELECT app, {_DELTA}",
+)
+def e15(spark, d):
+    """Library code is the sources whose path begins with lib/1; they are typed with the program, and the program without them."""
+    ast = A.ast(spark, d, A.USES, A.PARTS)
+    sources = ast.select("app", "source_id").distinct().withColumn("path", F.concat(F.lit("lib/"), F.col("source_id").cast("string")))
+    libs = sources.select("app", F.lit("one").alias("key"), F.lit("lib/1").alias("path_prefix")).distinct()
+    return T.compare_isolated(ast, A.decls(ast), sources, libs)
+
+
+@query(
+    "g5_infer_parts",
+    f"WITH RECURSIVE {A.SQL_EVENTS}, {_PART_TOKENS}, tk AS (SELECT * REPLACE (CASE WHEN name = 'c' AND item // 32 % 20 = 0 THEN 'alone ' || item ELSE base END AS base), -1 AS of, -1 AS variant FROM pk), {_parts_sql('SELECT app, -1 AS variant, usr, k FROM ev WHERE event_id % 10 = 0 AND event_id % 20 != 0')}"
+    " SELECT app, name, CAST(size AS BIGINT) AS size, count(*) AS groups FROM (SELECT app, name, rep, count(*) AS size FROM ty GROUP BY ALL) GROUP BY ALL",
+)
+def g5_parts(spark, d):
+    """Namespaces and methods: every other tying function is not looked at, so some names are namespaces and others share their methods' type; what stands in it is of a type of its own."""
+    ast = A.ast(spark, d, A.USES, A.PARTS)
+    ignored = ast.where((F.col("node_id") % A.STEP == 15) & (F.floor(F.col("node_id") / A.STEP) % 20 == 0)).select("app", "source_id", "node_id")
+    return K.group_sizes(C.property_tokens(ast, A.decls(ast), ignored)).groupBy("app", "name", "size").agg(F.count(F.lit(1)).alias("groups"))

@@ -65,13 +65,13 @@ def j11(spark, d):
     return _pairs(C.compare_by_name(heads(spark, d, 16), heads(spark, d, 5)))
 
 
-#: Run time saw objects 0..59 only.
-_SEEN = 60
-_DYN = "dt AS (SELECT app, name, obj, (source_id, pos) AS item FROM tok WHERE obj < 60)"
+#: Code that never ran: a seventh of the tokens of returned line items. All objects take part.
+_RUN = "NOT (app LIKE 'R%' AND pos % 7 = 0)"
+_DYN = f"dt AS (SELECT app, name, obj, (source_id, pos) AS item FROM tok WHERE {_RUN})"
 
 
 def _dynamic(spark: SparkSession, d: str) -> DataFrame:
-    return B.tokens(spark, d).where(F.col("obj") < _SEEN)
+    return B.tokens(spark, d).where(_RUN)
 
 
 @query("a18_dynamic_components", f"{B.T3}, {_DYN} SELECT app, name, min(item) OVER (PARTITION BY app, name, obj)[1] || ':' || min(item) OVER (PARTITION BY app, name, obj)[2] AS rep, item[1] || ':' || item[2] AS item FROM dt")
@@ -86,7 +86,7 @@ def j10(spark, d):
     return _pairs(C.suspicious_static_pairs(heads(spark, d, 16), dynamic, show_dead=True))
 
 
-@query("a14_token_coverage", f"{B.T3} SELECT app, 100.0 * count(*) FILTER (obj < 60) / count(*) AS coverage FROM tok GROUP BY app")
+@query("a14_token_coverage", f"{B.T3} SELECT app, 100.0 * count(*) FILTER ({_RUN}) / count(*) AS coverage FROM tok GROUP BY app")
 def a14(spark, d):
     return C.token_coverage(B.tokens(spark, d), _dynamic(spark, d), ["app", "name", "source_id", "pos"])
 
@@ -170,35 +170,6 @@ def j6(spark, d):
     return C.only_library(*_part_sources(spark, d), "k1")
 
 
-@query(
-    "e15_compare_isolated",
-    f"{B.T3}, {B.token_sql(5, 'alltok2')}, own AS (SELECT * FROM tok WHERE source_id % 5 != 0), tok2 AS (SELECT * FROM alltok2 WHERE source_id % 5 != 0), {_heads_sql('sm', 'tok2')}, {_heads_sql('la', 'own')}, {_NOT_IN},"
-    + ", ".join(f" {o} AS (SELECT app, {B.EFFECT} AS effect FROM (SELECT app, sum(size) - 1 AS search_replace, count(*) - 1 AS rename FROM (SELECT app, name, rep, count(*) AS size FROM {t} GROUP BY ALL) GROUP BY app, name) WHERE search_replace > 0 GROUP BY app)" for o, t in (("w", "own"), ("o", "tok2")))
-    + " SELECT app, w.effect, o.effect - w.effect AS delta, coalesce(n, 0) AS suspicious FROM w JOIN o USING (app) LEFT JOIN (SELECT app, count(*) AS n FROM np GROUP BY app) USING (app)",
-)
-def e15(spark, d):
-    """Library code is the sources whose number 5 divides; only the app's own tokens count."""
-    own = lambda t: t.where("source_id % 5 != 0")
-    return C.compare_isolated(own(B.tokens(spark, d)), own(B.tokens(spark, d, 5)))
-
-
-def _trial_heads(name: str, tok: str) -> str:
-    return f"{name} AS (SELECT trial, app, name, (source_id, pos) AS item, min((source_id, pos)) OVER (PARTITION BY trial, app, name, rep) AS rep FROM {tok})"
-
-
-@query(
-    "e14_compare_fragmented",
-    f"{B.T3}, {B.token_sql(5, 'tok2')}, tr AS (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS trial), own AS (SELECT * FROM tok, tr WHERE source_id % 3 != trial), cut AS (SELECT * FROM tok2, tr WHERE source_id % 3 != trial), {_trial_heads('sm', 'cut')}, {_trial_heads('la', 'own')},"
-    " np AS (SELECT s.trial, s.app, count(*) AS n FROM sm s JOIN la a ON a.trial = s.trial AND a.app = s.app AND a.name = s.name AND a.item = s.rep JOIN la b ON b.trial = s.trial AND b.app = s.app AND b.name = s.name AND b.item = s.item WHERE a.rep != b.rep GROUP BY ALL),"
-    + ",".join(f" {o} AS (SELECT app, trial, {B.EFFECT} AS effect FROM (SELECT app, trial, sum(size) - 1 AS search_replace, count(*) - 1 AS rename FROM (SELECT app, trial, name, rep, count(*) AS size FROM {t} GROUP BY ALL) GROUP BY app, trial, name) WHERE search_replace > 0 GROUP BY app, trial)" for o, t in (("w", "own"), ("o", "cut")))
-    + " SELECT app, trial, w.effect, o.effect - w.effect AS delta, coalesce(n, 0) AS suspicious FROM w JOIN o USING (app, trial) LEFT JOIN np USING (app, trial)",
-)
-def e14(spark, d):
-    """Each of three trials removes a third of the sources and types what is left on its own."""
-    trials = B.tokens(spark, d, 5).withColumn("trial", F.explode(F.array(*[F.lit(k) for k in range(3)]))).where(F.col("source_id") % 3 != F.col("trial"))
-    return C.compare_fragmented(B.tokens(spark, d), trials)
-
-
 @query("e9_build_edits", f"WITH p AS (SELECT page_id, html FROM pages), {HJ._places('<script>', 's')} SELECT page_id AS doc_id, CAST(pos_ + strpos(substr(html, pos_ + 1), 'track(') - 1 AS INTEGER) AS \"offset\", CAST(5 AS INTEGER) AS length, 'follow' AS replacement FROM s")
 def e9(spark, d):
     return _edits(spark, d)[1]

@@ -120,11 +120,3 @@ def compare_isolated(whole: DataFrame, isolated: DataFrame) -> DataFrame:
     delta = K.effect_delta(stats(whole), stats(isolated))
     pairs = compare_by_name(token_heads(whole), token_heads(isolated)).groupBy("app").agg(F.count(F.lit(1)).alias("suspicious"))
     return delta.join(pairs, "app", "left").select("app", "effect", "delta", F.coalesce("suspicious", F.lit(0)).alias("suspicious"))
-
-
-def compare_fragmented(whole: DataFrame, trials: DataFrame) -> DataFrame:
-    """The same for each trial: ``trials`` has a trial column, and whole tokens count where they survive in it."""
-    alive = whole.join(trials.select("app", "trial", "name", "source_id", "pos"), ["app", "name", "source_id", "pos"])
-    keyed = lambda t: t.withColumn("app", F.concat_ws("#", "app", F.col("trial").cast("string"))).drop("trial")
-    out = compare_isolated(keyed(alive), keyed(trials))
-    return out.select(F.substring_index("app", "#", 1).alias("app"), F.substring_index("app", "#", -1).cast("int").alias("trial"), "effect", "delta", "suspicious")

@@ -164,6 +164,13 @@ def survivors(tokens: DataFrame, killed: DataFrame) -> DataFrame:
     return tokens.join(dead, NODE, "left_anti")
 
 
+def in_bodies(ast: DataFrame, killed: DataFrame) -> DataFrame:
+    """(NODE and further columns of killed): nodes in the body of a killed function. Its own parameters stay, and so does it."""
+    above = F.filter(F.transform(F.filter("ancestors", lambda a: a["kind"] == "FunctionNode"), lambda a: a["id"]), lambda f: ~((F.col("role") == "param") & (f == F.col("parent_id"))))
+    inside = ast.select(*NODE, F.explode(above).alias("_f"))
+    return inside.join(killed.withColumnRenamed("node_id", "_f"), ["app", "source_id", "_f"]).drop("_f").distinct()
+
+
 def random_kill_set(ast: DataFrame, trials: int, ratio: float, seed: int = 0) -> DataFrame:
     """(app, trial, source_id, node_id): functions cut out at random, about 1 - ratio of a source's nodes.
 
