@@ -249,17 +249,37 @@ def s2(spark, d):
     return S.select_apps(named)
 
 
+def _lib_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("k"), F.col("p_size").cast("string"), F.lit(",  "), "p_name", F.lit(", x"))).otherwise(F.when(F.col("p_partkey") % 2 == 0, F.lit("  ")).otherwise(F.concat(F.lit("lonely"), F.col("p_size").cast("string"))))
+    return table(spark, d, "part").select(F.col("p_brand").alias("app"), line.alias("value"))
+
+
 @query("s3_read_libs", "SELECT p_brand AS app, 'k' || p_size AS key, p_name || ', x' AS path_prefix FROM part WHERE p_partkey % 7 != 0")
 def s3(spark, d):
-    line = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("k"), F.col("p_size").cast("string"), F.lit(",  "), "p_name", F.lit(", x"))).otherwise(F.when(F.col("p_partkey") % 2 == 0, F.lit("  ")).otherwise(F.lit("lonely")))
-    return S.read_libs(table(spark, d, "part").select(F.col("p_brand").alias("app"), line.alias("value")))[0]
+    return S.read_libs(_lib_lines(spark, d))[0]
 
 
-@query("s4_read_dyn_alias", "SELECT l_returnflag AS app, CAST(l_suppkey AS INTEGER) AS obj, l_orderkey || '@' || l_linenumber AS expr_id FROM lineitem WHERE l_linenumber NOT IN (3, 4)")
-def s4(spark, d):
+@query("s3_rejected_libs", "SELECT p_brand AS app, 'lonely' || p_size AS value FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 2 = 1")
+def s3_rejected(spark, d):
+    """Lines without a path; blank ones are passed over."""
+    return S.read_libs(_lib_lines(spark, d))[1]
+
+
+def _alias_lines(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("l_linenumber")
     line = F.concat(F.when(i == 3, F.lit("x")).otherwise(F.lit("")), F.col("l_suppkey").cast("string"), F.lit(", "), F.col("l_orderkey").cast("string"), F.lit("@"), i.cast("string"), F.when(i == 4, F.lit(", more")).otherwise(F.lit("")))
-    return S.read_dyn_alias(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("app"), line.alias("value")))[0]
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("app"), line.alias("value"))
+
+
+@query("s4_read_dyn_alias", "SELECT l_returnflag AS app, CAST(l_suppkey AS INTEGER) AS obj, l_orderkey || '@' || l_linenumber AS expr_id FROM lineitem WHERE l_linenumber NOT IN (3, 4)")
+def s4(spark, d):
+    return S.read_dyn_alias(_alias_lines(spark, d))[0]
+
+
+@query("s4_rejected_aliases", "SELECT l_returnflag AS app, CASE l_linenumber WHEN 3 THEN 'x' ELSE '' END || l_suppkey || ', ' || l_orderkey || '@' || l_linenumber || CASE l_linenumber WHEN 4 THEN ', more' ELSE '' END AS value FROM lineitem WHERE l_linenumber IN (3, 4)")
+def s4_rejected(spark, d):
+    """Lines whose object is no number, and lines of three fields."""
+    return S.read_dyn_alias(_alias_lines(spark, d))[1]
 
 
 @query("s5_kill_keys", "SELECT DISTINCT l_returnflag AS app, CAST(l_linenumber AS INTEGER) AS trial, 'd/s' || l_suppkey || '.js' AS source, CAST(l_partkey % 5 AS INTEGER) AS ordinal FROM lineitem")

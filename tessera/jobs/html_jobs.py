@@ -148,11 +148,11 @@ def h11(spark, d):
     return H.line_to_offset(asked, lines, "page_id")
 
 
-@query("h12_check_fragments", f"{_ALL} SELECT page_id, frag_index, offset FROM fr WHERE false")
+@query("h12_check_fragments", f"{_ALL} SELECT fr.page_id, frag_index, CAST(fr.offset + 1 AS INTEGER) AS offset FROM fr JOIN p ON p.page_id = fr.page_id WHERE kind = 'inline' AND frag_index % 2 = 1 AND substr(p.html, CAST(fr.offset + 2 AS BIGINT), length(code)) != code")
 def h12(spark, d):
-    """No rows: every fragment stands where it says."""
+    """Every other fragment is said to stand one place on: these are found, and no other."""
     pages = spliced(spark, d)
-    return H.check_fragments(H.extract_fragments(pages), pages)
+    return H.check_fragments(H.extract_fragments(pages).withColumn("offset", F.col("offset") + F.col("frag_index") % 2), pages)
 
 
 _FOREIGN = "éÉßÇñÑèíÊöÈêüÖÜóçäÄ"
@@ -217,6 +217,14 @@ def j1(spark, d):
     return met.select("page_id", "target")
 
 
+@query("j1_missing_externs", f"{_ALL} SELECT fr.page_id, 'site/' || {_SITE.replace('url', 'pages.url')} || '/lib/a.js' AS target FROM fr JOIN pages ON pages.page_id = fr.page_id WHERE kind = 'extern' AND 'site/' || {_SITE.replace('url', 'pages.url')} NOT IN (SELECT 'site/' || {_SITE} FROM pages WHERE page_id % 3 = 0)")
+def j1_missing(spark, d):
+    """Scripts of hosts that no third page lies on are not loaded."""
+    pages = spliced(spark, d).withColumn("path", F.concat(F.lit("site/"), F.regexp_extract("url", "^https?://([^/]*)", 1), F.lit("/index.html")))
+    sources = pages.where("page_id % 3 = 0").select(F.regexp_replace("path", "index.html$", "lib/a.js").alias("path")).distinct().withColumn("source_id", F.lit(0))
+    return H.resolve_externs(H.extract_fragments(pages), pages, sources)[1].select("page_id", "target")
+
+
 @query("s10_bundle_scripts", f"{_ALL} SELECT page_id, string_agg('// FILE: ' || CASE kind WHEN 'inline' THEN 'chunk' || line || '.js' ELSE url END || chr(10) || CASE kind WHEN 'inline' THEN code ELSE 'lib()' END || chr(10) || chr(10), '' ORDER BY line, coalesce(offset, -1)) AS bundle FROM fr GROUP BY page_id")
 def s10(spark, d):
     pages = spliced(spark, d)
