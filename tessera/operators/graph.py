@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import cut, partitions
+from tessera.runtime import written
 
 
 def _all_stars(edges: DataFrame, keys: list[str]) -> bool:
@@ -17,13 +17,10 @@ def _all_stars(edges: DataFrame, keys: list[str]) -> bool:
 
 
 def _with_least(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Every pair with m, the least of u and its neighbours. Pairs of a node are dealt in slices by the hash of v, and the
-    least goes back to the slices that the node has, so a hub is spread over tasks and a leaf costs no more rows than pairs."""
-    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("v"), F.lit(partitions(pairs.sparkSession))))
-    parts = sliced.groupBy(*keys, "u", "slice").agg(F.min("v").alias("m"))
-    least = parts.groupBy(*keys, "u").agg(F.min("m").alias("m"), F.collect_list("slice").alias("slices"))
-    back = least.select(*keys, "u", F.least("u", "m").alias("m"), F.explode("slices").alias("slice"))
-    return sliced.join(back, [*keys, "u", "slice"]).drop("slice")
+    """Every pair with m, the least of u and its neighbours. A node's least is found by partial sums and joined back as one
+    row, so AQE can split a hub's pairs over tasks; no node's pairs are held together."""
+    least = pairs.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    return pairs.join(least, [*keys, "u"]).withColumn("m", F.least("u", "m"))
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,12 +39,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     Alternates large-star and small-star until only stars to a least node are left. Edges with a null end are dropped.
     """
     keys = list(keys)
-    pairs = edges.select(*keys, F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
-    pairs = cut(pairs)
+    pairs = edges.select(*keys, F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    pairs = written(pairs.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = pairs.select(*keys, F.col("u").alias("node")).unionByName(pairs.select(*keys, F.col("v").alias("node"))).distinct()
-    star = pairs.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+    star = pairs.where("u != v")
     while not _all_stars(star, keys):
-        star = cut(_small_star(_large_star(star, keys), keys))
+        star = written(_small_star(_large_star(star, keys), keys))
     found = star.select(*keys, F.col("u").alias("node"), F.col("v").alias("rep"))
     return nodes.join(found, [*keys, "node"], "left").select(*keys, "node", F.coalesce("rep", "node").alias("rep"))
 
@@ -60,12 +57,12 @@ def rep_from_groups(groups: DataFrame, members: str = "members", keys: Sequence[
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): roots and everything they lead to. Each round joins the last round's finds only."""
-    visited = cut(roots.select("node").distinct())
+    visited = written(roots.select("node").distinct())
     front = visited
     while front.head(1):
         found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = cut(found.join(visited, "node", "left_anti"))
-        visited = cut(visited.unionByName(front))
+        front = written(found.join(visited, "node", "left_anti"))
+        visited = written(visited.unionByName(front))
     return visited
 
 
@@ -74,7 +71,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         heads, tails = edges.select(F.col("dst").alias("v")).distinct(), edges.select(F.col("src").alias("v")).distinct()
-        edges = cut(edges.join(heads, edges["src"] == heads["v"], "left_semi").join(tails, edges["dst"] == tails["v"], "left_semi"))
+        edges = written(edges.join(heads, edges["src"] == heads["v"], "left_semi").join(tails, edges["dst"] == tails["v"], "left_semi"))
         now = edges.count()
         if now == n:
             break
@@ -83,16 +80,20 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 
 def _forward_min(edges: DataFrame) -> DataFrame:
-    """(node, colour): the least node from which each node is reached, itself included."""
+    """(node, colour): the least node from which each node is reached, itself included.
+
+    A round takes the least colour of the nodes before, and then that colour's own colour, as what reaches a node that
+    reaches this one reaches this one: colours travel as far again as they have come.
+    """
     colour = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node"))
-    colour = cut(colour)
     while True:
         come = edges.join(colour, edges["src"] == colour["node"]).groupBy("dst").agg(F.min("colour").alias("c"))
-        step = colour.join(come, colour["node"] == come["dst"], "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("now"), "colour")
-        step = cut(step)
-        changed = step.where("now != colour").head(1)
+        step = colour.join(come, colour["node"] == come["dst"], "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("near"), "colour")
+        step = written(step)
+        far = step.select(F.col("node").alias("near"), F.col("near").alias("_far"))
+        step = written(step.join(far, "near").select("node", F.least("near", "_far").alias("now"), "colour"))
         colour = step.select("node", F.col("now").alias("colour"))
-        if not changed:
+        if not step.where("now != colour").head(1):
             return colour
 
 
@@ -102,21 +103,21 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Trims what lies on no cycle, gives every vertex the least vertex that reaches it, walks back from each colour's own
     vertex inside the colour: what it finds is one component each. Edges between colours go, the rest is done again.
     """
-    left = cut(edges.select("src", "dst").distinct())
+    left = written(edges.select("src", "dst").distinct())
     nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
     found = None
     left = _trimmed(left.where("src != dst"))
     while left.head(1):
         colour = _forward_min(left)
         a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2"))
-        inside = cut(left.join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst"))
+        inside = written(left.join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst"))
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         reached = reachable(colour.where("node = colour").select("node"), back)
-        part = cut(colour.join(reached, "node", "left_semi").select("node", F.col("colour").alias("rep")))
-        found = part if found is None else cut(found.unionByName(part))
+        part = written(colour.join(reached, "node", "left_semi").select("node", F.col("colour").alias("rep")))
+        found = part if found is None else written(found.unionByName(part))
         done = part.select(F.col("node").alias("v"))
         left = inside.join(done, inside["src"] == done["v"], "left_anti").join(done, inside["dst"] == done["v"], "left_anti")
-        left = _trimmed(cut(left))
+        left = _trimmed(written(left))
     if found is None:
         return nodes.select("node", F.col("node").alias("rep"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.arrays import bound
+from tessera.operators.intervals import holding
 
 #: A comment or script that is not closed reaches to the end of the page, an open tag without its end is none: nothing is
 #: searched twice for an end that is not there.
@@ -57,8 +59,16 @@ def _attributes(open_: Column, start: Column) -> Column:
         return F.struct(F.regexp_extract(m["value"], r"^[^\s=]+", 0).alias("name"), value.alias("value"), at.cast("int").alias("offset"), (quoted & value.rlike("[\r\n]")).alias("broken"))
 
     all_ = F.transform(X.matches(inner, ATTRIBUTE), one)
-    kept = F.aggregate(all_, F.array().cast("array<struct<name:string,value:string,offset:int>>"), lambda acc, a: F.when(a["broken"], F.array().cast("array<struct<name:string,value:string,offset:int>>")).when(F.exists(acc, lambda b: b["name"] == a["name"]), acc).otherwise(F.concat(acc, F.array(a.dropFields("broken")))))
-    return F.when(F.contains(open_, F.lit("=")), kept).otherwise(F.array().cast("array<struct<name:string,value:string,offset:int>>"))
+
+    def kept(found: Column) -> Column:
+        """Behind the last broken one, the first of each name: by name, then by place again."""
+        last = F.coalesce(F.array_max(F.transform(found, lambda a, i: F.when(a["broken"], i))), F.lit(-1))
+        named = F.array_sort(F.transform(F.slice(found, last + 2, F.size(found)), lambda a: F.struct(a["name"].alias("name"), a["offset"].alias("offset"), a["value"].alias("value"))))
+        first = lambda v: F.filter(v, lambda a, i: (i == 0) | (F.get(v, i - 1)["name"] != a["name"]))
+        placed = F.array_sort(F.transform(bound(named, first), lambda a: F.struct(a["offset"].alias("offset"), a["name"].alias("name"), a["value"].alias("value"))))
+        return F.transform(placed, lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), a["offset"].alias("offset")))
+
+    return F.when(F.contains(open_, F.lit("=")), bound(all_, kept)).otherwise(F.array().cast("array<struct<name:string,value:string,offset:int>>"))
 
 
 def tag_attributes(pages: DataFrame) -> DataFrame:
@@ -169,7 +179,7 @@ def mismatch_metrics(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def fragment_at(fragments: DataFrame, points: DataFrame) -> DataFrame:
     """points (page_id, offset) with the inline fragment that holds them, both ends included, the last one if several do."""
     inline = fragments.where("kind = 'inline'").select("page_id", F.col("offset").alias("_from"), (F.col("offset") + F.length("code")).alias("_to"), "frag_index")
-    met = points.join(inline, "page_id", "left").where("_from IS NULL OR offset BETWEEN _from AND _to").groupBy("page_id", "offset").agg(F.max("frag_index").alias("frag_index"))
+    met = holding(points.select("page_id", "offset"), "offset", inline, "_from", "_to", ["page_id"]).groupBy("page_id", "offset").agg(F.max("frag_index").alias("frag_index"))
     return points.join(met, ["page_id", "offset"], "left")
 
 

@@ -7,11 +7,16 @@ with id, kind, role, op).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.runtime import cut
+from tessera.operators.intervals import holding
+from tessera.runtime import partitions
 
 NODE = ["app", "source_id", "node_id"]
 SCOPES = ("FunctionNode", "CatchClause", "Block")
@@ -19,16 +24,38 @@ ANCESTORS = "array<struct<id:bigint,kind:string,role:string,op:string>>"
 
 
 def with_ancestors(ast: DataFrame) -> DataFrame:
-    """Depth and ancestors by one join a level: each round gives the next level its parents' path."""
-    me = lambda: F.struct(F.col("node_id").alias("id"), "kind", "role", "op")
-    level = cut(ast.where("parent_id IS NULL").withColumn("depth", F.lit(0)).withColumn("ancestors", F.array().cast(ANCESTORS)))
-    rest, out, depth = ast.where("parent_id IS NOT NULL"), level, 0
-    while level.head(1):
-        depth += 1
-        up = level.select("app", "source_id", F.col("node_id").alias("parent_id"), F.concat("ancestors", F.array(me())).alias("ancestors"))
-        level = cut(rest.join(up, ["app", "source_id", "parent_id"]).withColumn("depth", F.lit(depth)).select(*out.columns))
-        out = out.unionByName(level)
-    return out
+    """Depth and ancestors, by one exchange: a source's nodes come to a task in preorder, one after the other, and the nodes
+    above the next one are a stack. Memory follows the depth of a tree, not the size of its source. A node whose parent
+    does not come before it is left out, with what is below it."""
+    columns = [c for c in ast.columns if c not in ("depth", "ancestors")]
+    fields = {f.name: f for f in ast.schema.fields}
+    schema = T.StructType([*[fields[c] for c in columns], T.StructField("depth", T.IntegerType()), T.StructField("ancestors", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("kind", "role", "op")]])))])
+    dealt = ast.select(*columns).repartition(partitions(ast.sparkSession), "app", "source_id").sortWithinPartitions("app", "source_id", "node_id")
+    above = ("id", "kind", "role", "op")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, source = [], None
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("app", "source_id", "node_id", "parent_id", "kind", "role", "op")], strict=True)
+            kept, ends, parts = [], [0], [[] for _ in above]
+            for i, (app, source_id, node_id, parent_id, kind, role, op) in enumerate(rows):
+                if (app, source_id) != source or parent_id is None:
+                    stack, source = [], (app, source_id)
+                while stack and stack[-1][0] != parent_id:
+                    stack.pop()
+                if parent_id is not None and not stack:
+                    continue
+                kept.append(i)
+                for part, values in zip(parts, zip(*stack, strict=True), strict=bool(stack)):
+                    part.extend(values)
+                ends.append(ends[-1] + len(stack))
+                stack.append((node_id, kind, role, op))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(parts[0], pa.int64()), *[pa.array(p, pa.string()) for p in parts[1:]]], names=above))
+            whole = batch.take(pa.array(kept, pa.int64()))
+            depth = pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*whole.columns, depth, lists], [*batch.schema.names, "depth", "ancestors"])
+
+    return dealt.mapInArrow(walk, schema)
 
 
 def parent(field: str, n: int = 1) -> Column:
@@ -94,9 +121,10 @@ def location() -> Column:
 
 
 def token_at(ast: DataFrame, points: DataFrame) -> DataFrame:
-    """points (app, source_id, at) with the innermost node around each: deepest, then latest. An interval join inside a source."""
-    met = points.join(ast, ["app", "source_id"]).where(F.col("at").between(F.col("pos"), F.col("pos") + F.col("len")))
-    return met.groupBy("app", "source_id", "at").agg(F.max_by(F.struct("node_id", "kind", "name"), F.struct("depth", "pos", "node_id")).alias("n")).select("app", "source_id", "at", "n.*")
+    """points (app, source_id, at) with the innermost node around each: deepest, then latest."""
+    nodes = ast.select(*NODE, "kind", "name", "depth", F.col("pos").alias("_from"), (F.col("pos") + F.col("len")).alias("_to"))
+    met = holding(points, "at", nodes, "_from", "_to", ["app", "source_id"])
+    return met.groupBy("app", "source_id", "at").agg(F.max_by(F.struct("node_id", "kind", "name"), F.struct("depth", "_from", "node_id")).alias("n")).select("app", "source_id", "at", "n.*")
 
 
 def tokens_on_line(tokens: DataFrame, line: Column) -> DataFrame:
