@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.runtime import written
 
+#: So many pairs are no work to deal out: one task finds their components.
+FEW = 100_000
+
 
 def _all_stars(edges: DataFrame, keys: list[str]) -> bool:
     """Does every node have one edge to a lesser node that itself has none?"""
@@ -36,11 +40,14 @@ def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, rep) of every node of an edge, self-loops included; rep is the least node of its component.
 
-    Alternates large-star and small-star until only stars to a least node are left. Edges with a null end are dropped.
+    Alternates large-star and small-star until only stars to a least node are left; pairs that are counted to be few are
+    done by one task. Edges with a null end are dropped.
     """
     keys = list(keys)
     pairs = edges.select(*keys, F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     pairs = written(pairs.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if pairs.count() <= FEW:
+        return _in_one_task(pairs, keys)
     nodes = pairs.select(*keys, F.col("u").alias("node")).unionByName(pairs.select(*keys, F.col("v").alias("node"))).distinct()
     star = pairs.where("u != v")
     while not _all_stars(star, keys):
@@ -49,6 +56,36 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", k
     return nodes.join(found, [*keys, "node"], "left").select(*keys, "node", F.coalesce("rep", "node").alias("rep"))
 
 
+def _in_one_task(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The components of counted, few pairs: every node points to one above it, and paths are halved on the way."""
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, told, types = {}, {}, []
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            types = [f.type for f in batch.schema][: len(keys) + 1]
+            columns = [batch.column(c).to_pylist() for c in (*keys, "u", "v")]
+            for *key, u, v in zip(*columns, strict=True):
+                ends = []
+                for x in (u, v):
+                    place = (*key, tuple(x.values()) if isinstance(x, dict) else x)
+                    told.setdefault(place, x)
+                    ends.append(top(up.setdefault(place, place)))
+                up[max(ends)] = min(ends)
+        if told:
+            rows = [(*x[:-1], told[x], told[top(x)]) for x in told]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*types, types[-1]], strict=True)], [*keys, "node", "rep"])
+
+    schema = ", ".join([*[f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys], f"node {kind}", f"rep {kind}"])
+    return pairs.coalesce(1).mapInArrow(walk, schema)
+
+
 def rep_from_groups(groups: DataFrame, members: str = "members", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, item, rep): every member of a list with the list's first member; empty lists give nothing."""
     first = F.element_at(members, 1)
