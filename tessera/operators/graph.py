@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,26 +139,68 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """(node, rep): least node of each node's strongly connected component; vertices without edges are not known here.
 
     Trims what lies on no cycle, gives every vertex the least vertex that reaches it, walks back from each colour's own
-    vertex inside the colour: what it finds is one component each. Edges between colours go, the rest is done again.
+    vertex inside the colour: what it finds is one component each. Edges between colours go, the rest is done again, until
+    the edges that are left are counted to be few, which one task does.
     """
     left = written(edges.select("src", "dst").distinct())
     nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-    found = None
-    left = _trimmed(left.where("src != dst"))
-    while left.head(1):
+    found = []
+    left = left.where("src != dst")
+    while left.count() > FEW:
+        left = _trimmed(left)
+        if not left.head(1):
+            break
         colour = _forward_min(left)
         a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2"))
         inside = written(left.join(a, "src").join(b, "dst").where("c1 = c2").select("src", "dst"))
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         reached = reachable(colour.where("node = colour").select("node"), back)
         part = written(colour.join(reached, "node", "left_semi").select("node", F.col("colour").alias("rep")))
-        found = part if found is None else written(found.unionByName(part))
+        found.append(part)
         done = part.select(F.col("node").alias("v"))
-        left = inside.join(done, inside["src"] == done["v"], "left_anti").join(done, inside["dst"] == done["v"], "left_anti")
-        left = _trimmed(written(left))
-    if found is None:
-        return nodes.select("node", F.col("node").alias("rep"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))
+        left = written(inside.join(done, inside["src"] == done["v"], "left_anti").join(done, inside["dst"] == done["v"], "left_anti"))
+    else:
+        found.append(_strong_in_one_task(left))
+    whole = reduce(DataFrame.unionByName, found) if found else nodes.select("node", F.col("node").alias("rep")).where("false")
+    return nodes.join(whole, "node", "left").select("node", F.coalesce("rep", "node").alias("rep"))
+
+
+def _strong_in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, rep) for counted, few edges. Nodes are left in the order in which all they lead to is done; taken in the
+    reverse of it, what leads to a node and belongs to none before is its component."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead, behind, type_ = {}, {}, None
+        for batch in batches:
+            type_ = batch.schema.field("src").type
+            for u, v in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+                ahead.setdefault(u, []).append(v)
+                behind.setdefault(v, []).append(u)
+        seen, order = set(), []
+        for start in [*ahead, *behind]:
+            path = [] if start in seen else [(start, iter(ahead.get(start, ())))]
+            seen.add(start)
+            while path:
+                node, rest = path[-1]
+                if (to := next((x for x in rest if x not in seen), None)) is None:
+                    order.append(path.pop()[0])
+                else:
+                    seen.add(to)
+                    path.append((to, iter(ahead.get(to, ()))))
+        of = {}
+        for start in reversed(order):
+            if start not in of:
+                of[start], members = start, [start]
+                for node in members:
+                    fresh = [x for x in behind.get(node, ()) if x not in of]
+                    of.update(dict.fromkeys(fresh, start))
+                    members += dict.fromkeys(fresh)
+                of.update(dict.fromkeys(members, min(members)))
+        if of:
+            yield pa.RecordBatch.from_arrays([pa.array(of, type_), pa.array(of.values(), type_)], ["node", "rep"])
+
+    return edges.coalesce(1).mapInArrow(walk, f"node {kind}, rep {kind}")
 
 
 def component_edges(edges: DataFrame, reps: DataFrame) -> DataFrame:
