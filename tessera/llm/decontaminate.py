@@ -23,7 +23,7 @@ from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
-from tessera.runtime import batches_by_bytes, table
+from tessera.runtime import batches_by_bytes, table, written
 
 N = 10
 BLOCK_BYTES = 64 << 20
@@ -142,24 +142,33 @@ def _runs(data: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarray, hi
     return out
 
 
-def _blocks(rows: DataFrame, bound: int) -> Iterator[list]:
+def _blocks(rows: DataFrame, bound: int) -> Iterator[tuple[list, bool]]:
+    """Blocks of windows, and whether each is the last."""
     size = rows.agg(F.sum(F.length("words") + F.length("item") + 64)).first()[0] or 0
     n = max(1, -(-size // bound))
+    rows = rows if n == 1 else written(rows)
     for b in range(n):
         kept = rows if n == 1 else rows.where(F.pmod(F.xxhash64("words", "item"), F.lit(n)) == b)
-        yield kept.collect()  # at most about ``bound`` bytes, by the sum above
+        yield kept.collect(), b == n - 1  # at most about ``bound`` bytes, by the sum above
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", bound: int = BLOCK_BYTES) -> DataFrame:
     """``row`` (the document's own columns) and ``found``: n_words, hit word indexes, items, spans of hit runs in code points.
 
-    Only texts go to Python; with several blocks each text meets one after the other there.
+    Only texts go to Python. With several blocks of windows the rows and what was found are written after each but the
+    last, and its broadcast goes, so that tasks and driver hold one block at a time however large the benchmark is.
     """
-    batches_by_bytes(docs.sparkSession)
-    text, found = docs[f"`{text_col}`"], F.lit(None).cast(FOUND)
-    for block in _blocks(windows(benchmark, n), bound):
-        found = F.arrow_udf(_scan(docs.sparkSession.sparkContext.broadcast(_Block(block))), FOUND, ArrowUDFType.SCALAR_ITER)(text, found)
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), found.alias("found"))
+    spark = docs.sparkSession
+    batches_by_bytes(spark)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.lit(None).cast(FOUND).alias("found"))
+    for block, last in _blocks(windows(benchmark, n), bound):
+        shared = spark.sparkContext.broadcast(_Block(block))
+        found = F.arrow_udf(_scan(shared), FOUND, ArrowUDFType.SCALAR_ITER)(F.col(f"row.`{text_col}`"), F.col("found"))
+        rows = rows.select("row", found.alias("found"))
+        if not last:
+            rows = written(rows)
+            shared.destroy()
+    return rows
 
 
 def clean(scanned: DataFrame, columns: list[str], mode: str = "document", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,8 @@ A language's profile is its ``SIZE`` most frequent letter n-grams (1 to 3 letter
 order; a text's distance to it is the sum, over the text's own most frequent n-grams, of how far each is out of place
 (``SIZE`` when the profile lacks it). Profiles are fitted on at most ``fit_docs`` distinct labelled documents a
 language, taken in order of a hash of id and text; every text is read whole when it is judged. Profiles are broadcast in
-blocks of ``labels`` languages (``SIZE`` entries each, about 70 MB a full block); a text is judged against every block.
+blocks of ``labels`` languages (``SIZE`` entries each, about 70 MB a full block), one at a time; a text is judged against
+every block.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text when nothing is
 labelled; ties go to the first label in order; rows with a null label are not learned from; a null doc_id is never
@@ -14,7 +15,7 @@ held whole, one at a time; other columns pass untouched. The score is 1 - distan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql.functions import ArrowUDFType
 from tessera.llm import textarrays as ta
 from tessera.runtime import batches_by_bytes, small, table, written
 
-SIZE, FIT_DOCS, LABELS = 300, 4000, 20_000
+SIZE, FIT_DOCS, LABELS = 300, 4000, 10_000
 CHUNK = 1 << 18
 GUESS = "struct<lang:string,score:double>"
 GUESS_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64())])
@@ -76,16 +77,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Profiles:
     """Labels and, for every n-gram of any profile, the labels that have it with its rank in each."""
 
-    def __init__(self, rows: list) -> None:
-        by: dict[str, list[tuple]] = {}
-        for r in rows:
-            by.setdefault(r["lang"], []).append((-r["n"], r["code"] & ((1 << 64) - 1)))
-        self.labels = sorted(by)
-        entries = sorted((code, k, rank) for k, lang in enumerate(self.labels) for rank, (_, code) in enumerate(sorted(by[lang])))
-        codes = np.array([e[0] for e in entries], np.uint64)
-        self.codes, begin = np.unique(codes, return_index=True)
+    def __init__(self, rows: list[tuple[str, np.ndarray]]) -> None:
+        """``rows``: a label with its n-grams, most frequent first."""
+        rows = sorted(rows, key=lambda r: r[0])
+        self.labels = [r[0] for r in rows]
+        sizes = [len(r[1]) for r in rows]
+        codes = np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[1], np.int64) for r in rows]]).view(np.uint64)
+        label = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        rank = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]])
+        order = np.argsort(codes, kind="stable")  # labels stay in order
+        self.codes, begin = np.unique(codes[order], return_index=True)
         self.first = np.append(begin, len(codes))
-        self.label, self.rank = (np.array([e[i] for e in entries], np.int32) for i in (1, 2))
+        self.label, self.rank = label[order], rank[order]
 
     def guess(self, codes: np.ndarray) -> tuple[str, float]:
         top = ranked(codes)
@@ -101,7 +104,23 @@ class Profiles:
         return self.labels[best], 1.0 - float(total[best]) / (SIZE * len(top))
 
 
-def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, labels: int = LABELS) -> list[Profiles]:
+class Fitted(Sequence):
+    """Profiles in blocks of languages; a block comes to the driver, as arrays, when it is asked for."""
+
+    def __init__(self, rows: DataFrame, blocks: int) -> None:
+        self.rows, self.blocks = rows, blocks
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __getitem__(self, b: int) -> Profiles:
+        if not 0 <= b < self.blocks:
+            raise IndexError(b)
+        table_ = self.rows.where(F.pmod(F.xxhash64("lang"), F.lit(self.blocks)) == b).toArrow()  # SIZE codes a label
+        return Profiles(list(zip(table_.column("lang").to_pylist(), (x.values.to_numpy() for x in table_.column("codes")), strict=True)))
+
+
+def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, labels: int = LABELS) -> Fitted:
     """Profiles from (doc_id, text, lang) rows, in blocks of ``labels``: at most ``fit_docs`` documents a language."""
     batches_by_bytes(labelled.sparkSession)
     named = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
@@ -113,13 +132,10 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, labels: int = LABELS) ->
     last = some.select("lang", "part", "hash").distinct().withColumn("place", order).where(F.col("place") <= fit_docs).groupBy("lang").agg(F.max(F.struct("part", "hash")).alias("last"))
     sample = some.join(small(written(last)), "lang").where(F.struct("part", "hash") <= F.col("last")).groupBy("lang", "hash").agg(F.first("text").alias("text"))
     counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    rows = counts.withColumn("_rank", first).where(F.col("_rank") <= SIZE).drop("_rank")
-    n = last.count()
-    if n <= labels:
-        return [Profiles(rows.collect())]  # SIZE rows a label
-    blocks, rows = -(-n // labels), written(rows)
-    return [Profiles(rows.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).collect()) for b in range(blocks)]
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.col("code").bitwiseXOR(F.lit(-(1 << 63)))))  # codes are unsigned
+    top = counts.withColumn("_rank", first).where(F.col("_rank") <= SIZE)
+    rows = written(top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "code"))), lambda x: x["code"]).alias("codes")))
+    return Fitted(rows, max(1, -(-rows.count() // labels)))
 
 
 def _guess(profiles: Broadcast):
@@ -134,15 +150,25 @@ def _guess(profiles: Broadcast):
     return run
 
 
-def identify(docs: DataFrame, profiles: list[Profiles], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``row`` (the document's columns, or those of ``carry``) and ``guess`` (lang, score). Only texts go to Python."""
-    batches_by_bytes(docs.sparkSession)
-    share = docs.sparkSession.sparkContext.broadcast
-    text = docs[f"`{text_col}`"]
-    guesses = [F.arrow_udf(_guess(share(p)), GUESS, ArrowUDFType.SCALAR_ITER)(text) for p in profiles]
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry or docs.columns]).alias("row"), F.array(*guesses).alias("guesses"))
-    best = F.element_at(F.array_sort("guesses", lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["lang"] < b["lang"], -1).when(a["lang"] > b["lang"], 1).otherwise(0)), 1)
-    return rows.select("row", (F.element_at("guesses", 1) if len(guesses) == 1 else best).alias("guess"))
+def identify(docs: DataFrame, profiles: Sequence[Profiles], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the document's columns, or those of ``carry``) and ``guess`` (lang, score). Only texts go to Python. With
+    several blocks of profiles the rows and their best guess are written after each but the last, and its broadcast goes."""
+    spark = docs.sparkSession
+    batches_by_bytes(spark)
+    if len(profiles) == 1:
+        guess = F.arrow_udf(_guess(spark.sparkContext.broadcast(profiles[0])), GUESS, ArrowUDFType.SCALAR_ITER)(docs[f"`{text_col}`"])
+        return docs.select(F.struct(*[docs[f"`{c}`"] for c in carry or docs.columns]).alias("row"), guess.alias("guess"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry or docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("text"), F.lit(None).cast(GUESS).alias("guess"))
+    for b in range(len(profiles)):
+        shared = spark.sparkContext.broadcast(profiles[b])
+        rows = rows.withColumn("_new", F.arrow_udf(_guess(shared), GUESS, ArrowUDFType.SCALAR_ITER)(F.col("text")))
+        old, new = F.col("guess"), F.col("_new")
+        better = old.isNull() | ((new["lang"] != "und") & ((old["lang"] == "und") | (new["score"] > old["score"]) | ((new["score"] == old["score"]) & (new["lang"] < old["lang"]))))
+        rows = rows.withColumn("guess", F.when(better, F.col("_new")).otherwise(F.col("guess"))).drop("_new")
+        if b < len(profiles) - 1:
+            rows = written(rows)
+            shared.destroy()
+    return rows.select("row", "guess")
 
 
 def held_out(doc_id: Column) -> Column:
