@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of a data directory, by whatever file system the path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,8 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new place in the shared folder, below one of this application, which goes when the program ends."""
+    own = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the session's file systems; one that can't be reached any more (a stopped session) stays."""
+    with suppress(Exception):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
