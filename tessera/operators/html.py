@@ -38,12 +38,20 @@ def is_javascript(type_: Column, language: Column) -> Column:
 
 
 def tags(pages: DataFrame) -> DataFrame:
-    """(page_id, html, start, open, code): open tags outside comments, with the text of a script element."""
-    found = pages.select("page_id", "html", F.inline(X.matches(F.coalesce("html", F.lit("")), PIECES))).where("NOT startswith(value, '<!--') AND (endswith(value, '>') OR lower(value) RLIKE '^<script\\\\b[^>]*>')")
+    """(page_id, start, line, line_start, open, code, tag): open tags outside comments, with the text of a script element."""
+    found = pages.select("page_id", F.inline(X.placed_matches(F.coalesce("html", F.lit("")), PIECES))).where("NOT startswith(value, '<!--') AND (endswith(value, '>') OR lower(value) RLIKE '^<script\\\\b[^>]*>')")
     script = F.lower("value").rlike(r"^<script\b[^>]*>[\s\S]*</script\s*>$")
     open_ = F.when(F.lower("value").startswith("<script"), F.regexp_extract("value", "^<[^>]*>", 0)).otherwise(F.col("value"))
     rest = F.substring(F.col("value"), F.length(open_) + 1, F.length("value"))
-    return found.select("page_id", "html", "start", open_.alias("open"), F.when(script, F.regexp_replace(rest, r"(?i)</script\s*>$", "")).alias("code"), F.lower(F.regexp_extract("value", "^<([A-Za-z0-9]+)", 1)).alias("tag"))
+    return found.select("page_id", "start", "line", "line_start", open_.alias("open"), F.when(script, F.regexp_replace(rest, r"(?i)</script\s*>$", "")).alias("code"), F.lower(F.regexp_extract("value", "^<([A-Za-z0-9]+)", 1)).alias("tag"))
+
+
+def _line_and_column(at: Column) -> tuple[Column, Column]:
+    """Of a place in an open tag or at its end: what stands in the tag before it is all that is looked at."""
+    before = F.substring(F.col("open"), F.lit(1), at - F.col("start"))
+    breaks = F.regexp_count(before, F.lit(X.BREAK))
+    column = F.when(breaks > 0, F.length(F.element_at(F.split(before, X.BREAK, -1), -1))).otherwise(at - F.col("line_start"))
+    return (F.col("line") + breaks).cast("int"), column.cast("int")
 
 
 def _attributes(open_: Column, start: Column) -> Column:
@@ -94,7 +102,7 @@ def _branches(rows: DataFrame) -> DataFrame:
     links = F.when((F.col("tag") == "a") & F.col("h").isNotNull() & (prefix > 0), F.array(fragment("inline", "href", F.lit("href"), F.substring(F.col("h.value"), prefix + 1, F.length("h.value")), none, F.col("h.offset") + prefix, F.col("h.offset")))).otherwise(empty)
     events = F.transform(F.filter("attrs", lambda a: a["name"].isin(*EVENT_ATTRIBUTES)), lambda a: fragment("inline", "event", a["name"], a["value"], none, a["offset"], a["offset"]))
     rows = rows.withColumn("attrs", _attributes(F.col("open"), F.col("start"))).withColumn("h", href)
-    return rows.select("page_id", "html", F.inline(F.concat(script, links, events)))
+    return rows.select("page_id", "start", "line", "line_start", "open", F.inline(F.concat(script, links, events)))
 
 
 def extract_fragments(pages: DataFrame) -> DataFrame:
@@ -103,8 +111,8 @@ def extract_fragments(pages: DataFrame) -> DataFrame:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    text = F.col("html")
-    return rows.select("page_id", "kind", "origin", "attr", "code", "url", "offset", X.line_of(text, F.col("at")).cast("int").alias("_line"), F.when(F.col("offset").isNotNull(), X.line_of(text, F.col("offset"))).cast("int").alias("line"), F.when(F.col("offset").isNotNull(), X.column_of(text, F.col("offset"))).cast("int").alias("col"), "at").select("page_id", "kind", "origin", "attr", "code", "url", "offset", F.coalesce("line", "_line").alias("line"), "col", "at")
+    line, column = _line_and_column(F.coalesce("offset", "at"))
+    return rows.select("page_id", "kind", "origin", "attr", "code", "url", "offset", line.alias("line"), F.when(F.col("offset").isNotNull(), column).alias("col"), "at")
 
 
 def number_fragments(rows: DataFrame) -> DataFrame:
@@ -116,7 +124,8 @@ def number_fragments(rows: DataFrame) -> DataFrame:
 def script_fragments(pages: DataFrame) -> DataFrame:
     """(page_id, code, offset, line, col) of every script element with its text, whatever its type."""
     rows = tags(pages).where("tag = 'script' AND code IS NOT NULL").withColumn("offset", (F.col("start") + F.length("open")).cast("int"))
-    return rows.select("page_id", "code", "offset", X.line_of(F.col("html"), F.col("offset")).cast("int").alias("line"), X.column_of(F.col("html"), F.col("offset")).cast("int").alias("col"))
+    line, column = _line_and_column(F.col("offset"))
+    return rows.select("page_id", "code", "offset", line.alias("line"), column.alias("col"))
 
 
 def extern_scripts(pages: DataFrame) -> DataFrame:
