@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.jobs.token_jobs import Q
 from tessera.operators import relations as R
+from tessera.operators.chunks import chunked
 from tessera.runtime import table
 
 QUERIES: dict[str, Q] = {}
@@ -122,6 +123,13 @@ def r8(spark, d):
     return found.select("k", F.array_join("values", ",").alias("image"))
 
 
+@query("r8_image_chunks", "WITH r AS (SELECT l_returnflag AS k, l_orderkey * 10 + l_linenumber AS v FROM lineitem), n AS (SELECT k, v, (row_number() OVER (PARTITION BY k ORDER BY v) - 1) // 500 AS chunk FROM r) SELECT k, chunk, string_agg(v, ',' ORDER BY v) AS image FROM n GROUP BY k, chunk")
+def r8_chunks(spark, d):
+    """Images of three keys that hold all line items, 500 values a row."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("v"))
+    return chunked(rows, ["k"], "v", 500).select("k", "chunk", F.array_join("values", ",").alias("image"))
+
+
 @query("r9_filter_images", f"{T} SELECT k, l, v FROM t WHERE k IN (SELECT k FROM t GROUP BY k HAVING max(v) - min(v) > 90)")
 def r9(spark, d):
     wide = lambda x: F.array_max(F.transform(x, lambda s: s["v"])) - F.array_min(F.transform(x, lambda s: s["v"])) > 90

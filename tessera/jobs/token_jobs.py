@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.jobs import bindings as B
 from tessera.operators import tokens as O
+from tessera.operators.chunks import chunked
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -56,6 +57,14 @@ def _spelled(tokens: str, between: str) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.concat_ws(":", t["source_id"].cast("string"), t["pos"].cast("string"))), between)
 
 
+@query("a3_question_chunks", f"{B.T3}, n AS (SELECT app, rep, source_id, pos, (row_number() OVER (PARTITION BY app, rep ORDER BY source_id, pos, name) - 1) // 100 AS chunk FROM tok) SELECT app, rep, chunk, count(*) AS size, min((source_id, pos))[1] AS first_source, string_agg(source_id || ':' || pos, ',' ORDER BY source_id, pos) AS tokens FROM n GROUP BY app, rep, chunk")
+def a3_chunks(spark, d):
+    """Tokens of each type in order, 100 a row: one type of each program holds most of its tokens."""
+    rows = B.tokens(spark, d).withColumn("place", F.struct("source_id", "pos"))
+    found = chunked(rows, ["app", "rep"], "place", 100, ["source_id", "pos", "name"])
+    return found.select("app", "rep", "chunk", F.size("values").cast("long").alias("size"), F.col("values")[0]["source_id"].alias("first_source"), _spelled("values", ",").alias("tokens"))
+
+
 @query("a4_name_stats", f"{B.T3} SELECT * FROM ns")
 def a4(spark, d):
     return _stats(spark, d)
