@@ -6,12 +6,20 @@ digits (secrets, but also long words, digests, names of files), long numbers (ac
 national ids and IBANs, but also dates, book numbers, time stamps, quantities). Four labelers vote yes, no or nothing
 on every candidate and base span of all texts:
 
-* regex      is the value well formed for its kind
+* regex      is the value well formed for its kind (does it pass its check digits, where it has some)
 * gazetteer  is a part of it listed (``Lists``: top-level domains, calling codes, countries of IBANs, issuer digits,
-             names of secrets nearby; book, date and time stamp prefixes against it)
-* context    do the words around speak for or against it
+             names of secrets nearby)
+* context    do the words around speak for or against it (to an account, none for it is one against)
 * edges      does it stand alone, or inside a longer token
 
+Near misses are voted on too, when the model is fitted, and are never spans: matches of the base patterns that fail the
+contract's test (cards with a wrong check digit, parts of addresses above 255, too few or too many digits), names at a
+host without a domain, international account numbers with wrong check digits, and numbers for which neither form, list
+nor context speaks (as accounts). They are the corpus's own negatives of
+the kinds whose base spans are all right: EM takes them as such from the start, since one dissenting labeler would not
+move it, and leaves them out of its prior. Where a corpus has none for a kind, its labelers' rate of right noes is
+unknown (None), not a constant.
+
 Equal vote patterns are counted (at most kinds x 3**4 rows, so they can be collected), expectation-maximisation over
 them estimates each labeler's reliability by kind, and a naive Bayes classifier is trained on the soft labels, from
 counts by feature (again a bounded table). Its features are none that a labeler votes on: length, number of digits and
@@ -63,6 +71,8 @@ MORE = {
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
     "account": r"(?<![A-Za-z0-9+._@-])(?<![0-9] )(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3}(?![A-Za-z0-9]))?+|[0-9](?:[ -]?[0-9]){5,}+)(?![A-Za-z0-9])",
 }
+#: Near misses of the base patterns, beside their matches that fail the test.
+NEAR = {"email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?!\.[A-Za-z0-9-])"}
 MORE_NEEDS = {"email": ("(at)", "[at]"), "phone": ("0",), "secret": ("0",), "account": ("0",)}
 
 
@@ -119,7 +129,7 @@ def _matched(docs: DataFrame, text_col: str) -> DataFrame:
     A pattern only reads texts that hold the sign it needs, and texts are only split where it matches; the steps are
     projections of their own, so that no pattern is evaluated twice.
     """
-    patterns = {f"_{k}": (PATTERNS[k], NEEDS[k]) for k in BASE} | {f"_more_{k}": (MORE[k], MORE_NEEDS[k]) for k in MORE}
+    patterns = {f"_{k}": (PATTERNS[k], NEEDS[k]) for k in BASE} | {f"_more_{k}": (MORE[k], MORE_NEEDS[k]) for k in MORE} | {f"_near_{k}": (NEAR[k], NEEDS[k]) for k in NEAR}
     keep = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(*keep, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     rows = rows.select(*keep, "_text", F.col("_text").rlike("[0-9]").alias("_numbers"))
@@ -149,8 +159,16 @@ def luhn(value: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x - F.when(x > 9, 9).otherwise(0)) % 10 == 0
 
 
+def iban(value: Column) -> Column:
+    """Is the number 1 modulo 97, country and check digits last, letters from A as 10."""
+    signs = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
+    turned = F.concat(F.substring(signs, F.lit(5), F.length(signs)), F.left(signs, F.lit(4)))
+    digit = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + digit(c)) % 97) == 1
+
+
 def _holds(kind: str, value: Column) -> Column:
-    """The contract's test of a match."""
+    """The contract's test of a match; international account numbers have one too."""
     if kind == "ip":
         parts = F.transform(F.split(value, "\\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", ""))
         return F.forall(parts, lambda p: (F.length(p) <= 3) & (p.cast("int") <= 255))
@@ -158,6 +176,8 @@ def _holds(kind: str, value: Column) -> Column:
         return luhn(value)
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
+    if kind == "account":
+        return F.when(value.rlike("^[A-Z]"), iban(value)).otherwise(True)
     return F.lit(True)
 
 
@@ -165,6 +185,10 @@ def _test(kind: str) -> Callable[[Column], Column]:
     return lambda s: _holds(kind, s["value"])
 
 
+def _fails(kind: str) -> Callable[[Column], Column]:
+    return lambda s: ~_holds(kind, s["value"])
+
+
 def _all_of(words: str, text: Column) -> Column:
     return F.lower(text).rlike(f"(?:^|[^a-z])(?:{words})(?:[^a-z]|$)")
 
@@ -174,7 +198,6 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def _listed_vote(kind: str, v: Column, before: Column, lists: Lists) -> Column:
-    digits = _digits(v)
     if kind == "email":
         ends = F.lower(v).rlike(rf"(?:\.|dot[\])] ?)(?:{lists.domains}|[a-z]{{2}})$")
         return _vote(ends, ~ends)
@@ -189,12 +212,17 @@ def _listed_vote(kind: str, v: Column, before: Column, lists: Lists) -> Column:
     if kind == "secret":
         named = _all_of(lists.secret_names, before)
         return _vote(named, ~named)
-    no = digits.rlike("^(?:97[89][0-9]{10}|1[0-9]{9}|1[0-9]{12}|(?:19|20)[0-9]{6})$|0{5}$")
-    return _vote(v.rlike(rf"^(?:{lists.countries})[0-9]") | (F.length(digits).between(13, 19) & digits.rlike("^[3-6]") & ~no), no)
+    listed = v.rlike(rf"^(?:{lists.countries})[0-9]")
+    return _vote(listed, ~listed & ~v.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))
+
+
+def _context_vote(kind: str, around: Column) -> Column:
+    speaks = _all_of(FOR[kind], around)
+    return _vote(speaks, ~speaks if kind == "account" else _all_of(AGAINST[kind], around))
 
 
-def _described(kind: str, spans: Column, base: bool, lists: Lists) -> Column:
-    """Spans with what the labelers and the classifier look at."""
+def _described(kind: str, spans: Column, base: bool, lists: Lists, near: bool = False) -> Column:
+    """Spans with what the labelers and the classifier look at; near misses are not well formed, whatever their shape."""
 
     def one(s: Column) -> Column:
         v, before, after = s["value"], s["before"], s["after"]
@@ -207,8 +235,10 @@ def _described(kind: str, spans: Column, base: bool, lists: Lists) -> Column:
             "card": digits.isin(13, 14, 15, 16, 19),
             "phone": digits.between(10, 15),
             "secret": (digits >= 4) & (letters >= 4) & ~v.rlike("[-_]{2}|^[A-Za-z]+[-_]?[0-9]*$|^[0-9-]*$"),
-            "account": digits.between(12, 19) | v.rlike("^[A-Z]|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
+            "account": v.rlike("^[A-Z]|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         }[kind]
+        formless = digits.between(9, 19) & ~v.rlike("^[A-Z]") if kind == "account" else F.lit(False)  # no check digits to go by
+        formed = F.lit(0) if near else _vote(shape, ~shape & ~formless)
         around = F.concat(before, F.lit(" "), after)
         glued = last.rlike("[A-Za-z0-9]") | next_.rlike("[A-Za-z0-9]")
         alone = (last == "") | last.rlike("[\\s\"'(:=<\\[]")
@@ -232,7 +262,8 @@ def _described(kind: str, spans: Column, base: bool, lists: Lists) -> Column:
             s["start"].alias("start"),
             s["end"].alias("end"),
             F.lit(base).alias("base"),
-            F.array(_vote(shape, ~shape), _listed_vote(kind, v, before, lists), _vote(_all_of(FOR[kind], around), _all_of(AGAINST[kind], around)), _vote(alone & ~glued, glued)).alias("votes"),
+            F.lit(near).alias("missed"),
+            F.array(formed, _listed_vote(kind, v, before, lists), _context_vote(kind, around), _vote(alone & ~glued, glued)).alias("votes"),
             F.array(*[(buckets[f] + offsets[f]).cast("int") for f in FEATURES]).alias("features"),
         )
 
@@ -244,12 +275,18 @@ def _sign(c: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str = "text", lists: Lists = Lists()) -> DataFrame:  # noqa: B008
-    """``docs`` with ``_base`` and ``_extra``: described base spans, and candidates that overlap none of them."""
+    """``docs`` with ``_base``, ``_extra`` and ``_missed``: described base spans, candidates that overlap none of them, and near
+    misses of base spans."""
     raw = _matched(docs, text_col)
     keep = [F.col(f"`{c}`") for c in docs.columns]
     base = F.concat(*[_described(k, F.filter(f"_{k}", _test(k)), True, lists) for k in BASE])
-    extra = F.concat(*[_described(k, F.col(f"_more_{k}"), False, lists) for k in MORE])
-    both = raw.select(*keep, base.alias("_base"), extra.alias("_wide"))
+    raw = raw.select("*", _described("account", F.filter("_more_account", _test("account")), False, lists).alias("_numbers"))
+    spoken = lambda s: F.array_max(F.slice(s["votes"], 1, 3)) == 1
+    asked = {k: _described(k, F.col(f"_more_{k}"), False, lists) for k in MORE if k != "account"} | {"account": F.filter("_numbers", spoken)}
+    failed = {k: F.filter(f"_{k}", _fails(k)) for k in BASE if k not in NEAR} | {k: F.col(f"_near_{k}") for k in NEAR} | {"account": F.filter("_more_account", _fails("account"))}
+    silent = F.transform(F.filter("_numbers", lambda s: ~spoken(s)), lambda s: s.withField("missed", F.lit(True)))
+    missed = F.concat(*[_described(k, a, False, lists, near=True) for k, a in failed.items()], silent)
+    both = raw.select(*keep, base.alias("_base"), F.concat(*asked.values()).alias("_wide"), missed.alias("_missed"))
     order = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s.alias("span")))
     some = (F.size("_base") > 0) & (F.size("_wide") > 0)
     sorted_ = both.select("*", F.when(some, F.array_sort(F.concat(order(F.col("_base")), order(F.col("_wide"))))).alias("_all"))
@@ -257,23 +294,25 @@ def candidates(docs: DataFrame, text_col: str = "text", lists: Lists = Lists())
     starts = F.reverse(running(F.reverse(F.transform("_all", lambda s: F.when(s["base"], s["start"]).otherwise((1 << 31) - 1))), F.least))
     apart = sorted_.select("*", ends.alias("_ends"), starts.alias("_starts"))
     free = F.filter("_all", lambda s, i: ~s["base"] & (F.get(F.col("_ends"), i) <= s["start"]) & (F.get(F.col("_starts"), i) >= s["end"]))
-    return apart.select(*keep, "_base", F.when(some, F.transform(free, lambda s: s["span"])).otherwise(F.col("_wide")).alias("_extra"))
+    return apart.select(*keep, "_base", F.when(some, F.transform(free, lambda s: s["span"])).otherwise(F.col("_wide")).alias("_extra"), "_missed")
 
 
 class Model(NamedTuple):
-    """Reliabilities by (kind, labeler) and the classifier's log odds by kind and by (kind, feature)."""
+    """Reliabilities by (kind, labeler), P(yes | positive) and P(no | negative), None where EM found no such span, and the
+    classifier's log odds by kind and by (kind, feature)."""
 
     reliability: dict
     prior: dict
     weight: dict
 
 
-def expectation_maximisation(patterns: list[tuple], rounds: int = ROUNDS) -> tuple[float, list[list[dict]], dict]:
-    """Dawid and Skene's estimate for one kind, from (votes, count): prior, P(vote | class) by labeler, posterior by pattern."""
+def expectation_maximisation(patterns: list[tuple], rounds: int = ROUNDS, misses: list[tuple] = ()) -> tuple[float, list[list[dict]], dict]:
+    """Dawid and Skene's estimate for one kind, from (votes, count): prior, P(vote | class) by labeler, posterior by pattern.
+    ``misses`` are counts of spans that are known to be none."""
     post = {v: (sum(x == 1 for x in v) + 0.5) / (sum(x >= 0 for x in v) + 1) for v, _ in patterns}
     prior, table_ = 0.5, []
+    total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
         yes = sum(post[v] * n for v, n in patterns)
         prior = (yes + 1) / (total + 2)
         table_ = []
@@ -283,6 +322,8 @@ def expectation_maximisation(patterns: list[tuple], rounds: int = ROUNDS) -> tup
                 mass = {x: 1.0 + (2.0 if x == c else 0.0) for x in (-1, 0, 1)}  # a labeler is taken to be better than chance
                 for v, n in patterns:
                     mass[v[j]] += n * (post[v] if c else 1 - post[v])
+                for v, n in misses if c == 0 else ():
+                    mass[v[j]] += n
                 rates.append({x: m / sum(mass.values()) for x, m in mass.items()})
             table_.append(rates)
         for v, _ in patterns:
@@ -293,27 +334,30 @@ def expectation_maximisation(patterns: list[tuple], rounds: int = ROUNDS) -> tup
 
 def fit(docs: DataFrame, text_col: str = "text", lists: Lists = Lists()) -> Model:  # noqa: B008
     """The model from all texts of ``docs``: one pass, then two small aggregates of it."""
-    spans = candidates(docs.select(docs[f"`{text_col}`"].alias("c0")), "c0", lists).select(F.explode(F.concat("_base", "_extra")).alias("s"))
-    counts = spans.select("s.kind", "s.votes", F.explode(F.concat(F.array(F.lit(-1)), "s.features")).alias("feature")).groupBy("kind", "votes", "feature").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.collect()  # at most kinds x 3**4 patterns x (WIDTH + 1); feature -1 counts the spans
+    spans = candidates(docs.select(docs[f"`{text_col}`"].alias("c0")), "c0", lists).select(F.explode(F.concat("_base", "_extra", "_missed")).alias("s"))
+    counts = spans.select("s.kind", "s.missed", "s.votes", F.explode(F.concat(F.array(F.lit(-1)), "s.features")).alias("feature")).groupBy("kind", "missed", "votes", "feature").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.collect()  # at most 2 x kinds x 3**4 patterns x (WIDTH + 1); feature -1 counts the spans
     reliability, prior, weight = {}, {}, {}
     for kind in KINDS:
-        here = [(tuple(r["votes"]), r["feature"], r["n"]) for r in rows if r["kind"] == kind]
-        patterns = {v: n for v, f, n in here if f < 0}
-        if not patterns:
+        here = [(tuple(r["votes"]), r["missed"], r["feature"], r["n"]) for r in rows if r["kind"] == kind]
+        counted = lambda missed: sorted((v, n) for v, m, f, n in here if f < 0 and m == missed)  # noqa: E731, B023
+        asked, misses = counted(False), counted(True)
+        if not asked:
             continue
-        p, rates, post = expectation_maximisation(sorted(patterns.items()))
-        total, yes = sum(patterns.values()), sum(post[v] * n for v, n in patterns.items())
-        reliability |= {(kind, name): (rates[j][1][1], rates[j][0][0]) for j, name in enumerate(LABELERS)}
-        prior[kind] = log((yes + 1) / (total - yes + 1))
+        _, rates, post = expectation_maximisation(asked, misses=misses)
+        yes = sum(post[v] * n for v, n in asked)
+        no = sum((1 - post[v]) * n for v, n in asked) + sum(n for _, n in misses)
+        prior[kind] = log((yes + 1) / (no + 1))
+        reliability |= {(kind, name): (rates[j][1][1] if yes >= 1 else None, rates[j][0][0] if no >= 1 else None) for j, name in enumerate(LABELERS)}
         sums: dict[int, list[float]] = {}
-        for v, f, n in here:
+        for v, missed, f, n in here:
             if f >= 0:
+                on = 0.0 if missed else post[v]
                 got = sums.setdefault(f, [0.0, 0.0])
-                got[0] += n * (1 - post[v])
-                got[1] += n * post[v]
-        for f, (no, on) in sums.items():
-            weight[kind, f] = log((on + 0.5) / (yes + 1)) - log((no + 0.5) / (total - yes + 1))
+                got[0] += n * (1 - on)
+                got[1] += n * on
+        for f, (off, on) in sums.items():
+            weight[kind, f] = log((on + 0.5) / (yes + 1)) - log((off + 0.5) / (no + 1))
     return Model(reliability, prior, weight)
 
 
