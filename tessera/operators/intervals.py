@@ -22,6 +22,7 @@ def _size(start: Column, end: Column) -> Column:
 def holding(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
     """Points with every interval of their keys that holds them, both ends included. Columns other than keys do not clash."""
     where = F.col(at).cast("long")
-    offered = points.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("_size"), F.shiftright(where, k).alias("_bin")) for k in SIZES])))
+    sizes = points.sparkSession.range(0, len(SIZES), 1, 1).select(F.col("id").cast("int").alias("_size"))  # joined, so that the planner sees points grow
+    offered = points.crossJoin(F.broadcast(sizes)).withColumn("_bin", F.call_function("shiftright", where, F.col("_size")))
     placed = intervals.withColumn("_size", _size(F.col(start), F.col(end))).withColumn("_bin", F.expr(f"shiftright(CAST({start} AS BIGINT), _size)"))
     return offered.join(placed, [*keys, "_size", "_bin"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_size", "_bin")
