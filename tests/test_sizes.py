@@ -1,10 +1,13 @@
 """Trees are many times the size of the tables they are drawn from: nothing as large as they are may be broadcast."""
 
+import re
+
 import pytest
 
 from tessera.jobs import ast_bindings as A
 from tessera.jobs import ast_jobs as J
 from tessera.operators import constraints as C
+from tessera.operators import names as N
 from tests.trees import name, node, number, program, stmt
 
 
@@ -34,3 +37,29 @@ def test_case_asks_for_the_value_its_switch_looks_at(spark):
     found = C.void(ast, C.primitive(ast)).join(named, "node_id").collect()
     assert {r["name"]: r["void"] for r in found if r["name"] != "s"} == {"a": True, "v": False, "b": False}
     assert all(r["void"] for r in found if r["name"] == "s")
+
+
+def shuffled(df):
+    """The columns that each exchange of the plan moves."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", df._jdf.queryExecution().explainString(mode))
+
+
+@pytest.mark.parametrize("every, tenth", [(A.STATEMENT, A.CALL), (A.OPERATORS, A.UNUSED), (A.CLASSES, A.ACCESSORS)])
+def test_no_ancestors_are_shuffled(spark, sf, every, tenth):
+    trees = A.trees(spark, sf, every, tenth)
+    decls = A.decls(trees)
+    scopes = N.resolve_scope(N.classify_names(trees), decls).select(*N.NODE, "scope_id")
+    for found in (scopes, C.constraints(trees, decls)):
+        assert shuffled(found)
+        assert not [x for x in shuffled(found) if "ancestors" in x]
+
+
+def test_values_of_asked_nodes_only(spark, sf):
+    """Asked for or not, a node's value is the same; nodes that are not asked for are not pushed to."""
+    trees = A.trees(spark, sf, A.OPERATORS, A.UNUSED)
+    asked = lambda kind, role, above: kind.isin("Assignment", "InfixExpression")
+    whole = C.primitive(trees).join(trees.where("kind IN ('Assignment', 'InfixExpression')").select(*N.NODE), N.NODE)
+    found = C.primitive(trees, asked)
+    assert found.count() > 0
+    assert sorted(found.collect()) == sorted(whole.select(found.columns).collect())
