@@ -10,17 +10,19 @@ from tessera.runtime import table
 REP_MODULUS = 16
 
 
-def tokens(spark: SparkSession, sf_dir: str, modulus: int = REP_MODULUS) -> DataFrame:
-    """Distinct (app, name, rep, obj, source_id, pos): one big type class and three small ones for each name."""
+def tokens(spark: SparkSession, sf_dir: str, modulus: int = REP_MODULUS, by: str | None = None) -> DataFrame:
+    """Distinct (app, name, rep, obj, source_id, pos): one big type class and three small ones for each name.
+    ``by`` names a column to deal rows out by before they are made distinct."""
     item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return item.select(
+    rows = item.select(
         F.concat("l_returnflag", "l_linestatus").alias("app"),
         F.concat(F.lit("p"), (F.col("l_partkey") % 1000).cast("string")).alias("name"),
         F.least(F.col("l_suppkey") % modulus, F.lit(3)).alias("rep"),
         F.col("l_suppkey").alias("obj"),
         F.col("l_orderkey").alias("source_id"),
         ((F.col("l_linenumber") * 100000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).cast("long").alias("pos"),
-    ).distinct()
+    )
+    return (rows.repartition(by) if by else rows).distinct()
 
 
 def token_sql(modulus: int = REP_MODULUS, name: str = "tok") -> str:

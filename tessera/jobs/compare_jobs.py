@@ -102,8 +102,9 @@ _CHAINED = (
 
 
 def _chained(spark: SparkSession, d: str) -> DataFrame:
-    tok = B.tokens(spark, d)
-    return tok.drop("obj").where("source_id % 10 != 0").join(tok.select("source_id", "obj").distinct(), "source_id").distinct()
+    """Line items go to their source once; there they are made distinct and meet its objects."""
+    tok = B.tokens(spark, d, by="source_id")
+    return tok.drop("obj").where("source_id % 10 != 0").distinct().join(tok.select("source_id", "obj").distinct(), "source_id")
 
 
 @query("a18_chained_components", f"{_CHAINED} SELECT {_TEXT} FROM la")

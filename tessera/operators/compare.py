@@ -5,10 +5,13 @@ Groups are given by token: (app, name, item, rep), rep being the group's first i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components
+from tessera.operators.graph import by_size, connected_components, tied
+from tessera.runtime import small, written
 
 KEYS = ["app", "name"]
 
@@ -20,12 +23,17 @@ def token_heads(tokens: DataFrame) -> DataFrame:
     return tokens.join(heads, [*KEYS, "rep"]).select(*KEYS, item.alias("item"), F.col("head").alias("rep"))
 
 
-def non_subset_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(app, name, rep, item): pairs together in ``small`` but apart in ``large``; missing there is one place of its own."""
+def _apart(inner: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs together in ``inner`` but apart in ``large``, with their groups there, _r1 and _r2, null where one is missing."""
     a = large.select(*KEYS, F.col("item").alias("rep"), F.col("rep").alias("_r1"))
     b = large.select(*KEYS, "item", F.col("rep").alias("_r2"))
-    joined = small.join(a, [*KEYS, "rep"], "left").join(b, [*KEYS, "item"], "left")
-    return joined.where(~F.col("_r1").eqNullSafe(F.col("_r2"))).select(*KEYS, "rep", "item")
+    joined = inner.join(a, [*KEYS, "rep"], "left").join(b, [*KEYS, "item"], "left")
+    return joined.where(~F.col("_r1").eqNullSafe(F.col("_r2")))
+
+
+def non_subset_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(app, name, rep, item): pairs together in ``small`` but apart in ``large``; missing there is one place of its own."""
+    return _apart(small, large).select(*KEYS, "rep", "item")
 
 
 def is_subset(small: DataFrame, large: DataFrame) -> DataFrame:
@@ -57,12 +65,18 @@ def flows_to(aliases: DataFrame) -> DataFrame:
 def dynamic_components(token_objects: DataFrame) -> DataFrame:
     """(app, name, item, rep): tokens of a name that share an object are together, through any chain.
 
-    Each object ties its tokens to the least of them: a star, however many tokens it has.
+    Names of few rows are dealt out by name. In the others each object ties its tokens to the least of them: a star, however
+    many tokens it has.
     """
-    rows = token_objects.select(*KEYS, "obj", F.struct("source_id", "pos").alias("item"))
+    few, wide = by_size(written(token_objects.select(*KEYS, "obj", F.struct("source_id", "pos").alias("item"))), KEYS)
+    parts = [tied(few, KEYS, "item", "obj")] if few is not None else []
+    return reduce(DataFrame.unionByName, [*parts, *([_by_stars(wide)] if wide is not None else [])]).withColumnRenamed("node", "item")
+
+
+def _by_stars(rows: DataFrame) -> DataFrame:
     least = rows.groupBy(*KEYS, "obj").agg(F.min("item").alias("src"))
     edges = rows.join(least, [*KEYS, "obj"]).select(*KEYS, "src", F.col("item").alias("dst")).distinct()
-    return connected_components(edges, "src", "dst", KEYS).withColumnRenamed("node", "item")
+    return connected_components(edges, "src", "dst", KEYS)
 
 
 def suspicious_static_pairs(static: DataFrame, dynamic: DataFrame, show_dead: bool = False) -> DataFrame:
@@ -70,11 +84,10 @@ def suspicious_static_pairs(static: DataFrame, dynamic: DataFrame, show_dead: bo
 
     Only names with a live token; a pair is dead when one of its tokens has no object, and dead ones are hidden by default.
     """
-    live = dynamic.select(*KEYS, "item").distinct()
-    pairs = non_subset_pairs(static.join(live.select(*KEYS).distinct(), KEYS, "left_semi"), dynamic)
-    head, item = live.select(*KEYS, F.col("item").alias("rep"), F.lit(True).alias("_a")), live.select(*KEYS, "item", F.lit(True).alias("_b"))
-    marked = pairs.join(head, [*KEYS, "rep"], "left").join(item, [*KEYS, "item"], "left")
-    marked = marked.select(*KEYS, "rep", "item", (F.col("_a").isNull() | F.col("_b").isNull()).alias("dead"))
+    dynamic = written(dynamic)  # met three times
+    names = small(dynamic.select(*KEYS).distinct())
+    marked = _apart(static.join(names, KEYS, "left_semi"), dynamic)
+    marked = marked.select(*KEYS, "rep", "item", (F.col("_r1").isNull() | F.col("_r2").isNull()).alias("dead"))
     return marked if show_dead else marked.where(~F.col("dead"))
 
 

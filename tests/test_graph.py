@@ -37,6 +37,34 @@ def test_components(spark, few):
     assert found == want
 
 
+def test_components_of_many_keys(spark, monkeypatch):
+    """Keys of few pairs are dealt out by key and need no rounds; a key of many goes by rounds."""
+    from tessera.operators import compare
+
+    rng = random.Random(5)
+    pairs = sorted({(k, rng.randrange(12), rng.randrange(12)) for k in range(30) for _ in range(9)}) + [(None, 1, 2), (None, 2, 3)]
+    wide = [(77, x, x + 1) for x in range(60)]
+    want = lambda rows: {(k, n): r for k in {x[0] for x in rows} for n, r in plain_components([x[1:] for x in rows if x[0] == k]).items()}
+    monkeypatch.setattr(G, "FEW", 5)
+    found = G.connected_components(spark.createDataFrame([*pairs, *wide], "k int, src string, dst string").where("k IS NOT NULL"), keys=["k"])
+    told = [(k, str(a), str(b)) for k, a, b in [*pairs, *wide] if k is not None]
+    assert {(r["k"], r["node"]): r["rep"] for r in found.collect()} == want(told)
+    tied = G.tied(spark.createDataFrame(pairs, "k int, src int, dst int"), ["k"], "src", "dst", both=True)
+    assert {(r["k"], r["node"]): r["rep"] for r in tied.collect()} == want(pairs)
+
+    # tokens (node, 0) of objects: the same as components of the pairs of tokens and objects
+    objects = [("a", f"n{k % 3}", n, 0, 100 * k + o) for k, n, o in pairs if k is not None]
+    up = {}
+    for _ in range(20):
+        for _, name, n, _, o in objects:
+            up[name, n] = up[name, -o - 1] = min(up.get((name, n), n), up.get((name, -o - 1), n))
+    rows = spark.createDataFrame(objects, "app string, name string, source_id int, pos int, obj int")
+    monkeypatch.setattr(G, "_by_rounds", None)  # not needed
+    monkeypatch.setattr(G, "FEW", 100)
+    found = compare.dynamic_components(rows)
+    assert {(r["name"], r["item"][0]): r["rep"][0] for r in found.collect()} == {x: r for x, r in up.items() if x[1] >= 0}
+
+
 def plain_strong(edges):
     reach = {}
     for start in {x for e in edges for x in e}:
