@@ -63,3 +63,11 @@ def test_values_of_asked_nodes_only(spark, sf):
     found = C.primitive(trees, asked)
     assert found.count() > 0
     assert sorted(found.collect()) == sorted(whole.select(found.columns).collect())
+
+
+def test_suspicious_pairs_make_components_once(spark, sf):
+    """Their plan reads the components, which it meets several times, and does not make them anew each time."""
+    from tessera.jobs import compare_jobs as P
+
+    for name in ("j10_suspicious_pairs", "j10_chained_pairs"):
+        assert "MapInArrow" not in planned(P.QUERIES[name](spark, sf))
