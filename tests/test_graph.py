@@ -65,6 +65,23 @@ def test_components_of_many_keys(spark, monkeypatch):
     assert {(r["name"], r["item"][0]): r["rep"][0] for r in found.collect()} == {x: r for x, r in up.items() if x[1] >= 0}
 
 
+def test_reachable_makes_edges_once(spark, monkeypatch):
+    """However many rounds there are, and whether or not parts of the result are put together."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    pairs = [(k, k + 1) for k in range(8)] + [(20, 21)]
+    edges = spark.createDataFrame(pairs, "src int, dst int").mapInArrow(counted, "src int, dst int")
+    monkeypatch.setattr(G, "PARTS", 2)
+    found = G.reachable(spark.createDataFrame([(2,), (5,)], "node int"), edges)
+    assert sorted(r["node"] for r in found.collect()) == list(range(2, 9))
+    assert made.value == len(pairs)
+
+
 def plain_strong(edges):
     reach = {}
     for start in {x for e in edges for x in e}:
