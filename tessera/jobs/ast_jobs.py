@@ -110,7 +110,7 @@ def n13(spark, d):
 
 
 def _first_kill(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ast = A.ast(spark, d)
+    ast = A.trees(spark, d)
     keys = ast.select("app", "source_id", F.lit(0).alias("trial"), F.lit(2).alias("ordinal")).distinct()
     return ast, N.declared_functions_ordinals(ast, keys)
 
@@ -268,7 +268,7 @@ _KILLED = _kill_sql("SELECT app, user_id AS source_id, base + 12 AS node_id, 8 A
 @query("e13_random_kill_set", f"WITH RECURSIVE {A.SQL_EVENTS}, {_KILLED} SELECT app, CAST(trial AS INTEGER) AS trial, source_id, node_id FROM w WHERE node_id IS NOT NULL")
 def e13(spark, d):
     """Every event calls a function at once, which stays; every tenth declares one with another inside."""
-    return N.random_kill_set(A.ast(spark, d, A.CALL, A.NESTED), 3, 0.5)
+    return N.random_kill_set(A.trees(spark, d, A.CALL, A.NESTED), 3, 0.5)
 
 
 def _parts_sql(links: str) -> str:

@@ -7,9 +7,9 @@ with id, kind, role, op).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,21 +154,41 @@ def declared_functions_ordinals(ast: DataFrame, kill_keys: DataFrame) -> DataFra
     functions = _extents(ast).select(*NODE, "last")
     keys = kill_keys.groupBy("app", "trial", "source_id").agg(F.collect_set("ordinal").alias("ordinals"))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        out, dead, n = [], -1, 2
-        wanted = set(group["ordinals"].iloc[0]) if len(group) else set()
-        for row in group.drop(columns="ordinals").sort_values("node_id").itertuples():
-            if row.node_id <= dead:
-                continue
-            if n in wanted:
-                dead = row.last
-                out.append((row.app, row.trial, row.source_id, row.node_id))
-            n += 1
-        return pd.DataFrame(out, columns=["app", "trial", "source_id", "node_id"])
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        source = None
+        for app, trial, source_id, node_id, last, ordinals in rows:
+            if (app, trial, source_id) != source:
+                source, dead, n, wanted = (app, trial, source_id), -1, 2, set(ordinals)
+            if node_id > dead:
+                if n in wanted:
+                    dead = last
+                    yield app, trial, source_id, node_id
+                n += 1
 
     joined = functions.join(dealt(keys), ["app", "source_id"])
-    schema = f"app {joined.schema['app'].dataType.simpleString()}, trial {joined.schema['trial'].dataType.simpleString()}, source_id {joined.schema['source_id'].dataType.simpleString()}, node_id long"
-    return joined.groupBy("app", "trial", "source_id").applyInPandas(walk, schema)
+    return _in_order(joined.select("app", "trial", "source_id", "node_id", "last", "ordinals"), walk)
+
+
+def _in_order(functions: DataFrame, walk: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """(app, trial, source_id, node_id) that a walk finds: a task has its trials of sources one after the other, functions in
+    preorder, and no more than a batch of them at a time. These are the first columns."""
+    kept = ["app", "trial", "source_id", "node_id"]
+    schema = T.StructType([functions.schema[c] for c in kept])
+
+    def walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = [f.type for f in batch.schema][: len(kept)]
+                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+        found = walk(rows())
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*some, strict=True), types, strict=True)], kept)
+
+    dealt_out = functions.repartition(partitions(functions.sparkSession), *kept[:3]).sortWithinPartitions(*kept)
+    return dealt_out.mapInArrow(walk_batches, schema)
 
 
 def _extents(ast: DataFrame) -> DataFrame:
@@ -219,21 +239,17 @@ def random_kill_set(ast: DataFrame, trials: int, ratio: float, seed: int = 0) ->
     drawn = F.md5(F.concat_ws("/", F.lit(seed), "app", F.col("source_id").cast("string"), F.col("node_id").cast("string"), F.col("trial").cast("string")).cast("binary"))
     rows = rows.withColumn("chance", F.conv(F.substring(drawn, 1, 7), 16, 10).cast("double") / float(1 << 28))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        out, dead = [], -1
-        left = total = int(group["total"].iloc[0]) if len(group) else 0
-        need = total * (1 - ratio)
-        for row in group.sort_values("node_id").itertuples():
-            if row.node_id <= dead:
-                out.append((row.app, row.trial, row.source_id, row.node_id))
-            elif not row.one_shot and need > 0 and row.size < total / 2:
-                kills, left = row.chance * left < need, left - row.size
+    def walk(found: Iterator[tuple]) -> Iterator[tuple]:
+        source = None
+        for app, trial, source_id, node_id, one_shot, size, last, total, chance in found:
+            if (app, trial, source_id) != source:
+                source, dead, left, need = (app, trial, source_id), -1, total, total * (1 - ratio)
+            if node_id <= dead:
+                yield app, trial, source_id, node_id
+            elif not one_shot and need > 0 and size < total / 2:
+                kills, left = chance * left < need, left - size
                 if kills:
-                    need = max(0, need - row.size)
-                    dead = row.last
-                    out.append((row.app, row.trial, row.source_id, row.node_id))
-        return pd.DataFrame(out, columns=["app", "trial", "source_id", "node_id"])
-
-    source = rows.schema["source_id"].dataType.simpleString()
-    return rows.groupBy("app", "trial", "source_id").applyInPandas(walk, f"app string, trial int, source_id {source}, node_id long")
+                    need, dead = max(0, need - size), last
+                    yield app, trial, source_id, node_id
 
+    return _in_order(rows.select("app", "trial", "source_id", "node_id", "one_shot", "size", "last", "total", "chance"), walk)

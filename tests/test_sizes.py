@@ -71,3 +71,10 @@ def test_suspicious_pairs_make_components_once(spark, sf):
 
     for name in ("j10_suspicious_pairs", "j10_chained_pairs"):
         assert "MapInArrow" not in planned(P.QUERIES[name](spark, sf))
+
+
+def test_functions_are_walked_without_a_call_for_each_source(spark, sf):
+    for name in ("e13_random_kill_set", "n14_killed_functions"):
+        plan = planned(J.QUERIES[name](spark, sf))
+        assert "MapInArrow" in plan
+        assert "InPandas" not in plan
