@@ -12,7 +12,7 @@ from tessera.operators import compare as C
 from tessera.operators import edits as E
 from tessera.operators import html as H
 from tessera.operators import tokens as K
-from tessera.runtime import folder, table
+from tessera.runtime import folder, table, written
 from tessera.sources import files as S
 
 QUERIES: dict[str, Q] = {}
@@ -38,7 +38,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def heads(spark: SparkSession, d: str, modulus: int) -> DataFrame:
-    return C.token_heads(B.tokens(spark, d, modulus))
+    return C.token_heads(written(B.tokens(spark, d, modulus)))
 
 
 def _heads_sql(name: str, tok: str) -> str:
@@ -82,8 +82,8 @@ def a18(spark, d):
 
 @query("j10_suspicious_pairs", f"{B.T3}, {_DYN}, {_heads_sql('sm', 'tok')}, la AS (SELECT app, name, item, min(item) OVER (PARTITION BY app, name, obj) AS rep FROM dt), {_NOT_IN}, lv AS (SELECT DISTINCT app, name, item FROM dt) SELECT {_TEXT}, x.dead FROM (SELECT np.*, (app, name, rep) NOT IN (SELECT (app, name, item) FROM lv) OR (app, name, item) NOT IN (SELECT (app, name, item) FROM lv) AS dead FROM np WHERE (app, name) IN (SELECT (app, name) FROM lv)) x")
 def j10(spark, d):
-    dynamic = C.dynamic_components(_dynamic(spark, d))
-    return _pairs(C.suspicious_static_pairs(heads(spark, d, 16), dynamic, show_dead=True))
+    tok = written(B.tokens(spark, d))
+    return _pairs(C.suspicious_static_pairs(C.token_heads(tok), C.dynamic_components(tok.where(_RUN)), show_dead=True))
 
 
 @query("a14_token_coverage", f"{B.T3} SELECT app, 100.0 * count(*) FILTER ({_RUN}) / count(*) AS coverage FROM tok GROUP BY app")
@@ -108,15 +108,22 @@ def _chained(spark: SparkSession, d: str, by: str | None = "source_id") -> DataF
     return tok.drop("obj").where("source_id % 10 != 0").distinct().join(tok.select("source_id", "obj").distinct(), "source_id")
 
 
+def _chained_lists(tok: DataFrame) -> DataFrame:
+    """The same with the objects of a token in one list, of distinct tokens that are dealt by source."""
+    lists = tok.groupBy("source_id").agg(F.collect_set("obj").alias("objs"))
+    return tok.drop("obj").where("source_id % 10 != 0").distinct().join(lists, "source_id")
+
+
 @query("a18_chained_components", f"{_CHAINED} SELECT {_TEXT} FROM la")
 def a18_chained(spark, d):
     """Tokens have several objects, so components chain."""
-    return _pairs(C.dynamic_components(_chained(spark, d)))
+    return _pairs(C.dynamic_components(_chained_lists(B.tokens(spark, d, by="source_id"))))
 
 
 @query("j10_chained_pairs", f"{_CHAINED}, {_heads_sql('sm', 'tok')}, {_NOT_IN}, lv AS (SELECT DISTINCT app, name, item FROM dt) SELECT {_TEXT}, x.dead FROM (SELECT np.*, (app, name, rep) NOT IN (SELECT (app, name, item) FROM lv) OR (app, name, item) NOT IN (SELECT (app, name, item) FROM lv) AS dead FROM np WHERE (app, name) IN (SELECT (app, name) FROM lv)) x")
 def j10_chained(spark, d):
-    return _pairs(C.suspicious_static_pairs(heads(spark, d, 16), C.dynamic_components(_chained(spark, d)), show_dead=True))
+    tok = written(B.tokens(spark, d))
+    return _pairs(C.suspicious_static_pairs(C.token_heads(tok), C.dynamic_components(_chained_lists(tok.repartition("source_id"))), show_dead=True))
 
 
 @query("a14_chained_coverage", f"{_CHAINED} SELECT app, 100.0 * count(*) FILTER ((app, name, (source_id, pos)) IN (SELECT (app, name, item) FROM dt)) / count(*) AS coverage FROM tok GROUP BY app")

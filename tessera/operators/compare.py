@@ -17,23 +17,19 @@ KEYS = ["app", "name"]
 
 
 def token_heads(tokens: DataFrame) -> DataFrame:
-    """(app, name, item, rep): every token with the least token of its group; the head is joined back, not windowed."""
+    """(app, name, item, rep): every token with the least token of its group; the head is joined back, not windowed. Heads
+    are counted and, if few, come to the tokens, which are read twice: give written ones."""
     item = F.struct("source_id", "pos")
-    heads = tokens.groupBy(*KEYS, "rep").agg(F.min(item).alias("head"))
+    heads = small(written(tokens.groupBy(*KEYS, "rep").agg(F.min(item).alias("head"))))
     return tokens.join(heads, [*KEYS, "rep"]).select(*KEYS, item.alias("item"), F.col("head").alias("rep"))
 
 
-def _apart(inner: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs together in ``inner`` but apart in ``large``, with their groups there, _r1 and _r2, null where one is missing."""
-    a = large.select(*KEYS, F.col("item").alias("rep"), F.col("rep").alias("_r1"))
-    b = large.select(*KEYS, "item", F.col("rep").alias("_r2"))
-    joined = inner.join(a, [*KEYS, "rep"], "left").join(b, [*KEYS, "item"], "left")
-    return joined.where(~F.col("_r1").eqNullSafe(F.col("_r2")))
-
-
 def non_subset_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     """(app, name, rep, item): pairs together in ``small`` but apart in ``large``; missing there is one place of its own."""
-    return _apart(small, large).select(*KEYS, "rep", "item")
+    a = large.select(*KEYS, F.col("item").alias("rep"), F.col("rep").alias("_r1"))
+    b = large.select(*KEYS, "item", F.col("rep").alias("_r2"))
+    joined = small.join(a, [*KEYS, "rep"], "left").join(b, [*KEYS, "item"], "left")
+    return joined.where(~F.col("_r1").eqNullSafe(F.col("_r2"))).select(*KEYS, "rep", "item")
 
 
 def is_subset(small: DataFrame, large: DataFrame) -> DataFrame:
@@ -63,14 +59,20 @@ def flows_to(aliases: DataFrame) -> DataFrame:
 
 
 def dynamic_components(token_objects: DataFrame) -> DataFrame:
-    """(app, name, item, rep): tokens of a name that share an object are together, through any chain.
+    """(app, name, item, rep): tokens of a name that share an object are together, through any chain. A token comes in a row
+    for each obj, or in one with the list objs.
 
     Names of few rows are dealt out by name. In the others each object ties its tokens to the least of them: a star, however
     many tokens it has.
     """
-    few, wide = by_size(written(token_objects.select(*KEYS, "obj", F.struct("source_id", "pos").alias("item"))), KEYS)
-    parts = [tied(few, KEYS, "item", "obj")] if few is not None else []
-    return reduce(DataFrame.unionByName, [*parts, *([_by_stars(wide)] if wide is not None else [])]).withColumnRenamed("node", "item")
+    lists = "objs" in token_objects.columns
+    ties = "objs" if lists else "obj"
+    rows = written(token_objects.select(*KEYS, ties, F.struct("source_id", "pos").alias("item")))
+    few, wide = by_size(rows, KEYS, F.size(ties) if lists else None)
+    parts = [tied(few, KEYS, "item", ties)] if few is not None else []
+    if wide is not None:
+        parts.append(_by_stars(wide.select(*KEYS, F.explode(ties).alias("obj"), "item") if lists else wide))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("node", "item")
 
 
 def _by_stars(rows: DataFrame) -> DataFrame:
@@ -86,7 +88,12 @@ def suspicious_static_pairs(static: DataFrame, dynamic: DataFrame, show_dead: bo
     """
     dynamic = written(dynamic)  # met three times
     names = small(dynamic.select(*KEYS).distinct())
-    marked = _apart(static.join(names, KEYS, "left_semi"), dynamic)
+    static = static.join(names, KEYS, "left_semi")
+    # heads are as few as groups: only they are looked for as heads, and tokens move once, to their own run-time groups
+    heads = written(static.select(*KEYS, "rep").distinct())
+    met = dynamic.select(*KEYS, F.col("item").alias("rep"), F.col("rep").alias("_r1")).join(small(heads), [*KEYS, "rep"])
+    joined = static.join(dynamic.select(*KEYS, "item", F.col("rep").alias("_r2")), [*KEYS, "item"], "left").join(small(written(met)), [*KEYS, "rep"], "left")
+    marked = joined.where(~F.col("_r1").eqNullSafe(F.col("_r2")))
     marked = marked.select(*KEYS, "rep", "item", (F.col("_r1").isNull() | F.col("_r2").isNull()).alias("dead"))
     return marked if show_dead else marked.where(~F.col("dead"))
 
@@ -129,6 +136,7 @@ def compare_isolated(whole: DataFrame, isolated: DataFrame) -> DataFrame:
     """(app, effect, delta, suspicious): tokens typed with and without the rest of the program."""
     from tessera.operators import tokens as K
 
+    whole, isolated = written(whole), written(isolated)  # read for their statistics and for their heads
     stats = lambda t: K.app_stats(K.name_stats(K.group_sizes(t)))
     delta = K.effect_delta(stats(whole), stats(isolated))
     pairs = compare_by_name(token_heads(whole), token_heads(isolated)).groupBy("app").agg(F.count(F.lit(1)).alias("suspicious"))

@@ -73,6 +73,29 @@ def test_suspicious_pairs_make_components_once(spark, sf):
         assert "MapInArrow" not in planned(P.QUERIES[name](spark, sf))
 
 
+def test_tokens_come_with_lists_of_objects(spark, sf):
+    """A row a token gives the components that a row for each of its objects gives, by names and by rounds."""
+    from tessera.jobs import compare_jobs as P
+    from tessera.operators import compare, graph
+
+    spelled = lambda rows: sorted(map(repr, rows.select("app", "name", "item", "rep").collect()))
+    want = spelled(compare.dynamic_components(P._chained(spark, sf)))
+    assert spelled(compare.dynamic_components(P._chained_lists(P.B.tokens(spark, sf)))) == want
+    few, graph.FEW = graph.FEW, 3
+    try:
+        assert spelled(compare.dynamic_components(P._chained_lists(P.B.tokens(spark, sf)))) == want
+    finally:
+        graph.FEW = few
+
+
+def test_suspicious_pairs_move_static_tokens_once(spark, sf):
+    """The heads of groups meet the components by themselves: their groups come to the tokens."""
+    from tessera.jobs import compare_jobs as P
+
+    moved = [x for x in shuffled(P.QUERIES["j10_chained_pairs"](spark, sf)) if "item" in x and "rep" in x]
+    assert len(moved) <= 2
+
+
 def test_functions_are_walked_without_a_call_for_each_source(spark, sf):
     for name in ("e13_random_kill_set", "n14_killed_functions"):
         plan = planned(J.QUERIES[name](spark, sf))
