@@ -9,7 +9,7 @@ from tessera.jobs import bindings as B
 from tessera.jobs.token_jobs import Q
 from tessera.operators import closure as C
 from tessera.operators import graph as G
-from tessera.runtime import table
+from tessera.runtime import table, written
 
 QUERIES: dict[str, Q] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,12 @@ def constraints(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return eq, rows.distinct()
 
 
+def _met_twice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same with prop written once: for the closure, and for what is asked of it."""
+    eq, prop = constraints(spark, d)
+    return eq, written(prop)
+
+
 _BASE = f"""{B.GRAPH_SQL},
 eq AS (SELECT a.o_orderstatus AS app, 'o' || src AS a, 'o' || dst AS b FROM e JOIN orders a ON a.o_orderkey = src JOIN orders b ON b.o_orderkey = dst AND a.o_orderstatus = b.o_orderstatus),
 li AS (SELECT o_orderstatus AS app, 'o' || l_orderkey AS o, 'f' || l_linenumber AS f, 'c' || (o_custkey % 5000) || '_' || l_linenumber AS c, 'k' || (o_custkey % 700) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -115,13 +121,13 @@ def g4(spark, d):
 
 @query("g6_type_properties", f"{CLOSURE_SQL} SELECT p.app, o.rep, string_agg(DISTINCT p.prty, ',' ORDER BY p.prty) AS names FROM prop p JOIN typing o ON o.app = p.app AND o.node = p.owner GROUP BY p.app, o.rep")
 def g6(spark, d):
-    eq, prop = constraints(spark, d)
+    eq, prop = _met_twice(spark, d)
     return C.type_properties(C.congruence_closure(eq, prop), prop).select("app", "rep", F.array_join("names", ",").alias("names"))
 
 
 @query("g7_lookup_property", f"{CLOSURE_SQL}, rp AS (SELECT DISTINCT p.app, o.rep, p.prty, v.rep AS value_rep FROM prop p JOIN typing o ON o.app = p.app AND o.node = p.owner JOIN typing v ON v.app = p.app AND v.node = p.value) SELECT q.app, q.rep, 'f3' AS prty, rp.value_rep FROM (SELECT DISTINCT app, rep FROM o1) q LEFT JOIN rp ON rp.app = q.app AND rp.rep = q.rep AND rp.prty = 'f3'")
 def g7(spark, d):
-    eq, prop = constraints(spark, d)
+    eq, prop = _met_twice(spark, d)
     typing = C.congruence_closure(eq, prop)
     asked = typing.where("node LIKE 'o%'").select("app", "rep", F.lit("f3").alias("prty")).distinct()
     return C.lookup_property(typing, prop, asked)
@@ -129,7 +135,7 @@ def g7(spark, d):
 
 @query("g8_describe_types", f"{CLOSURE_SQL}, n AS (SELECT p.app, o.rep, string_agg(DISTINCT p.prty, ',' ORDER BY p.prty) AS names FROM prop p JOIN typing o ON o.app = p.app AND o.node = p.owner GROUP BY p.app, o.rep) SELECT i.app, l_orderkey AS source_id, l_linenumber AS line, 'x' || l_partkey AS name, l_orderkey || ':' || l_linenumber || ' x' || l_partkey || ' :: {{' || coalesce(n.names, '') || '}}' AS described FROM (SELECT DISTINCT o_orderstatus AS app, l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) i JOIN o1 ON o1.app = i.app AND o1.node = 'o' || l_orderkey LEFT JOIN n ON n.app = o1.app AND n.rep = o1.rep")
 def g8(spark, d):
-    eq, prop = constraints(spark, d)
+    eq, prop = _met_twice(spark, d)
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("app"))
     inits = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("app", F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("line"), F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("name"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("node")).distinct()
     return C.describe_types(inits, C.congruence_closure(eq, prop), prop)

@@ -96,6 +96,15 @@ def test_suspicious_pairs_move_static_tokens_once(spark, sf):
     assert len(moved) <= 2
 
 
+def test_type_properties_do_not_look_at_values(spark, sf):
+    from tessera.jobs import graph_jobs as P
+    from tessera.operators import closure
+
+    eq, prop = P.constraints(spark, sf)
+    assert not [x for x in shuffled(closure.type_properties(closure.congruence_closure(eq, prop), prop)) if "owner" in x and "value" in x and "rep" in x]
+    assert not [x for x in shuffled(P.QUERIES["g6_type_properties"](spark, sf)) if "value" in x]
+
+
 def test_functions_are_walked_without_a_call_for_each_source(spark, sf):
     for name in ("e13_random_kill_set", "n14_killed_functions"):
         plan = planned(J.QUERIES[name](spark, sf))
