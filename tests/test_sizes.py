@@ -105,6 +105,14 @@ def test_type_properties_do_not_look_at_values(spark, sf):
     assert not [x for x in shuffled(P.QUERIES["g6_type_properties"](spark, sf)) if "value" in x]
 
 
+def test_enclosing_function_is_found_without_a_lambda(spark, sf):
+    """The nearest function around a node, as a filter finds it; lambdas are interpreted, row by row."""
+    trees = A.trees(spark, sf, A.CLASSES, A.ACCESSORS)
+    found = trees.select("ancestors", N.enclosing().alias("fun"))
+    assert "lambda" not in planned(found)
+    assert all(r["fun"] == next((a["id"] for a in reversed(r["ancestors"]) if a["kind"] == "FunctionNode"), None) for r in found.collect())
+
+
 def test_functions_are_walked_without_a_call_for_each_source(spark, sf):
     for name in ("e13_random_kill_set", "n14_killed_functions"):
         plan = planned(J.QUERIES[name](spark, sf))
