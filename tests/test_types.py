@@ -126,3 +126,30 @@ def test_ignored_bodies_are_not_looked_at(spark):
     killed = ast.where("kind = 'FunctionNode'").select("app", "source_id", "node_id")
     assert not C.constraints(ast, decls, killed).where("rule = 'C7'").head(1)
     assert C.constraints(ast, decls).where("rule = 'C7'").count() == 1
+
+
+def test_closure_makes_what_it_meets_once(spark, monkeypatch):
+    """Chains o.k, o.k.k, ...: each round looks at the properties of what grew, which are written and not made anew for each
+    use; tokens get their classes without those of all nodes being made."""
+    from tessera.operators import closure as G
+
+    seen, clashes = [], G._clashes
+    monkeypatch.setattr(G, "_clashes", lambda prop: seen.append(prop._jdf.queryExecution().optimizedPlan().toString()) or clashes(prop))
+    prop = spark.createDataFrame([("a", f"n:1:{i}{x}", "k", f"n:1:{i + 1}{x}") for i in range(4) for x in (0, 5)], "app string, owner string, prty string, value string")
+    eq = spark.createDataFrame([("a", "n:1:0" + x, "n:1:00") for x in "05"], "app string, a string, b string")
+    none = spark.createDataFrame([], "app string, node string, host string, receiver string")
+    found = G.inferred(eq, prop.unionByName(prop), none, none)
+    assert len(seen) > 3 and not [p for p in seen if "Join" in p]
+    tokens = spark.createDataFrame([("a", 1, "property", n) for n in (0, 5, 40, 45, 99)], "app string, source_id long, ref_kind string, base_node long")
+    rows = {r["base_node"]: r["rep"] for r in C.tokens_with_type(tokens, found).collect()}
+    assert rows == {r["base_node"]: r["rep"] for r in C.tokens_with_type(tokens, found.typing()).collect()}
+    assert rows[40] == rows[45] and rows[99] == "n:1:99"
+
+
+def test_variables_in_no_scope_meet_no_declaration(spark, monkeypatch):
+    asked, resolve = [], N.resolve_scope
+    monkeypatch.setattr(N, "resolve_scope", lambda tokens, decls: asked.append(tokens) or resolve(tokens, decls))
+    ast, decls = program(spark, stmt(name("a")), stmt(call(paren(fun(["p"], stmt(name("p")), stmt(name("q")))))))
+    rows = {(r["a"] if r["a"] == "g" else r["a"][0], r["prty"]) for r in C.constraints(ast, decls).where("rule = 'C14'").collect()}
+    assert rows == {("g", "a"), ("s", "p"), ("g", "q")}
+    assert sorted(r["name"] for r in asked[0].collect()) == ["p", "q"]
